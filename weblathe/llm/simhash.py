@@ -32,7 +32,8 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # first bit, bits
-FRONTIER = 1 << 18
+FRONTIER = 1 << 17
+QUERIES = 1 << 12
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
@@ -74,9 +75,10 @@ class Forest:
     def __init__(self, group: np.ndarray, value: np.ndarray):
         self.value = value
         self.root = np.searchsorted(group, group, "left")
+        self.parent = np.arange(len(value))
         pending = np.flatnonzero(self.root != np.arange(len(value)))
         node = self.root[pending]
-        keys, children = [], []
+        keys, self.levels = [], []
         while pending.size:
             distance = np.bitwise_count(value[pending] ^ value[node]).astype(np.int64)
             edge = node * 128 + distance
@@ -84,51 +86,68 @@ class Forest:
             edge, pending = edge[order], pending[order]
             first = np.flatnonzero(np.r_[True, edge[1:] != edge[:-1]])
             keys.append(edge[first])
-            children.append(pending[first])
+            self.levels.append(pending[first])
+            self.parent[pending[first]] = edge[first] >> 7
             child = np.repeat(pending[first], np.diff(np.r_[first, len(edge)]))
             below = child != pending
             pending, node = pending[below], child[below]
         key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
         order = np.argsort(key)
         self.edge = key[order]
-        self.child = (np.concatenate(children) if children else np.zeros(0, np.int64))[order]
+        self.child = (np.concatenate(self.levels) if keys else np.zeros(0, np.int64))[order]
+
+    def one_label(self, label: np.ndarray) -> np.ndarray:
+        """For each subtree, the label that all its values have, -1 if they differ."""
+        least, most = label.copy(), label.copy()
+        for level in reversed(self.levels):
+            np.minimum.at(least, self.parent[level], least[level])
+            np.maximum.at(most, self.parent[level], most[level])
+        return np.where(least == most, least, -1)
 
     def spanning(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(member, root) for all values that links within ``radius`` connect to a smaller root."""
+        """(member, root) for all values that links within ``radius`` connect to a smaller root.
+
+        A query skips subtrees that are joined to it already, so a dense group costs little more
+        than its size. What waits to be visited is held as ranges: memory is the depth of the trees
+        times one piece.
+        """
         label = np.arange(len(self.value))
         alone = self.root == np.arange(len(self.value))
         has_more = np.zeros(len(self.value), dtype=bool)
         has_more[self.root[~alone]] = True
         query = np.flatnonzero(has_more[self.root])
-        stack = [(query[i : i + FRONTIER], self.root[query[i : i + FRONTIER]]) for i in range(0, len(query), FRONTIER)]
-        while stack:
-            asked, node = stack.pop()
-            distance = np.bitwise_count(self.value[asked] ^ self.value[node]).astype(np.int64)
-            near = (distance <= radius) & (asked > node)
-            label = hook(label, asked[near], node[near])
-            low = np.searchsorted(self.edge, node * 128 + np.maximum(distance - radius, 0), "left")
-            count = np.searchsorted(self.edge, node * 128 + np.minimum(distance + radius, 127), "right") - low
-            for begin, end in pieces(count, FRONTIER):
-                n = count[begin:end]
-                total = int(n.sum())
-                if total:
-                    slot = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[begin:end], n)
-                    stack.append((np.repeat(asked[begin:end], n), self.child[slot]))
+        joined, known = np.full(len(label), -1), 0
+        for begin in range(0, len(query), QUERIES):
+            if known != (now := int((label != np.arange(len(label))).sum())):
+                joined, known = self.one_label(label), now
+            asked = query[begin : begin + QUERIES]
+            stack = []
+            visit = (asked, self.root[asked])
+            while True:
+                asked, node = visit
+                open_ = joined[node] != label[asked]
+                asked, node = asked[open_], node[open_]
+                distance = np.bitwise_count(self.value[asked] ^ self.value[node]).astype(np.int64)
+                near = (distance <= radius) & (asked > node)
+                label = hook(label, asked[near], node[near])
+                low = np.searchsorted(self.edge, node * 128 + np.maximum(distance - radius, 0), "left")
+                count = np.searchsorted(self.edge, node * 128 + np.minimum(distance + radius, 127), "right") - low
+                some = count > 0
+                if some.any():
+                    stack.append((asked[some], low[some], count[some]))
+                if not stack:
+                    break
+                asked, low, count = stack.pop()
+                end = max(1, int(np.searchsorted(np.cumsum(count), FRONTIER, "right")))
+                if end < len(asked):
+                    stack.append((asked[end:], low[end:], count[end:]))
+                n = count[:end]
+                slot = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[:end], n)
+                visit = (np.repeat(asked[:end], n), self.child[slot])
         member = np.flatnonzero(label != np.arange(len(label)))
         return member, label[member]
 
 
-def pieces(count: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
-    """Cut into runs whose counts add up to about ``limit`` (a count is at most 64 here)."""
-    total = np.cumsum(count)
-    begin = 0
-    while begin < len(count):
-        end = int(np.searchsorted(total, (total[begin - 1] if begin else 0) + limit, "right"))
-        end = max(end, begin + 1)
-        yield begin, end
-        begin = end
-
-
 def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Union the classes of each pair; a label is the least index of its class."""
     while a.size:
