@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding, simhash
+from . import chunking, decontaminate, html_text, lattice, mixing, quality, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hierarchical_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
+def op2_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 def op4_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -25,9 +33,26 @@ def op6_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op8_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_report(table(spark, sf_dir, "documents"))
+
+
+def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chunk_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hierarchical_mix": op1_hierarchical_mix,
+    "op2_label_model": op2_label_model,
     "op4_jump_hash_shards": op4_jump_hash_shards,
     "op5_simhash_bktree": op5_simhash_bktree,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
+    "op7_tag_path_ratios": op7_tag_path_ratios,
+    "op8_lattice_likelihood": op8_lattice_likelihood,
+    "op9_gear_chunks": op9_gear_chunks,
 }
 ORACLE_SQL: dict[str, str] = {}
