@@ -167,8 +167,11 @@ class Pieces:
             out[part] = self.forward(n, first, scores)[first + np.arange(len(n)) + n]
         return out
 
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected number of uses of each piece (and the unknown piece) in ``counts`` copies of the words."""
+    def expected(self, words: list[bytes], counts: np.ndarray, whole: np.ndarray | None = None, unseen: float = 1.0) -> np.ndarray:
+        """Expected uses of each piece (and the unknown piece) in ``counts`` copies of the words.
+
+        ``whole`` holds the probability of each word's whole-word arc, None for no such arc.
+        """
         out = np.zeros(len(self.pieces) + 2)
         for part, n, first, chars in self.batches(words):
             ids, scores = self.lattice(chars, remaining(n, first))
@@ -176,11 +179,15 @@ class Pieces:
             word = np.repeat(np.arange(len(n)), n)
             node = np.arange(len(chars)) + word
             total = alpha[first + np.arange(len(n)) + n]
+            weight = counts[part].astype(np.float64)
+            if whole is not None:
+                with np.errstate(divide="ignore"):
+                    weight *= np.exp(total + np.log(unseen) - np.logaddexp(total + np.log(unseen), np.log1p(-unseen) + np.log(whole[part])))
             for size in range(self.longest):
                 at = np.flatnonzero(ids[size] >= 0)
                 if at.size:
                     share = np.exp(alpha[node[at]] + scores[size, at] + beta[node[at] + size + 1] - total[word[at]])
-                    out += np.bincount(ids[size, at], share * counts[part[word[at]]], len(out))
+                    out += np.bincount(ids[size, at], share * weight[word[at]], len(out))
         return out
 
 
@@ -223,8 +230,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def fit(pieces: Pieces, words: DataFrame, documents: int, rounds: int = ROUNDS) -> Pieces:
-    """Expectation-maximisation of the piece scores over all training words."""
+def fit(pieces: Pieces, words: DataFrame, documents: int, trained: int, unseen: float, rounds: int = ROUNDS) -> Pieces:
+    """Expectation-maximisation of the piece scores over all training words.
+
+    A word's whole-word arc is taken from its other occurrences (leaving one out), so pieces are
+    fitted to what the subword arcs are for: words that the training rows hold once.
+    """
     spark = words.sparkSession
     used = words.where("c > 0").select("word", "c")
     for _ in range(rounds):
@@ -233,7 +244,8 @@ def fit(pieces: Pieces, words: DataFrame, documents: int, rounds: int = ROUNDS)
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = 0.0
             for batch in batches:
-                total = total + shared.value.expected(byte_rows(batch.column("word")), batch.column("c").to_numpy())
+                c = batch.column("c").to_numpy()
+                total = total + shared.value.expected(byte_rows(batch.column("word")), c, (c - 1) / trained, unseen)
             if not isinstance(total, float):
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])
@@ -291,8 +303,8 @@ def lattice_report(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int =
     documents = rows.where("not held_out").count()
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
     trained, distinct = sums["n"] + documents, sums["v"] + (documents > 0)
-    pieces = fit(Pieces.load(vocabulary), counted, documents, rounds)
     unseen = min(0.5, max(1e-4, sums["once"] / max(1, trained)))
+    pieces = fit(Pieces.load(vocabulary), counted, documents, trained, unseen, rounds)
     words = written(with_log_probability(counted, pieces, trained, unseen), "words")
     head = docs.sparkSession.sparkContext.broadcast(frequent(words))
     end_sub = float(pieces.score[pieces.end] / np.log(10))
