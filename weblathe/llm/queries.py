@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunking, decontaminate, html_text, lattice, mixing, quality, sharding, simhash
+from . import chunking, decontaminate, html_text, lattice, licences, mixing, quality, runindex, sharding, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_label_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op3_run_length_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.repeats_report(table(spark, sf_dir, "documents"))
+
+
 def op4_jump_hash_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -45,14 +49,20 @@ def op9_gear_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.chunk_report(table(spark, sf_dir, "documents"))
 
 
+def op10_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mix": op1_hierarchical_mix,
     "op2_label_model": op2_label_model,
+    "op3_run_length_index": op3_run_length_index,
     "op4_jump_hash_shards": op4_jump_hash_shards,
     "op5_simhash_bktree": op5_simhash_bktree,
     "op6_winnowing_decontamination": op6_winnowing_decontamination,
     "op7_tag_path_ratios": op7_tag_path_ratios,
     "op8_lattice_likelihood": op8_lattice_likelihood,
     "op9_gear_chunks": op9_gear_chunks,
+    "op10_licence_inheritance": op10_licence_inheritance,
 }
 ORACLE_SQL: dict[str, str] = {}
