@@ -171,7 +171,7 @@ def fit(voted: DataFrame) -> LabelModel:
     """Expectation-maximisation over all rows that pass the base rule; see the bound above."""
     rows = voted.where("not base_failed").groupBy("votes").count().collect()
     rows.sort(key=lambda r: r["votes"])
-    votes = np.array([r["votes"] for r in rows], dtype=np.int8).reshape(len(rows), -1)
+    votes = np.array([r["votes"] for r in rows], dtype=np.int8).reshape(len(rows), len(RULES))
     return LabelModel(votes, np.array([r["count"] for r in rows], dtype=float))
 
 
