@@ -109,7 +109,9 @@ def suffix_match(name: Column, suffix: Column) -> Column:
 
 def providers(names: Column, table: dict[str, str]) -> Column:
     """Sorted providers with a suffix that matches any of the names."""
-    hits = [F.when(F.exists(F.coalesce(names, F.array().cast("array<string>")), lambda n, s=suffixes: any_of(suffix_match(n, F.lit(x)) for x in s.split())), F.lit(p)) for p, suffixes in sorted(table.items())]
+    every = F.coalesce(names, F.array().cast("array<string>"))
+    under = lambda suffixes: F.exists(every, lambda name: any_of(suffix_match(name, F.lit(s)) for s in suffixes.split()))
+    hits = [F.when(under(suffixes), F.lit(provider)) for provider, suffixes in sorted(table.items())]
     return F.array_compact(F.array(*hits))
 
 

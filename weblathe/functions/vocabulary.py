@@ -99,8 +99,9 @@ FEED_TYPES = "application/atom+xml application/feed+json application/json applic
 OPENSEARCH_TYPE = "application/opensearchdescription+xml"
 ARCHIVE_BLOCKS = ("blocked site error", "excluded from the wayback machine", "this url has been excluded")
 # The sampling frame's categories.
-SECTORS = "commerce education government media nonprofit technology".split()
-BANDS = "head mid tail".split()
+SECTORS = "academia_research commerce forums_communities general_other government_civic news_media".split()
+GEOGRAPHIES = "africa americas asia europe global_or_unassigned oceania".split()
+BANDS = "head middle long_tail".split()
 # Well-known public suffixes with more than one label, and private ones; all other
 # suffixes are their last label. A full list is a parameter of the functions that use it.
 SUFFIXES = (
