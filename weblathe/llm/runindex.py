@@ -40,7 +40,7 @@ from .common import byte_rows, id_or_last, mix64, null_if_last, sliding_argmin,
 
 WINDOW = 100
 GRAM = 32
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 BLOCK_BYTES = 1 << 20
 HOT_SEGMENTS = 20_000
 ODD = 0x9E3779B97F4A7C15
@@ -99,7 +99,7 @@ def slices(texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
 
 def parts_of(text: bytes) -> Iterator[tuple[int, bytes]]:
     """A text in overlapping parts that hold every window once."""
-    size = 1 << 23
+    size = 1 << 22
     for at in range(0, max(1, len(text) - WINDOW + 1), size):
         yield at, text[at : at + size + WINDOW - 1]
 
@@ -147,7 +147,7 @@ def packed_segments(named: DataFrame, buckets: int) -> DataFrame:
                 pieces = [(r, at, part) for r, t in zip(rows, texts, strict=True) for at, part in parts_of(t)]
                 group, size, groups = [], 0, []
                 for piece in pieces:
-                    if group and size + len(piece[2]) > 1 << 23:
+                    if group and size + len(piece[2]) > 1 << 22:
                         groups.append(group)
                         group, size = [], 0
                     group.append(piece)
@@ -418,7 +418,7 @@ def find_marks(named: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """From (id, sub, text): the windows that occur earlier, as runs (id, sub, start, n)."""
     spark = named.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = packed_segments(named, parts * 8).repartition(parts, "bucket")
+    packed = packed_segments(named, parts * 4).repartition(parts, "bucket")
     found = written(shared_segments(packed, hot_segments), "segments")
     texts = written(segment_texts(named, found.where(F.col("kind") != MARK)), "texts")
     marks = found.where(F.col("kind") == MARK).select("id", "sub", "start", "n")
