@@ -141,7 +141,8 @@ def leaf_plan(counts: DataFrame, recipe: Recipe) -> DataFrame:
     last = placed.join(ends, [*LEVELS, "bucket"]).groupBy(*LEVELS, "rest", "before", "place").agg(F.sum("n_tokens").alias("size"), F.count("*").alias("n"))
     last = last.withColumn("upto", F.col("before") + F.sum("size").over(leaf.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
     cut = last.where("upto >= rest and upto - size < rest").select(*LEVELS, F.col("place").alias("cut"), F.expr("(rest - upto + size) div n").alias("cut_tokens"))
-    return plan.join(cut, list(LEVELS), "left")
+    # Written: what documents join is then a table of known size, broadcast if small, else split where a leaf is hot.
+    return written(plan.join(cut, list(LEVELS), "left"), "plan")
 
 
 def select_tokens(rows: DataFrame, plan: DataFrame, recipe: Recipe) -> DataFrame:
