@@ -16,7 +16,6 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 MULTIPLIER = np.uint64(2862933555777941757)  # fixed by the published algorithm
-SLOT_BUCKETS = 4096
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -65,7 +64,8 @@ def with_slots(rows: DataFrame, shard: str = "shard", slot: str = "slot") -> Dat
     """
     names = rows.columns
     counted = rows.groupBy(*names).agg(F.count("*").alias("_n"))
-    counted = counted.withColumn("_bucket", F.pmod(F.xxhash64(*names), F.lit(SLOT_BUCKETS)).cast("int"))
+    text = F.concat_ws(":", *(F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names))
+    counted = counted.withColumn("_bucket", F.substring(F.md5(text.cast("binary")), 1, 3))
     sizes = counted.groupBy(shard, "_bucket").agg(F.sum("_n").alias("_size"))
     before = Window.partitionBy(shard).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(shard, "_bucket", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
