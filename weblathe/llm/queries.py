@@ -1,4 +1,4 @@
-"""The queries of this subpackage over the corpus tables, and their SQL where SQL can express them."""
+"""The queries of this subpackage over the corpus tables; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chunking, decontaminate, html_text, lattice, licences, mixing, quality, runindex, sharding, simhash
+from .oracle import ORACLE_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +54,8 @@ def op10_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_report(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hierarchical_mix": op1_hierarchical_mix,
     "op2_label_model": op2_label_model,
@@ -65,4 +68,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gear_chunks": op9_gear_chunks,
     "op10_licence_inheritance": op10_licence_inheritance,
 }
-ORACLE_SQL: dict[str, str] = {}
