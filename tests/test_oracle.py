@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__
-from weblathe.plans import corpus, oracle
+from weblathe.plans import captures, corpus, oracle
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01" if os.environ.get("ORACLE_FULL") else "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,7 +32,7 @@ def rows(columns, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL))
+@pytest.mark.parametrize("name", sorted(oracle.SQL | captures.SQL))
 def test_query_equals_oracle(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF)
     cursor = duck.execute(__spark_entry__.oracle_sql()[name])
@@ -45,5 +45,5 @@ def test_query_equals_oracle(spark, duck, name):
 
 
 def test_names_agree():
-    assert set(oracle.SQL) <= set(corpus.QUERIES)
+    assert set(oracle.SQL) <= set(corpus.QUERIES) and set(captures.SQL) <= set(captures.QUERIES)
     assert set(corpus.QUERIES) <= set(__spark_entry__.queries())

@@ -1,0 +1,303 @@
+"""Detector queries: pages, events and line items shaped into captures, then judged by the detectors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from weblathe.operators import detectors, gates, jobs
+
+from .corpus import line_attempts, order_runs, page_hosts, table
+
+
+def id_text(column: str, prefix: str = ""):
+    return F.concat(F.lit(prefix), F.col(column).cast("string"))
+
+
+def event_responses(spark, d) -> DataFrame:
+    """Events as homepage responses: status by type, headers and cookies by id."""
+    status = F.when(F.col("event_type") == "view", 200).when(F.col("event_type") == "click", 302).when(F.col("event_type") == "signup", 401).when(F.col("event_type") == "purchase", 429).otherwise(503)
+    n = F.col("event_id")
+    pairs = F.array_compact(
+        F.array(
+            F.struct(F.lit("server").alias("k"), F.concat(F.lit("s"), (n % 5).cast("string")).alias("v")),
+            F.when(n % 3 == 0, F.struct(F.lit("cf-ray").alias("k"), F.lit("8f0a-FRA").alias("v"))),
+            F.when(n % 4 == 0, F.struct(F.lit("x-amz-cf-id").alias("k"), F.lit("1").alias("v"))),
+            F.when(n % 7 == 0, F.struct(F.lit("x-frame-options").alias("k"), F.lit("DENY").alias("v"))),
+            F.when(n % 2 == 0, F.struct(F.lit("cache-control").alias("k"), F.lit("no-store").alias("v"))),
+        )
+    )
+    cookies = F.array_compact(F.array(F.when(n % 6 == 0, F.lit("__cf_bm")), F.when(n % 10 == 0, F.lit("BIGipServerx"))))
+    return table(spark, d, "events").select(
+        id_text("event_id").alias("run_id"), status.alias("status_code"), F.lit("HTTP/2").alias("http_version"), F.map_from_entries(pairs).alias("headers"), cookies.alias("cookie_names"),
+        F.array(F.struct(status.alias("status_code"))).alias("attempts"), F.when(n % 11 == 0, "timeout").alias("error"), F.lit(True).alias("allowed"), F.lit("https://h.example/").alias("final_url"),
+    )
+
+
+def page_fetches(spark, d) -> DataFrame:
+    """Pages as homepage captures; every ninth was cut off."""
+    return table(spark, d, "pages").select(
+        id_text("page_id").alias("run_id"), F.col("url").alias("origin"), F.col("url").alias("final_url"), F.col("url").alias("requested_url"), F.lit(200).alias("status_code"),
+        F.create_map(F.lit("content-type"), F.lit("text/html")).alias("headers"), F.col("html").alias("body"), (F.col("page_id") % 9 == 0).alias("truncated"), F.lit(None).cast("string").alias("error"), F.lit(True).alias("allowed"),
+    )
+
+
+def only(observations: DataFrame, *signals: str) -> DataFrame:
+    return observations.where(F.col("signal").isin(*signals)).select("run_id", "signal", "outcome", "confidence", "confidence_score", "value_json")
+
+
+def detect_response(spark, d):
+    names = ("human.http_access_disposition", "infrastructure.cdn_hints", "human.rate_limited", "infrastructure.security_headers", "infrastructure.server_header", "human.login_required", "infrastructure.bot_management_hints", "infrastructure.cache_headers")
+    return only(detectors.response_signals(event_responses(spark, d)), *names)
+
+
+def detect_homepage(spark, d):
+    return only(detectors.homepage_signals(event_responses(spark, d)), "human.homepage_accessible", "human.homepage_status", "human.homepage_content_type")
+
+
+def detect_attempts(spark, d):
+    return only(detectors.attempt_signals(line_attempts(spark, d)), "crawler.http_status_distribution")
+
+
+def detect_metadata(spark, d):
+    found = detectors.metadata_signals(detectors.with_page_facts(page_fetches(spark, d)))
+    return only(found, "metadata.html_language", "metadata.json_ld", "metadata.canonical_url", "metadata.feeds", "metadata.open_graph")
+
+
+def detect_metadata_all(spark, d):
+    return detectors.metadata_signals(detectors.with_page_facts(page_fetches(spark, d)))
+
+
+def detect_page_signals(spark, d):
+    return only(detectors.page_signals(detectors.with_page_facts(page_fetches(spark, d))), "human.paywall_detected", "human.captcha_detected", "legal.license", "economic.subscription_required")
+
+
+def detect_policy(spark, d):
+    pages = detectors.with_page_facts(page_fetches(spark, d))
+    texts = pages.select("run_id", F.lit(0).alias("position"), F.col("final_url").alias("source_url"), F.col("page.text").alias("text"))
+    issues = pages.where("truncated").select("run_id", F.lit("economic.metering").alias("signal"), F.lit("error").alias("outcome"))
+    return only(detectors.policy_signals(pages, texts, issues), *detectors.POLICY_SIGNALS)
+
+
+def detect_robots(spark, d):
+    """robots.txt by page id: missing, forbidden, for all, or barring one agent."""
+    n = F.col("page_id")
+    body = F.when(n % 2 == 0, F.lit("User-agent: GPTBot\nDisallow: /\n\nUser-agent: *\nAllow: /\nCrawl-delay: 2")).otherwise(F.lit("User-agent: *\nDisallow: /"))
+    rows = table(spark, d, "pages").select(id_text("page_id").alias("run_id"), F.when(n % 5 == 0, 404).when(n % 5 == 1, 403).otherwise(200).alias("status_code"), body.alias("body"), F.lit(False).alias("truncated"), F.lit(None).cast("string").alias("error"), F.lit("https://h.example/").alias("homepage_url"))
+    return only(detectors.robots_signals(rows), "crawler.robots_exists", "crawler.robots_status", "crawler.ai_specific_user_agents", "crawler.crawl_delays", "crawler.homepage_policy_allowed")
+
+
+def detect_sitemap(spark, d):
+    n = F.col("page_id")
+    body = F.concat(F.lit("<urlset>"), F.repeat(F.lit("<url/>"), (n % 4).cast("int")), F.when(n % 3 == 0, F.lit("")).otherwise(F.lit("</urlset>")))
+    rows = table(spark, d, "pages").select(id_text("page_id").alias("run_id"), F.when(n % 5 == 0, 404).otherwise(200).alias("status_code"), body.cast("binary").alias("body"), F.lit(False).alias("truncated"), F.lit(None).cast("string").alias("error"), (n % 7 != 0).alias("allowed"))
+    return only(detectors.sitemap_signals(rows), "metadata.sitemap_exists", "metadata.sitemap_url_count", "metadata.sitemap_status")
+
+
+def detect_llms_txt(spark, d):
+    n = F.col("page_id")
+    rows = table(spark, d, "pages").select(id_text("page_id").alias("run_id"), F.when(n % 3 == 0, 200).when(n % 3 == 1, 404).otherwise(500).alias("status_code"), F.lit(None).cast("string").alias("error"), (n % 7 != 0).alias("allowed"))
+    return only(detectors.llms_signals(rows), "metadata.llms_txt_exists", "metadata.llms_txt_status")
+
+
+def detect_dns(spark, d):
+    n = F.col("page_id")
+    hosts = page_hosts(spark, d)
+    name = F.when(n % 3 == 0, F.concat("host", F.lit(".edgekey.net."))).when(n % 3 == 1, F.concat("host", F.lit(".fastly.net")))
+    rows = hosts.select(
+        id_text("page_id").alias("run_id"), name.alias("canonical_name"), F.array(F.concat(F.lit("NS1."), F.when(n % 2 == 0, "awsdns-01.com").otherwise("cloudflare.com"), F.lit("."))).alias("nameservers"), F.lit(None).cast("string").alias("soa_primary"),
+        F.lit(None).cast("string").alias("tollbit_hostname"), F.array().cast("array<string>").alias("tollbit_record_types"), F.lit(None).cast("string").alias("tollbit_canonical_name"),
+        F.when(n % 10 == 0, F.create_map(F.lit("nameservers"), F.lit("timeout"))).alias("errors"),
+    )
+    return only(detectors.dns_signals(rows), "infrastructure.edge_provider", "infrastructure.dns_provider", "network.dns_soa_primary")
+
+
+def detect_network(spark, d):
+    n = F.col("page_id")
+    addresses = F.transform(F.sequence(F.lit(0), (n % 20).cast("int")), lambda i: F.struct(F.when(i % 2 == 0, "IPv4").otherwise("IPv6").alias("family"), F.concat(F.lit("a"), i.cast("string")).alias("address")))
+    tls = F.struct(F.lit("TLSv1.3").alias("version"), F.lit("AES").alias("cipher_name"), F.lit("TLS").alias("cipher_protocol"), F.lit(256).alias("cipher_bits"), F.lit("x").alias("not_before"), F.lit("y").alias("not_after"), F.lit(None).cast("string").alias("issuer"), F.lit(True).alias("verified"))
+    rows = table(spark, d, "pages").select(id_text("page_id").alias("run_id"), F.regexp_extract("url", "^(https?)", 1).alias("scheme"), F.when(n % 13 != 0, addresses).alias("addresses"), (n % 13 != 0).alias("safe"), F.when(n % 6 != 0, tls).alias("tls"))
+    return only(detectors.network_signals(rows), "network.dns_address_count", "network.dns_addresses_truncated", "network.tls_version", "network.tls_certificate_issuer")
+
+
+def detect_archive(spark, d):
+    n = F.col("page_id")
+    day = F.lpad((n % 28 + 1).cast("string"), 2, "0")
+    body = F.when(n % 4 == 0, F.lit("[]")).when(n % 4 == 1, F.lit("This URL has been excluded")).when(n % 4 == 2, F.concat(F.lit('[["timestamp"],["202001'), day, F.lit('000000"],["20190101000000"]]'))).otherwise(F.lit('[["timestamp"],["bad"]]'))
+    rows = table(spark, d, "pages").select(id_text("page_id").alias("run_id"), (n % 9 != 0).alias("enabled"), F.lit(200).alias("status_code"), body.alias("body"), F.lit(False).alias("truncated"), F.lit(None).cast("string").alias("error"))
+    return only(detectors.archive_signals(rows), "preservation.archive_coverage", "preservation.archive_blocked")
+
+
+def detect_renderings(spark, d):
+    n = F.col("page_id")
+    markers = F.when(n % 4 == 0, F.create_map(F.lit("paywall"), F.array(F.lit(".piano-offer"))))
+    render = F.struct(
+        F.col("url").alias("final_url"), F.lit(200).alias("status_code"), F.lit("t").alias("title"), F.length("html").alias("document_chars"), F.lit(10).alias("visible_text_chars"), markers.alias("markers"),
+        (n % 30).cast("int").alias("request_count"), F.lit(1).alias("third_party_request_count"), F.lit(0).alias("blocked_request_count"), F.lit(900).cast("long").alias("total_response_bytes"),
+    )
+    rows = table(spark, d, "pages").select(id_text("page_id").alias("run_id"), (n % 5 != 0).alias("enabled"), F.lit(True).alias("allowed"), F.lit(True).alias("fetched"), F.lit(200).alias("status_code"), F.col("url").alias("final_url"), F.col("url").alias("requested_url"), F.lit(None).cast("string").alias("error"), F.col("html").alias("body"), F.when(n % 7 != 0, render).alias("render"))
+    return only(detectors.browser_signals(rows), "human.browser_paywall_marker_visible", "browser.network_summary", "browser.navigation")
+
+
+def detect_cache(spark, d):
+    docs = table(spark, d, "documents")
+    n = F.col("doc_id")
+    side = lambda status, text: F.struct(status.alias("status_code"), F.create_map(F.when(n % 3 == 0, "etag").when(n % 3 == 1, "last-modified").otherwise("age"), F.lit("1")).alias("headers"), F.sha2(text.cast("binary"), 256).alias("sha256"), F.lit(False).alias("truncated"), F.lit(None).cast("string").alias("error"), F.lit(1).alias("attempts"), F.lit("u").alias("final_url"))
+    changed = F.when(n % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit("x")))
+    rows = docs.select(id_text("doc_id").alias("run_id"), F.lit(True).alias("enabled"), F.lit(True).alias("allowed"), side(F.lit(200), F.col("text")).alias("base"), side(F.when(n % 5 == 0, 304).otherwise(200), changed).alias("repeat"))
+    return only(detectors.cache_signals(rows), "preservation.cache_behavior")
+
+
+def browser_gate(spark, d):
+    """Events as a user's browser requests, in order: caps count only what was let through."""
+    e = table(spark, d, "events")
+    url = F.concat(F.lit("https://"), F.when(F.col("event_type") == "click", "cdn.other.example").otherwise("a.example"), F.lit("/"), F.col("event_id").cast("string"))
+    rows = e.select(id_text("user_id", "u").alias("run_id"), F.col("event_id").alias("n"), F.lit("https://a.example/").alias("origin"), url.alias("url"), F.lit(False).alias("top_level"), (F.col("event_type") != "error").alias("permitted"))
+    return gates.browser_gate(rows, request_cap=20, third_party_cap=5).select("run_id", "n", "decision")
+
+
+def attempt_follow_ups(spark, d):
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.max("l_returnflag").alias("flag"))
+    status = F.when(F.col("flag") == "R", 503).when(F.col("flag") == "A", 301).otherwise(200)
+    rows = lines.select(id_text("l_orderkey").alias("run_id"), F.floor(F.col("n") / 4).alias("request"), "n", status.alias("status_code"), F.when(F.col("n") % 2 == 0, F.lit(9.0)).alias("retry_after"))
+    return gates.attempt_outcomes(rows).select("run_id", "n", "follow")
+
+
+def lease_log(spark, d):
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "error", "release").when(F.col("event_type") == "click", "renew").otherwise("acquire")
+    rows = e.select(id_text("user_id", "u").alias("run_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("n"), kind.alias("event"), F.when(F.col("event_id") % 2 == 0, "a").otherwise("b").alias("owner"))
+    return gates.leases(rows, seconds=20_000.0)
+
+
+def job_transitions(spark, d):
+    """Open orders as running jobs; their results count only under a live lease of the owner."""
+    o = table(spark, d, "orders").withColumn("run_id", F.col("o_custkey") % 10)
+    running = F.when(F.col("o_orderstatus") == "O", "running").otherwise("pending")
+    j = o.select("run_id", F.col("o_orderkey").alias("ordinal"), F.lit("o").alias("origin"), F.col("o_custkey").alias("registrable_domain"), running.alias("status"), F.lit(None).cast("double").alias("not_before"), F.lit(1).alias("request_count"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("notes"))
+    kind = F.element_at(F.array(F.lit("completed"), F.lit("deferred"), F.lit("failed")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    results = o.where("o_orderkey % 2 = 0").select("run_id", F.col("o_orderkey").alias("ordinal"), kind.alias("result"), F.lit(4).alias("requests"), F.lit(77.0).alias("not_before"), F.lit("n").alias("notes"))
+    return jobs.apply_results(j, order_runs(spark), results, "a", F.lit(50.0)).select("run_id", "ordinal", "status", "request_count")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        detect_response, detect_homepage, detect_attempts, detect_metadata, detect_metadata_all, detect_page_signals, detect_policy, detect_robots, detect_sitemap, detect_llms_txt, detect_dns, detect_network,
+        detect_archive, detect_renderings, detect_cache, browser_gate, attempt_follow_ups, lease_log, job_transitions,
+    )
+}
+
+
+def rows_sql(source: str, *parts: tuple[str, str, str, str, str]) -> str:
+    """One select for each signal: (signal, outcome, confidence, score, value)."""
+    return " union all ".join(f"select run_id, '{s}' as signal, {o} as outcome, {c} as confidence, cast({p} as double) as confidence_score, {v} as value_json from {source}" for s, o, c, p, v in parts)
+
+
+def found(signal: str, there: str, value: str, sure: str = "confirmed", score: str = "1.0", broken: str = "false", why: str = "'error'", absent: str | None = None) -> tuple[str, str, str, str, str]:
+    value = value if absent is None else f"case when {there} then {value} else {absent} end"
+    return (
+        signal,
+        f"case when {broken} then {why} when {there} then 'observed' else 'no_evidence' end",
+        f"case when {broken} then 'unknown' when {there} then '{sure}' else 'no_evidence' end",
+        f"case when {broken} then 0.0 when {there} then {score} else 1.0 end",
+        f"case when {broken} then 'null' else {value} end",
+    )
+
+
+EVENTS = "(select cast(event_id as varchar) as run_id, event_id as n, case event_type when 'view' then 200 when 'click' then 302 when 'signup' then 401 when 'purchase' then 429 else 503 end as s from events)"
+PAGES = "(select cast(page_id as varchar) as run_id, page_id as n, html, url from pages)"
+DOWN = "n % 11 = 0"
+CDN = "'[' || array_to_string(list_filter([case when n % 4 = 0 then '\"amazon_cloudfront\"' end, case when n % 3 = 0 then '\"cloudflare\"' end], lambda x: x is not null), ',') || ']'"
+
+SQL = {
+    "detect_response": rows_sql(
+        EVENTS,
+        found("human.http_access_disposition", "true", "'\"' || case when s = 401 then 'authentication_required' when s = 429 then 'rate_limited' when s < 400 then 'reachable' else 'server_error' end || '\"'", broken=DOWN),
+        found("infrastructure.cdn_hints", "n % 3 = 0 or n % 4 = 0", CDN, "likely", "0.8", DOWN),
+        found("human.rate_limited", "true", "case when s = 429 then 'true' else 'false' end", broken=DOWN),
+        found("infrastructure.security_headers", "n % 7 = 0", "'[\"x-frame-options\"]'", broken=DOWN, absent="'[]'"),
+        found("infrastructure.server_header", "true", "'\"s' || (n % 5) || '\"'", broken=DOWN),
+        found("human.login_required", "s = 401", "'true'", broken=DOWN, absent="'null'"),
+        found("infrastructure.bot_management_hints", "n % 6 = 0", "'[\"cloudflare\"]'", "possible", "0.6", DOWN, absent="'[]'"),
+        found("infrastructure.cache_headers", "n % 2 = 0", "'{\"cache-control\":\"no-store\"}'", broken=DOWN, absent="'{}'"),
+    ),
+    "detect_homepage": rows_sql(
+        EVENTS,
+        found("human.homepage_accessible", "true", "case when s < 400 then 'true' else 'false' end", broken=DOWN),
+        found("human.homepage_status", "true", "cast(s as varchar)", broken=DOWN),
+        found("human.homepage_content_type", "false", "'null'", broken=DOWN),
+    ),
+    "detect_attempts": """with att as (select cast(l_orderkey as bigint) as run_id, case when l_returnflag = 'R' then case when l_linenumber = 1 then 403 else 429 end when l_linestatus = 'O' then 200 when l_linenumber > 2 then 404 end as s from lineitem),
+g as (select run_id, s, count(*) as n from att where s is not null group by all), r as (select run_id, '{' || string_agg('"' || s || '":' || n, ',' order by s) || '}' as v from g group by run_id)
+select a.run_id, 'crawler.http_status_distribution' as signal, case when v is null then 'no_evidence' else 'observed' end as outcome, case when v is null then 'no_evidence' else 'confirmed' end as confidence, 1.0::double as confidence_score, coalesce(v, 'null') as value_json from (select distinct run_id from att) a left join r using (run_id)""",
+    "detect_metadata": rows_sql(
+        PAGES,
+        found("metadata.html_language", "true", "'\"' || regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) || '\"'"),
+        *(found(s, "false", v, broken="n % 9 = 0") for s, v in (("metadata.json_ld", "'false'"), ("metadata.canonical_url", "'null'"), ("metadata.feeds", "'[]'"), ("metadata.open_graph", "'false'"))),
+    ),
+    "detect_page_signals": rows_sql(PAGES, *(found(s, "false", v, broken="n % 9 = 0") for s, v in (("human.paywall_detected", "'null'"), ("human.captcha_detected", "'null'"), ("legal.license", "'[]'"), ("economic.subscription_required", "'null'")))),
+    "detect_policy": rows_sql(PAGES, *(found(s, "false", "'null'", broken="n % 9 = 0" if s == "economic.metering" else "false") for s in detectors.POLICY_SIGNALS)),
+    "detect_robots": rows_sql(
+        "(select cast(page_id as varchar) as run_id, page_id % 5 as k, page_id % 2 = 0 as e from pages)",
+        *(
+            (s, "case when k = 1 then 'no_evidence' else 'observed' end", "case when k = 1 then 'no_evidence' else 'confirmed' end", "case when k = 1 then 0.0 else 1.0 end", f"case when k = 1 then 'null' when k = 0 then {gone} else {v} end")
+            for s, gone, v in (
+                ("crawler.robots_exists", "'false'", "'true'"),
+                ("crawler.ai_specific_user_agents", "'[]'", "case when e then '[\"gptbot\"]' else '[]' end"),
+                ("crawler.crawl_delays", "'{}'", "case when e then '{\"*\":\"2\"}' else '{}' end"),
+                ("crawler.homepage_policy_allowed", "'true'", "case when e then 'true' else 'false' end"),
+            )
+        ),
+        ("crawler.robots_status", "'observed'", "'confirmed'", "1.0", "case k when 0 then '404' when 1 then '403' else '200' end"),
+    ),
+    "detect_sitemap": rows_sql(
+        "(select cast(page_id as varchar) as run_id, page_id as n, page_id % 7 = 0 as barred, page_id % 5 = 0 as gone, page_id % 3 = 0 as bad from pages)",
+        found("metadata.sitemap_exists", "true", "case when gone then 'false' else 'true' end", broken="barred or (bad and not gone)", why="case when barred then 'skipped' else 'error' end"),
+        found("metadata.sitemap_url_count", "not gone", "cast(n % 4 as varchar)", broken="barred or (bad and not gone)", why="case when barred then 'skipped' else 'error' end", absent="'null'"),
+        found("metadata.sitemap_status", "true", "case when gone then '404' else '200' end", broken="barred", why="'skipped'"),
+    ),
+    "detect_llms_txt": rows_sql(
+        "(select cast(page_id as varchar) as run_id, page_id % 3 as k, page_id % 7 = 0 as barred from pages)",
+        ("metadata.llms_txt_exists", "case when barred then 'skipped' when k = 2 then 'no_evidence' else 'observed' end", "case when barred then 'unknown' when k = 2 then 'no_evidence' else 'confirmed' end", "case when barred or k = 2 then 0.0 else 1.0 end", "case when barred or k = 2 then 'null' when k = 0 then 'true' else 'false' end"),
+        found("metadata.llms_txt_status", "true", "case k when 0 then '200' when 1 then '404' else '500' end", broken="barred", why="'skipped'"),
+    ),
+    "detect_dns": rows_sql(
+        PAGES,
+        found("infrastructure.edge_provider", "n % 3 <> 2", "case when n % 3 = 0 then '[\"akamai\"]' else '[\"fastly\"]' end", "likely", "0.8", absent="'null'"),
+        # A failed lookup turns absences into errors; what was found stands.
+        found("infrastructure.dns_provider", "true", "case when n % 2 = 0 then '[\"amazon_route_53\"]' else '[\"cloudflare\"]' end", "likely", "0.8"),
+        found("network.dns_soa_primary", "false", "'null'"),
+    ),
+    "detect_network": rows_sql(
+        "(select cast(page_id as varchar) as run_id, page_id % 20 + 1 as a, page_id % 13 = 0 as lost, regexp_extract(url, '^(https?)', 1) <> 'https' or page_id % 13 = 0 as barred, page_id % 6 = 0 as none from pages)",
+        found("network.dns_address_count", "true", "cast(a as varchar)", broken="lost"),
+        found("network.dns_addresses_truncated", "true", "case when a > 16 then 'true' else 'false' end", broken="lost"),
+        found("network.tls_version", "true", "'\"TLSv1.3\"'", broken="barred or none", why="case when barred then 'skipped' else 'error' end"),
+        ("network.tls_certificate_issuer", "case when barred then 'skipped' when none then 'error' else 'no_evidence' end", "case when barred or none then 'unknown' else 'no_evidence' end", "0.0", "'null'"),
+    ),
+    "detect_archive": rows_sql(
+        "(select cast(page_id as varchar) as run_id, page_id as n, page_id % 4 as k, page_id % 9 = 0 as off from pages)",
+        (
+            "preservation.archive_coverage", "case when off then 'skipped' when k = 3 then 'error' when k = 1 then 'no_evidence' else 'observed' end", "case when off or k = 3 then 'unknown' when k = 1 then 'no_evidence' else 'confirmed' end", "case when off or k in (1, 3) then 0.0 else 1.0 end",
+            "case when off or k in (1, 3) then 'null' when k = 0 then '{\"earliest_sampled_capture\":null,\"homepage_captured\":false,\"latest_sampled_capture\":null,\"monthly_capture_samples\":0,\"sample_capped\":false}' else '{\"earliest_sampled_capture\":\"20190101000000\",\"homepage_captured\":true,\"latest_sampled_capture\":\"202001' || lpad(cast(n % 28 + 1 as varchar), 2, '0') || '000000\",\"monthly_capture_samples\":2,\"sample_capped\":false}' end",
+        ),
+        ("preservation.archive_blocked", "case when off then 'skipped' when k = 3 then 'error' when k = 0 then 'no_evidence' else 'observed' end", "case when off or k = 3 then 'unknown' when k = 1 then 'likely' when k = 2 then 'confirmed' else 'no_evidence' end", "case when off or k in (0, 3) then 0.0 when k = 1 then 0.9 else 1.0 end", "case when off or k in (0, 3) then 'null' when k = 1 then 'true' else 'false' end"),
+    ),
+    "detect_renderings": rows_sql(
+        "(select cast(page_id as varchar) as run_id, page_id as n, url, page_id % 5 = 0 as off, page_id % 7 = 0 as none from pages)",
+        found("human.browser_paywall_marker_visible", "n % 4 = 0", "'{\"selectors\":[\".piano-offer\"],\"visible\":true}'", "likely", "0.9", "off or none", "case when off then 'skipped' else 'error' end", "'null'"),
+        found("browser.network_summary", "true", "'{\"blocked_requests\":0,\"requests\":' || (n % 30) || ',\"third_party_requests\":1,\"transferred_response_bytes\":900}'", broken="off or none", why="case when off then 'skipped' else 'error' end"),
+        found("browser.navigation", "true", "'{\"accessible\":true,\"final_url\":\"' || url || '\",\"status\":200}'", broken="off or none", why="case when off then 'skipped' else 'error' end"),
+    ),
+    "detect_cache": rows_sql(
+        "(select cast(doc_id as varchar) as run_id, doc_id as n, doc_id % 3 < 2 as v from documents)",
+        ("preservation.cache_behavior", "case when v then 'observed' else 'no_evidence' end", "case when v then 'confirmed' else 'no_evidence' end", "case when v then 1.0 else 0.0 end",
+         "case when v then '{\"conditional_status\":' || case when n % 5 = 0 then '304' else '200' end || ',\"content_unchanged\":' || case when n % 5 = 0 or n % 2 = 0 then 'true' else 'false' end || ',\"result\":\"' || case when n % 5 = 0 then 'not_modified' when n % 2 = 0 then 'full_response_unchanged' else 'full_response_changed' end || '\",\"validator\":\"' || case when n % 3 = 0 then 'etag' else 'last-modified' end || '\"}' else 'null' end"),
+    ),
+    "attempt_follow_ups": """with a as (select cast(l_orderkey as varchar) as run_id, l_linenumber // 4 as request, l_linenumber as n, case l_returnflag when 'R' then 503 when 'A' then 301 else 200 end as s, case when l_linenumber % 2 = 0 then 9.0 else 0.0 end as w from (select l_orderkey, l_linenumber, max(l_returnflag) as l_returnflag from lineitem group by all)),
+b as (select *, coalesce(sum(case when s = 301 then 1 else 0 end) over p, 0) as r, coalesce(sum(case when s = 503 then 1 else 0 end) over p, 0) as t, count(*) over (partition by run_id order by request, n rows unbounded preceding) as spent from a window p as (partition by run_id, request order by n rows between unbounded preceding and 1 preceding))
+select run_id, n, case when s = 200 then 'done' when spent >= 8 then 'budget_exhausted' when s = 301 then case when r >= 5 then 'too_many_redirects' else 'redirect' end when t >= 1 then 'gave_up' when w > 5 then 'deferred' else 'retry' end as follow from b""",
+    "job_transitions": """with o as (select o_custkey % 10 as run_id, o_orderkey as ordinal, o_orderstatus = 'O' as r, o_orderkey % 2 = 0 as e, o_orderkey % 3 as k from orders)
+select run_id, ordinal, case when not r then 'pending' when e and run_id % 2 = 0 and run_id < 8 then case k when 0 then 'completed' when 1 then 'deferred' else 'failed' end else 'running' end as status, 1 + case when r and e and run_id % 2 = 0 and run_id < 8 and k < 2 then 4 else 0 end as request_count from o""",
+}
