@@ -117,9 +117,10 @@ FEATURES = [
 ]
 
 
-def with_votes(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with the base counts, base_failed and the votes; columns of these names are replaced."""
-    names = [f.name for f in FEATURES]
+def with_votes(docs: DataFrame, text: str = "text", keep_text: bool = True, prefix: str = "") -> DataFrame:
+    """``docs`` with the base counts, base_failed and the votes (names after ``prefix``); columns of these names are replaced."""
+    features = [StructField(prefix + f.name, f.dataType) for f in FEATURES]
+    names = [f.name for f in features]
     base = docs.drop(*names)
     rest = [f for f in base.schema.fields if keep_text or f.name != text]
 
@@ -132,7 +133,7 @@ def with_votes(docs: DataFrame, text: str = "text", keep_text: bool = True) -> D
             columns += [pa.array(failed, pa.bool_()), pa.array([f[1] for f in found], pa.list_(pa.int8()))]
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in rest), *names])
 
-    return base.mapInArrow(run, StructType(rest + FEATURES))
+    return base.mapInArrow(run, StructType(rest + features))
 
 
 class LabelModel:
@@ -175,12 +176,12 @@ def fit(voted: DataFrame) -> LabelModel:
     return LabelModel(votes, np.array([r["count"] for r in rows], dtype=float))
 
 
-def probability(model: LabelModel) -> Column:
-    """The posterior probability of good as an expression on ``votes``."""
+def probability(model: LabelModel, votes: str = "votes") -> Column:
+    """The posterior probability of good as an expression on the column of votes."""
     base, add = model.weights()
     odds = F.lit(base)
     for j, row in enumerate(add):
-        odds = odds + F.element_at(F.array(*(F.lit(float(x)) for x in row)), F.get("votes", F.lit(j)).cast("int") + 2)
+        odds = odds + F.element_at(F.array(*(F.lit(float(x)) for x in row)), F.get(votes, F.lit(j)).cast("int") + 2)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
@@ -196,6 +197,5 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns as they were; texts are read twice, never shuffled."""
     columns = docs.columns
     model = fit(with_votes(docs.select("text"), keep_text=False))
-    packed = docs.select(F.struct(*columns).alias("_row"), F.col("text").alias("_text"))
-    voted = with_votes(packed, text="_text", keep_text=False)
-    return voted.where(~F.col("base_failed") & (probability(model) >= threshold)).select("_row.*")
+    voted = with_votes(docs, prefix="_q_")
+    return voted.where(~F.col("_q_base_failed") & (probability(model, "_q_votes") >= threshold)).select(*columns)
