@@ -125,3 +125,13 @@ def retry_after(value: Column, now: Column) -> Column:
     date = F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss zzz"))
     seconds = F.when(text.rlike(r"^\+?[0-9]{1,9}$"), F.try_to_number(F.regexp_replace(text, r"\+", ""), F.lit("999999999")).cast("double"))
     return F.coalesce(seconds, F.when(date.isNotNull(), F.greatest(F.lit(0.0), date.cast("double") - now.cast("double"))))
+
+
+def is_text_type(content_type: Column) -> Column:
+    """HTML, XHTML or plain text."""
+    return F.lower(content_type).rlike("^(text/html|application/xhtml\\+xml|text/plain)")
+
+
+def distinguished_name(parts: Column) -> Column:
+    """An array of (key, value) as "key=value, key=value"."""
+    return F.array_join(F.transform(parts, lambda p: F.concat_ws("=", p["key"], p["value"])), ", ")

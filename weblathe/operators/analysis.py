@@ -81,7 +81,8 @@ def totals(observations: DataFrame, changes: DataFrame) -> DataFrame:
     """One row: snapshots, domains, signals, comparisons, changed, unchanged."""
     counts = observations.agg(F.count_distinct("run_id").alias("snapshots"), F.count_distinct("domain").alias("domains"), F.count_distinct("signal").alias("signals"))
     compared = changes.agg(F.count("*").alias("comparisons"), F.count_if("changed").alias("changed"), F.count_if(~F.col("changed")).alias("unchanged"))
-    return counts.join(compared)  # one row each
+    parts = counts.unionByName(compared, allowMissingColumns=True)  # one row each
+    return parts.agg(*(F.max(c).alias(c) for c in parts.columns))
 
 
 def transitions(changes: DataFrame) -> DataFrame:
@@ -146,3 +147,20 @@ def detector_validation(judged: DataFrame, *by: str) -> DataFrame:
     hit, flag, truth = F.col("flag") & F.col("truth"), F.col("flag"), F.col("truth")
     grouped = judged.groupBy(*by).agg(F.count_if(hit).alias("tp"), F.count_if(flag & ~truth).alias("fp"), F.count_if(~F.coalesce(flag, F.lit(False)) & truth).alias("fn"), F.count_if(flag.isNull()).alias("abstained"), F.count("*").alias("n"))
     return grouped.select(*by, "tp", "fp", "fn", F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"), (F.col("abstained") / F.col("n")).alias("abstention"))
+
+
+def failed_results(failures: DataFrame, catalog: DataFrame) -> DataFrame:
+    """A failed target (target, message) as one error for each signal of the catalog, a constant table."""
+    signals = F.array(*(F.lit(r["signal"]) for r in catalog.collect()))
+    return failures.select("target", F.lit(None).cast("string").alias("domain"), F.explode(signals).alias("signal"), F.lit("error").alias("outcome"), F.col("message").alias("method"))
+
+
+def run_totals(runs: DataFrame) -> DataFrame:
+    """Requests, failures and notes over the rows of ``runs_of_snapshots``; a null domain is a failed target."""
+    return runs.agg(F.count("*").alias("targets"), F.coalesce(F.sum("http_requests"), F.lit(0)).alias("requests"), F.count_if(F.col("domain").isNull()).alias("failed"), F.coalesce(F.sum("probe_errors"), F.lit(0)).alias("notes"))
+
+
+def stratum_shares(observations: DataFrame, selection: DataFrame) -> DataFrame:
+    """Outcome shares by family and stratum: observations joined with the selected domains they belong to."""
+    strata = selection.where("selected").select("domain", F.concat_ws("/", "sector", "geography", "popularity_band").alias("stratum"))
+    return outcome_shares(observations.withColumn("family", family(F.col("signal"))).join(strata, "domain"), "stratum", "family")

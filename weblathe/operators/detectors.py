@@ -16,7 +16,7 @@ from weblathe.functions.urls import host_of, same_site
 
 from .observe import certain, emit, inconclusive, list_value, missing_page, nested_json, observe, scalar_json, seen, text_value
 
-TOKEN = "openness-research"
+TOKEN = "weblathe"
 
 
 def ok(status: Column) -> Column:

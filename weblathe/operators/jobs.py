@@ -72,6 +72,17 @@ def progress(jobs: DataFrame) -> DataFrame:
     return grouped.withColumn("fraction_finished", F.when(F.col("total") == 0, 1.0).otherwise(done / F.col("total")))
 
 
+def progress_lines(progressed: DataFrame) -> DataFrame:
+    """One JSON line for each run's progress, keys in alphabetical order."""
+    return progressed.select(F.to_json(F.struct(*sorted(progressed.columns))).alias("value"))
+
+
+def readiness(controls: DataFrame) -> DataFrame:
+    """Checks of the control table (name, value): whether the global stop can be read and is not set."""
+    found = controls.where("name = 'global_stop'").agg(F.count("*").alias("n"), F.max(F.lower(F.col("value").cast("string"))).alias("v"))
+    return found.select((F.col("n") == 1).alias("control_present"), F.coalesce(F.col("v").isin("1", "true"), F.lit(False)).alias("stopped"))
+
+
 def run_status(progressed: DataFrame, stop: Column) -> DataFrame:
     """stopped over completed_with_errors over completed_with_deferred over completed_with_notes over completed."""
     ladder = (

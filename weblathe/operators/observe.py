@@ -63,8 +63,29 @@ def inconclusive(o: Column, when: Column, method: str, outcome="error", only_abs
 
 
 def emit(rows: DataFrame, *observations: Column, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """One row for each observation of each input row: narrow, no shuffle."""
-    return rows.select(*keys, F.inline(F.array(*observations)))
+    """One row for each observation of each input row, with the row's ``evidence`` if it has some: narrow, no shuffle."""
+    kept = [*keys, *(c for c in ("evidence",) if c in rows.columns)]
+    return rows.select(*kept, F.inline(F.array(*observations)))
+
+
+EVIDENCE = "array<struct<source_url: string, observed_at: timestamp, http_status: int, content_sha256: string, note: string>>"
+
+
+def fetch_evidence(source_url: Column, observed_at: Column, status: Column, digest: Column, note: str | None = None) -> Column:
+    """One piece of evidence: where, when, status and digest of what was read."""
+    piece = F.struct(source_url.alias("source_url"), observed_at.alias("observed_at"), status.cast("int").alias("http_status"), digest.alias("content_sha256"), F.lit(note).cast("string").alias("note"))
+    return F.array(piece).cast(EVIDENCE)
+
+
+def request_evidence(requests: Column, note: str | None = None) -> Column:
+    """Evidence of each attempt in an array of requests; the address is the last one it reached."""
+    piece = lambda r: F.struct(F.coalesce(r["final_url"], r["requested_url"]).alias("source_url"), r["started_at"].alias("observed_at"), r["status_code"].cast("int").alias("http_status"), r["content_sha256"].alias("content_sha256"), F.lit(note).cast("string").alias("note"))
+    return F.transform(requests, piece).cast(EVIDENCE)
+
+
+def matching_evidence(evidence: Column, source_urls: Column) -> Column:
+    """The evidence from any of the given addresses."""
+    return F.filter(evidence, lambda e: F.array_contains(source_urls, e["source_url"]))
 
 
 def missing_page(status: Column, error: Column, allowed: Column) -> Column:
@@ -72,8 +93,8 @@ def missing_page(status: Column, error: Column, allowed: Column) -> Column:
     return F.when(~F.coalesce(allowed, F.lit(False)), "skipped").when(error.isNull() & status.isNotNull(), "skipped").otherwise("error")
 
 
-def snapshots_of(observations: DataFrame, runs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+def snapshots_of(observations: DataFrame, runs: DataFrame) -> DataFrame:
     """Observations of all detectors gathered into one map for each run; a signal given twice fails the job."""
-    entry = F.struct("signal", F.struct(*(c for c in ("value_json", "outcome", "confidence", "confidence_score", "method"))))
-    gathered = observations.groupBy("run_id").agg(F.map_from_entries(F.collect_list(entry)).alias("observations"))
+    fields = ["value_json", "outcome", "confidence", "confidence_score", "method", *(c for c in ("evidence",) if c in observations.columns)]
+    gathered = observations.groupBy("run_id").agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct(*fields)))).alias("observations"))
     return runs.join(gathered, "run_id", "left")

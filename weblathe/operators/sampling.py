@@ -49,7 +49,8 @@ def manifest(selection: DataFrame, seed: str, per_stratum: int) -> DataFrame:
     """The header row of a selection: seed, sizes, and all sources in order."""
     sources = selection.select(F.explode("sources").alias("s")).agg(F.array_join(F.array_sort(F.collect_set("s")), ",").alias("sources"))
     sizes = selection.agg(F.count("*").alias("frame_size"), F.count_if("eligible").alias("eligible_size"), F.count_if("selected").alias("selected_size"))
-    return sizes.join(sources).select(F.lit(seed).alias("seed"), F.lit(per_stratum).alias("per_stratum"), "frame_size", "eligible_size", "selected_size", "sources")
+    parts = sizes.unionByName(sources, allowMissingColumns=True)  # one row each
+    return parts.agg(*(F.max(c).alias(c) for c in parts.columns)).select(F.lit(seed).alias("seed"), F.lit(per_stratum).alias("per_stratum"), "frame_size", "eligible_size", "selected_size", "sources")
 
 
 def panel_split(selection: DataFrame, panel_tenths: int = 8) -> DataFrame:
