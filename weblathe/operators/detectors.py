@@ -285,11 +285,24 @@ def with_page_facts(rows: DataFrame) -> DataFrame:
     return parsed.withColumn("ld", linked_data(F.col("page.ld"))).withColumn("is_page", F.coalesce(html, F.lit(False)))
 
 
-def judged(out: list[Column]) -> list[Column]:
-    """Absences on cut-off pages are errors; without a page all is skipped or error."""
-    why = missing_page(F.col("status_code"), F.col("error"), F.col("allowed"))
-    out = [inconclusive(o, F.col("truncated"), "the page was cut off; absence can't be told") for o in out]
-    return [inconclusive(o, ~F.col("is_page"), "there was no homepage markup", why, only_absent=False) for o in out]
+def judged(pages: DataFrame, out: list[Column]) -> DataFrame:
+    """The observations of each page. Absences on cut-off pages are errors; without a page all is skipped or error.
+
+    Judged after the rows are spread, so that each observation's expression stands once in the plan.
+    """
+    rows = emit(pages, *out, keys=("run_id", "status_code", "error", "allowed", "truncated", "is_page"))
+    none, cut = ~F.col("is_page"), F.coalesce("truncated", F.lit(False)) & (F.col("outcome") == "no_evidence")
+    pick = lambda field, absent, broken: F.when(none, absent).when(cut, broken).otherwise(F.col(field)).alias(field)
+    return rows.select(
+        "run_id",
+        *(c for c in ("evidence",) if c in rows.columns),
+        "signal",
+        pick("outcome", missing_page(F.col("status_code"), F.col("error"), F.col("allowed")), "error"),
+        pick("confidence", "unknown", "unknown"),
+        pick("confidence_score", 0.0, 0.0),
+        pick("value_json", "null", "null"),
+        pick("method", "there was no homepage markup", "the page was cut off; absence can't be told"),
+    )
 
 
 def interface_candidate(link: Column) -> Column:
@@ -316,11 +329,16 @@ def metadata_signals(pages: DataFrame) -> DataFrame:
     rel = lambda r, extra=None: F.filter(links, lambda x: (x["tag"] == "link") & F.array_contains(x["rels"], r) & (extra(x) if extra else F.lit(True)))
     first = lambda a: F.try_element_at(F.filter(F.transform(a, lambda x: x["url"]), lambda u: u.isNotNull()), F.lit(1))
     feeds = sorted_set(F.array_compact(F.transform(rel("alternate", lambda x: x["type"].isin(*V.FEED_TYPES)), lambda x: x["url"])))
-    candidates = first_of_each_url(F.slice(F.filter(links, interface_candidate), 1, 50))
-    interfaces = F.transform(candidates, lambda x: F.struct(x["rels"].alias("rel"), x["tag"].alias("tag"), x["type"].alias("type"), x["url"].alias("url")))
-    kind = lambda words: sorted_set(F.transform(F.filter(candidates, lambda x: any_of(F.lower(F.concat_ws(" ", x["url"], F.coalesce(x["type"], F.lit("")))).contains(w) for w in words.split())), lambda x: x["url"]))
+    interfaces = F.transform("_candidates", lambda x: F.struct(x["rels"].alias("rel"), x["tag"].alias("tag"), x["type"].alias("type"), x["url"].alias("url")))
+    kind = lambda words: sorted_set(F.transform(F.filter("_candidates", lambda x: any_of(F.lower(F.concat_ws(" ", x["url"], F.coalesce(x["type"], F.lit("")))).contains(w) for w in words.split())), lambda x: x["url"]))
     anchors = F.slice(F.filter("page.anchors", lambda x: any_of(marked(x, "path", m) for m in V.LINK_MARKERS.values())), 1, 50)
-    named = lambda m: F.transform(first_of_each_url(F.filter(anchors, lambda x: x["url"].isNotNull() & marked(x, "url_path", m))), lambda x: F.struct(x["text"].alias("text"), x["url"].alias("url")))
+    named = lambda m: F.filter("_anchors", lambda x: x["url"].isNotNull() & marked(x, "url_path", m))
+    label = lambda links: F.transform(first_of_each_url(links), lambda x: F.struct(x["text"].alias("text"), x["url"].alias("url")))
+    # Step by step: a column that is read more than once is computed once, and no expression is copied into others.
+    kinds, groups = {f"_k{i}": s for i, s in enumerate(V.INTERFACE_MARKERS)}, {f"_m{i}": s for i, s in enumerate(V.LINK_MARKERS)}
+    pages = pages.withColumns({"_named": F.slice(F.filter(links, interface_candidate), 1, 50), "_anchors": anchors})
+    pages = pages.withColumns({"_candidates": first_of_each_url(F.col("_named")), **{c: named(V.LINK_MARKERS[s]) for c, s in groups.items()}})
+    pages = pages.withColumns({"_interfaces": interfaces, "_feeds": feeds, **{c: kind(V.INTERFACE_MARKERS[s]) for c, s in kinds.items()}, **{c: label(F.col(c)) for c in groups}})
     metas, has_ld = F.col("page.metas"), F.col("page.has_ld")
     generator = F.try_element_at(F.filter(F.transform(F.filter(metas, lambda m: m["name"] == "generator"), lambda m: m["content"]), lambda c: c.isNotNull()), F.lit(1))
     graph = F.exists(metas, lambda m: m["property"].startswith("og:"))
@@ -330,18 +348,18 @@ def metadata_signals(pages: DataFrame) -> DataFrame:
         seen("metadata.json_ld", has_ld, scalar_json(has_ld), "JSON-LD script"),
         types,
         seen("metadata.open_graph", graph, scalar_json(graph), "Open Graph property"),
-        list_value("metadata.feeds", feeds, "alternate links of feed types"),
+        list_value("metadata.feeds", F.col("_feeds"), "alternate links of feed types"),
         text_value("metadata.html_title", F.col("page.title"), "title element"),
         text_value("metadata.html_language", F.col("page.lang"), "lang of html"),
         text_value("metadata.canonical_url", first(rel("canonical")), "canonical link"),
         text_value("metadata.generator", generator, "generator meta"),
         text_value("metadata.web_manifest_url", first(rel("manifest")), "manifest link"),
         text_value("metadata.opensearch_url", opensearch, "search description link"),
-        list_value("agent.interface_links", interfaces, "service relations and named links; not fetched", "possible", 0.6),
-        *(list_value(s, kind(words), "named link; not fetched", "possible", 0.6) for s, words in V.INTERFACE_MARKERS.items()),
-        *(list_value(s, named(m), "named homepage link", "possible", 0.6) for s, m in V.LINK_MARKERS.items()),
+        list_value("agent.interface_links", F.col("_interfaces"), "service relations and named links; not fetched", "possible", 0.6),
+        *(list_value(s, F.col(c), "named link; not fetched", "possible", 0.6) for c, s in kinds.items()),
+        *(list_value(s, F.col(c), "named homepage link", "possible", 0.6) for c, s in groups.items()),
     ]
-    return emit(pages, *judged(out))
+    return judged(pages, out)
 
 
 def page_signals(pages: DataFrame) -> DataFrame:
@@ -362,15 +380,22 @@ def page_signals(pages: DataFrame) -> DataFrame:
     paid = F.array_contains("ld.free", False)
     licences = F.slice(sorted_set(F.concat("page.licence_urls", "ld.licences")), 1, 50)
     subscription = F.exists("ld.subscription", lambda x: x)
+    pages = pages.withColumns({
+        "_paywall": flags(*markers("paywall"), (paid, "jsonld:isAccessibleForFree=false")),
+        "_consent": flags(*markers("cookie_wall")),
+        "_captcha": flags(*markers("captcha")),
+        "_script": flags((script, "noscript:javascript-required")),
+        "_licences": licences,
+    })
     out = [
-        detection("human.paywall_detected", flags(*markers("paywall"), (paid, "jsonld:isAccessibleForFree=false")), F.coalesce(paid, F.lit(False)), "paywall declaration or marker"),
-        detection("human.cookie_wall_detected", flags(*markers("cookie_wall")), F.lit(False), "consent marker"),
-        detection("human.captcha_detected", flags(*markers("captcha")), F.lit(False), "CAPTCHA marker"),
-        detection("human.javascript_required", flags((script, "noscript:javascript-required")), F.lit(True), "noscript instruction"),
-        list_value("legal.license", licences, "licence link or declaration"),
+        detection("human.paywall_detected", F.col("_paywall"), F.coalesce(paid, F.lit(False)), "paywall declaration or marker"),
+        detection("human.cookie_wall_detected", F.col("_consent"), F.lit(False), "consent marker"),
+        detection("human.captcha_detected", F.col("_captcha"), F.lit(False), "CAPTCHA marker"),
+        detection("human.javascript_required", F.col("_script"), F.lit(True), "noscript instruction"),
+        list_value("legal.license", F.col("_licences"), "licence link or declaration"),
         seen("economic.subscription_required", F.size("ld.subscription") > 0, F.when(F.size("ld.subscription") > 0, scalar_json(subscription)).otherwise("null"), "requiresSubscription declaration"),
     ]
-    return emit(pages, *judged(out))
+    return judged(pages, out)
 
 
 # Policy texts
