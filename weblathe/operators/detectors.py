@@ -286,23 +286,22 @@ def with_page_facts(rows: DataFrame) -> DataFrame:
 
 
 def judged(pages: DataFrame, out: list[Column]) -> DataFrame:
-    """The observations of each page. Absences on cut-off pages are errors; without a page all is skipped or error.
+    """The observations of each page. Absences on cut-off pages are errors; without a page all is skipped or error."""
+    why = missing_page(F.col("status_code"), F.col("error"), F.col("allowed"))
 
-    Judged after the rows are spread, so that each observation's expression stands once in the plan.
-    """
-    rows = emit(pages, *out, keys=("run_id", "status_code", "error", "allowed", "truncated", "is_page"))
-    none, cut = ~F.col("is_page"), F.coalesce("truncated", F.lit(False)) & (F.col("outcome") == "no_evidence")
-    pick = lambda field, absent, broken: F.when(none, absent).when(cut, broken).otherwise(F.col(field)).alias(field)
-    return rows.select(
-        "run_id",
-        *(c for c in ("evidence",) if c in rows.columns),
-        "signal",
-        pick("outcome", missing_page(F.col("status_code"), F.col("error"), F.col("allowed")), "error"),
-        pick("confidence", "unknown", "unknown"),
-        pick("confidence_score", 0.0, 0.0),
-        pick("value_json", "null", "null"),
-        pick("method", "there was no homepage markup", "the page was cut off; absence can't be told"),
-    )
+    def judge(o: Column) -> Column:
+        none, cut = ~F.col("is_page"), F.coalesce("truncated", F.lit(False)) & (o["outcome"] == "no_evidence")
+        pick = lambda field, absent, broken: F.when(none, absent).when(cut, broken).otherwise(o[field]).alias(field)
+        return F.struct(
+            o["signal"].alias("signal"),
+            pick("outcome", why, "error"),
+            pick("confidence", "unknown", "unknown"),
+            pick("confidence_score", 0.0, 0.0),
+            pick("value_json", "null", "null"),
+            pick("method", "there was no homepage markup", "the page was cut off; absence can't be told"),
+        )
+
+    return emit(pages, *out, judge=judge)
 
 
 def interface_candidate(link: Column) -> Column:

@@ -7,6 +7,8 @@ confidence, confidence_score, value_json, method). Absence (no_evidence), a step
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +64,14 @@ def inconclusive(o: Column, when: Column, method: str, outcome="error", only_abs
     return F.when(replace, unknown).otherwise(o)
 
 
-def emit(rows: DataFrame, *observations: Column, keys: tuple[str, ...] = ("run_id",)) -> DataFrame:
-    """One row for each observation of each input row, with the row's ``evidence`` if it has some: narrow, no shuffle."""
-    kept = [*keys, *(c for c in ("evidence",) if c in rows.columns)]
-    return rows.select(*kept, F.inline(F.array(*observations)))
+def emit(rows: DataFrame, *observations: Column, judge: Callable[[Column], Column] | None = None) -> DataFrame:
+    """One row for each observation of each input row, with the row's ``evidence`` if it has some: narrow, no shuffle.
+
+    ``judge`` changes each observation; it is one lambda on the array, so no expression is copied.
+    """
+    kept = ["run_id", *(c for c in ("evidence",) if c in rows.columns)]
+    all_of = F.array(*observations)
+    return rows.select(*kept, F.inline(F.transform(all_of, judge) if judge else all_of))
 
 
 EVIDENCE = "array<struct<source_url: string, observed_at: timestamp, http_status: int, content_sha256: string, note: string>>"
