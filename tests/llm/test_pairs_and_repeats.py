@@ -1,5 +1,6 @@
 """Operators that compare documents: against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -76,6 +77,20 @@ def test_run_index_odd_tables(odd, nothing):
     assert sorted(r["n_bytes"] for r in got) == sorted(len(r["text"] or "") for r in odd.collect())
 
 
+@pytest.mark.parametrize("hot_segments", [1, 20_000])
+def test_run_index_keeps_the_first_of_equal_rows(spark, hot_segments):
+    rng = random.Random(8)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    data = [(1, a), (1, a), (1, a), (2, b), (None, c), (None, c), (None, "short"), (None, "short"), (3, None), (3, None)]
+    frame = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    whole = lambda i, t: (i, len(t), 0, 0, sha(t))
+    gone = lambda i, t: (i, len(t), len(t), 1, sha(""))
+    want = [whole(1, a), gone(1, a), gone(1, a), whole(2, b), whole(None, c), gone(None, c), *[whole(None, "short")] * 2, *[whole(3, "")] * 2]
+    got = [tuple(r) for r in runindex.repeats_report(frame, hot_segments).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=25).map(lambda b: bytes(c % 3 for c in b)), min_size=1, max_size=10))
 def test_run_index_streams_rows_and_matches(strings):

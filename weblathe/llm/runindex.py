@@ -21,7 +21,8 @@ differ) is not indexed in one block: its windows become rows keyed by a 128-bit
 occurrence is a minimum. This is exact, too, and spreads one anchor over all tasks.
 
 Null and empty texts are empty. If doc_ids repeat, rows of one id are ordered by the hash of their
-text; equal rows are one document. Null ids order last.
+text, and rows that also have the same text are numbered: the first keeps its bytes, the others are
+repeats of it. Null ids are one id, which orders last.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import byte_rows, id_or_last, mix64, null_if_last, sliding_argmin, written
@@ -430,10 +431,17 @@ def find_marks(named: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
 
 
 def named_documents(docs: DataFrame) -> DataFrame:
-    """(id, sub, text): sub tells rows apart that share a doc_id, 0 while ids are unique."""
+    """(id, sub, text): sub tells rows apart that share a doc_id, 0 while ids are unique.
+
+    Else it is the hash of the text (63 bits) plus the number of the row among equal ones, so no two
+    rows are one; the table is written, as each reading would sort it anew.
+    """
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    sub = F.coalesce(F.xxhash64("text"), F.lit(0)) if repeated else F.lit(0).cast("long")
-    return docs.select(id_or_last().alias("id"), sub.alias("sub"), "text")
+    if not repeated:
+        return docs.select(id_or_last().alias("id"), F.lit(0).cast("long").alias("sub"), "text")
+    hashed = docs.select(id_or_last().alias("id"), F.shiftright(F.xxhash64("text"), 1).alias("sub"), "text")
+    copy = F.row_number().over(Window.partitionBy("id", "sub").orderBy("text"))
+    return written(hashed.withColumn("sub", F.col("sub") + copy - 1), "named")
 
 
 def repeats_report(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
