@@ -178,6 +178,28 @@ def test_main_text_of_an_article():
     assert html_text.main_text(PAGE) == want
 
 
+BODY = [f"Paragraph {i} of the article, with words, commas, and a full stop at its end. " * 4 for i in range(6)]
+MENU = "<div id=top><a href=1>One</a> <a href=2>Two</a></div>"
+
+
+def paragraphs(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_text_beside_the_core_of_the_article_stays():
+    lead, end = "A lead, short, but of the article.", "A closing line, as short."
+    for first, last in (("<h1>Title</h1>", ""), (f"<p>{lead}</p>", ""), ("", f"<p>{end}</p>"), ("<h1>Title</h1>", f"<div><p>{end}</p></div>")):
+        page = f"<body>{MENU}<div id=content>{first}<div class=entry>{paragraphs(BODY)}</div>{last}</div><div><a href=3>Three</a></div>"
+        want = [t for t, on in (("Title", "Title" in first), (lead, lead in first)) if on] + [t.strip() for t in BODY] + ([end] if last else [])
+        assert html_text.main_text(page).split("\n") == want
+
+
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div class=no-sidebar", "div class='post comments-open'", "article class=comments-open", "div class=widget"])
+def test_hints_do_not_drop_what_wraps_the_article(wrapper):
+    page = f"<body>{MENU}<{wrapper}>{paragraphs(BODY)}<div class=sidebar><p>Read, this, too.</p></div></{wrapper.split()[0]}><div class=comments>{paragraphs(['First, I say.'] * 80)}</div>"
+    assert html_text.main_text(page).split("\n") == [t.strip() for t in BODY]
+
+
 def test_main_text_without_semantic_tags():
     body = "".join(f"<p>Paragraph {i} of the story, with commas, and a full stop. It is long enough to count.</p>" for i in range(6))
     page = f"<html><body><div id=top><a href=1>One</a> <a href=2>Two</a></div><div><div><h1>Title</h1>{body}</div></div><div id=x><a href=3>Three</a></div>"

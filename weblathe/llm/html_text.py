@@ -4,10 +4,14 @@ A page is read once into blocks of text. Each block has the path of block-level
 Per path: text length, punctuation and link text, summed over its blocks; their ratios to the number
 of blocks are fused into one score. Scores are smoothed along the page, so that a short paragraph
 between long ones isn't lost, and paths above a threshold (a share of the spread of the page's own
-scores) are content paths. Their text picks the content container, the deepest element that holds
-nearly all of it; the blocks in it are the main text, in page order, less those inside menus,
-headers, footers, sidebars, notices, adverts, forms and reader comments, known by tag, role or the
-words of class and id.
+scores) are content paths. The deepest element that holds nearly all their text is the core of the
+page; the content container is the least element around all blocks of content paths, and what is
+around it while that is text, not links (a title or a lead beside the core). All blocks of the core
+and the blocks of the container that aren't mostly links are the main text, in page order, less
+those inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by
+tag, role or the words of class and id. A word of class or id doesn't drop an element that holds half
+of the page's text and few links (or, if the word only tells a state, as in has-sidebar, a tenth);
+only reader comments go at any size.
 
 Null or empty html gives an empty text, as does a page without content. Cut-off and misnested markup
 is read as browsers do in the cases that occur (an open p ends at the next block, and so on).
@@ -42,6 +46,8 @@ HINTS = frozenset(
 )
 ARTICLE_HINTS = frozenset("comment comments respond reply replies sponsored promo related advertisement".split())
 HEADERS = frozenset(("header", "site-header", "page-header", "siteheader", "pageheader", "top-header"))
+COMMENT_HINTS = frozenset("comment comments commentlist respond reply replies disqus".split())
+STATES = frozenset("has have no not with without open opened closed enabled disabled on off is".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
@@ -52,41 +58,48 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("boilerplate", "content", "depth", "parent", "path", "tag")
+    __slots__ = ("boilerplate", "content", "depth", "hint", "parent", "path", "tag")
 
-    def __init__(self, tag: str, parent: Element | None, hint: bool):
-        self.tag, self.parent = tag, parent
+    def __init__(self, tag: str, parent: Element | None, hint: str):
+        self.tag, self.parent, self.hint = tag, parent, hint
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.depth = parent.depth + 1 if parent else 0
         self.content = tag in CONTENT or bool(parent and parent.content)
-        away = tag in DROPPED or hint or (tag == "header" and not self.content)
+        away = tag in DROPPED or hint == "away" or (tag == "header" and not self.content)
         self.boilerplate = away or bool(parent and parent.boilerplate)
 
 
-def hinted(tag: str, attributes: str) -> bool:
-    """Whether role, class, id or visibility says that an element isn't part of the article."""
+def hinted(tag: str, attributes: str) -> str:
+    """What role, visibility, class and id say of an element: "away" if it isn't part of the article;
+    by class or id only, "comments", "likely" or (for a word of state) "state"; else nothing."""
     if tag in ("html", "body", "main"):
-        return False
+        return ""
     hints = ARTICLE_HINTS if tag == "article" else HINTS
+    said = set()
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if any(c.lower() in HEADERS for c in value.split()):
-                return True
-            if not hints.isdisjoint(w.lower() for w in WORD.findall(CAMEL.sub(" ", value))):
-                return True
+            for c in value.split():
+                words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", c))}
+                found = hints & words
+                if c.lower() in HEADERS:
+                    said.add("likely")
+                elif found and words & STATES:
+                    said.add("state")
+                elif found:
+                    said.add("comments" if found & COMMENT_HINTS else "likely")
         elif name == "role":
             if value.lower() in ROLES:
-                return True
+                return "away"
         elif name == "hidden":
             if not m[0].strip().lower().startswith("hidden=false"):
-                return True
+                return "away"
         elif name == "aria-hidden":
             if value.lower() == "true":
-                return True
+                return "away"
         elif re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return "away"
+    return next((kind for kind in ("comments", "likely", "state") if kind in said), "")
 
 
 class Block:
@@ -99,7 +112,7 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text, white space collapsed and character references decoded."""
     out: list[Block] = []
-    here = Element("", None, False)
+    here = Element("", None, "")
     parts: list[str] = []
     linked, in_link, at = 0, False, 0
 
@@ -161,7 +174,7 @@ def blocks_of(page: str) -> list[Block]:
             if node.tag in ended and node.parent:
                 here = node.parent
         if not m[3].endswith("/"):
-            here = Element(tag, here, hinted(tag, m[3]) if m[3] else False)
+            here = Element(tag, here, hinted(tag, m[3]) if m[3] else "")
     flush()
     return out
 
@@ -188,41 +201,67 @@ def scores(blocks: list[Block]) -> list[float]:
     return [sqrt(r * s) for r, s in zip(raw, smooth, strict=True)]
 
 
+def around(element: Element) -> Iterator[Element]:
+    """The element and all elements around it."""
+    node: Element | None = element
+    while node:
+        yield node
+        node = node.parent
+
+
+def without_hinted(blocks: list[Block]) -> list[Block]:
+    """The blocks that no class or id drops."""
+    text, linked = Counter(), Counter()
+    for b in blocks:
+        for node in around(b.element):
+            if node.hint:
+                text[node] += len(b.text)
+                linked[node] += b.linked
+    total = sum(len(b.text) for b in blocks)
+    least = {"likely": 0.5, "state": 0.1}
+    stays = {n for n, size in text.items() if n.hint in least and size >= least[n.hint] * total and 2 * linked[n] < size}
+    return [b for b in blocks if all(not n.hint or n in stays for n in around(b.element))]
+
+
 def main_text(page: str, spread: float = 0.5, share: float = 0.9) -> str:
     """The main text of a page, one line for each block."""
-    blocks = [b for b in blocks_of(page) if not b.element.boilerplate]
+    blocks = without_hinted([b for b in blocks_of(page) if not b.element.boilerplate])
     if not blocks:
         return ""
     value = scores(blocks)
     mean = sum(value) / len(value)
     threshold = spread * sqrt(sum((v - mean) ** 2 for v in value) / len(value))
     chosen = [b for b, v in zip(blocks, value, strict=True) if v >= threshold and v > 0]
-    held: dict[int, int] = {}
-    nodes: dict[int, Element] = {}
-    for b in chosen:
-        node: Element | None = b.element
-        while node:
-            held[id(node)] = held.get(id(node), 0) + len(b.text)
-            nodes[id(node)] = node
-            node = node.parent
-    if not held:
+    if not chosen:
         return ""
+    held, size, count = Counter(), Counter(), Counter()
+    for b in chosen:
+        for node in around(b.element):
+            held[node] += 1
+            size[node] += len(b.text)
     total = sum(len(b.text) for b in chosen)
     # A container, not a paragraph: unless the paragraph is alone in it, its parent holds as much.
-    best = max((n for k, n in nodes.items() if held[k] >= share * total), key=lambda n: n.depth)
-    around = best
-    while around.parent and around.tag not in CONTENT:
-        around = around.parent
-    if around.tag in CONTENT:
-        best = around
-    elif best.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and best.parent:
-        best = best.parent
+    core = max((n for n in held if size[n] >= share * total), key=lambda n: n.depth)
+    article = next((n for n in around(core) if n.tag in CONTENT), None)
+    if article:
+        core = article
+    elif core.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and core.parent:
+        core = core.parent
+    container = core
+    if not article:
+        container = next(n for n in around(core) if held[n] == len(chosen))
+        texts = Counter()
+        for b in blocks:
+            for node in around(b.element):
+                count[node] += 1
+                texts[node] += 2 * b.linked < len(b.text)
+        links = count[container] - texts[container]
+        while container.parent and container.parent.tag not in ("", "html", "body") and count[container.parent] - texts[container.parent] == links:
+            container = container.parent
     kept = []
     for b in blocks:
-        node = b.element
-        while node and node is not best:
-            node = node.parent
-        if node:
+        nodes = list(around(b.element))
+        if core in nodes or (container in nodes and 2 * b.linked < len(b.text)):
             kept.append(b.text)
     return "\n".join(kept)
 
