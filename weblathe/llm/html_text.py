@@ -1,20 +1,26 @@
 """Main text of web pages by tag-path ratios (after Wu et al., 2013: CEPR/CEPF).
 
-A page is read once into blocks of text. Each block has the path of block-level tags from the root.
-Per path: text length, punctuation and link text, summed over its blocks; their ratios to the number
-of blocks are fused into one score. Scores are smoothed along the page, so that a short paragraph
-between long ones isn't lost, and paths above a threshold (a share of the spread of the page's own
-scores) are content paths. The deepest element that holds nearly all their text is the core of the
-page; the content container is the least element around all blocks of content paths, and what is
-around it while that is text, not links (a title or a lead beside the core). All blocks of the core
-and the blocks of the container that aren't mostly links are the main text, in page order, less
-those inside menus, headers, footers, sidebars, notices, adverts, forms and reader comments, known by
-tag, role or the words of class and id. A word of class or id doesn't drop an element that holds half
-of the page's text and few links (or, if the word only tells a state, as in has-sidebar, a tenth);
-only reader comments go at any size.
+1. A page is read once, left to right, into blocks of text. Each block has a tag path: the labels of
+   the block-level elements from the root to it (tag with the letters of its id and class). Paths
+   are numbers in a tree of labels, so elements that repeat (the paragraphs of an article, the
+   entries of a menu) share one path.
+2. For each path, text length, punctuation and linked text are summed over its blocks; for each
+   container, over the blocks in it and directly below. Text per block, punctuation per block, volume
+   and the share of text outside links are fused into one ratio.
+3. Ratios are smoothed twice: down the tree (a heading, list or table has a part of the ratio of the
+   containers around it) and along the page (a Gaussian over neighbouring blocks, less across
+   containers). A smoothed ratio counts by the path's share of text outside links.
+4. A weak prior weighs each path: articles and headings count for more, what tag, role, class or id
+   calls a menu, footer, notice or comment for less. The prior of a class or id fades with the share
+   of the page's text that the element holds, so ``has-sidebar`` around an article does no harm.
+5. Blocks whose score reaches ``SHARE`` of the page's mean score (weighted by text length) are the
+   main text, in page order. Nothing else chooses blocks; only elements that aren't displayed or
+   aren't text (scripts, forms' controls, hidden elements) are never read into blocks.
 
 Null or empty html gives an empty text, as does a page without content. Cut-off and misnested markup
-is read as browsers do in the cases that occur (an open p ends at the next block, and so on).
+is read as browsers do in the cases that occur (an open p ends at the next block, and so on); an
+unclosed quote in a tag ends the tag at the next ``>``, from there on quotes aren't heeded. Work and
+memory are linear in the page: very long and very deep pages are ordinary ones.
 """
 
 from __future__ import annotations
@@ -29,241 +35,296 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-# Names of HTML elements, by how text in them counts.
-RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select option datalist button".split())
-DROPPED = frozenset("nav footer aside form dialog menu fieldset head".split())
-INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input meta link base area col embed param source track".split()
-)
-CONTENT = frozenset("article main".split())
-ENDS_ITSELF = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
-STOPS = frozenset("ul ol dl table tbody thead tfoot div section article main body html".split())
-# Words of class or id that mark what is not the article.
-HINTS = frozenset(
-    "ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs "
-    "sidebar footer masthead cookie cookies consent gdpr notice alert newsletter subscribe subscription signup login social share sharing related recommended recommendations "
-    "comment comments commentlist respond reply replies disqus popup modal overlay widget toolbar pagination pager skip".split()
+SHARE = 0.25
+KERNEL = tuple(exp(-i * i / 2) for i in range(4))  # weight by distance along the page
+ACROSS = 0.5  # weight of a neighbour in another container
+BELOW = 0.75  # what a path has of the ratio of the container above it
+
+# Names of HTML elements.
+RAW = frozenset(
+    ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "option", "datalist", "button")
 )
-ARTICLE_HINTS = frozenset("comment comments respond reply replies sponsored promo related advertisement".split())
+INLINE = frozenset(
+    (
+        "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
+        "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input", "meta", "link", "base", "area",
+        "col", "embed", "param", "source", "track",
+    )
+)
+CONTENT = frozenset(("article", "main"))
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+ENDS_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+STOPS = frozenset(("ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "div", "section", "article", "main", "body", "html"))
+
+# What tags, roles and the words of class and id say of an element.
+AWAY_TAGS = frozenset(("nav", "footer", "aside", "form", "dialog", "menu", "fieldset", "head"))
+AWAY_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"))
 HEADERS = frozenset(("header", "site-header", "page-header", "siteheader", "pageheader", "top-header"))
-COMMENT_HINTS = frozenset("comment comments commentlist respond reply replies disqus".split())
-STATES = frozenset("has have no not with without open opened closed enabled disabled on off is".split())
-ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
-PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+HINTS = frozenset(
+    (
+        "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertisements", "sponsor", "sponsored", "promo", "promotion", "promoted", "banner", "nav",
+        "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "footer", "masthead", "cookie", "cookies", "consent", "gdpr", "notice", "alert",
+        "newsletter", "subscribe", "subscription", "signup", "login", "social", "share", "sharing", "related", "recommended", "recommendations", "popup",
+        "modal", "overlay", "widget", "toolbar", "pagination", "pager", "skip",
+    )
+)
+COMMENTS = frozenset(("comment", "comments", "commentlist", "respond", "reply", "replies", "disqus"))
+STATES = frozenset(("has", "have", "no", "not", "with", "without", "open", "opened", "closed", "enabled", "disabled", "on", "off", "is"))
+# Priors: of tags and roles, of reader comments, of class and id words, of such words with a word of state.
+AWAY, COMMENTED, HINTED, STATED, ARTICLE, HEADING = 0.03, 0.02, 0.05, 0.3, 3.0, 3.0
 
-MARK = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|</[^a-zA-Z][^>]*>", re.S)
+PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+TAG_REST = re.compile(r"[^'\">]*+(?:(?:\"[^\"]*\"|'[^']*')[^'\">]*+)*+>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-WORD = re.compile(r"[a-z]+", re.I)
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+LETTERS = re.compile(r"[a-z]+", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
-class Element:
-    __slots__ = ("boilerplate", "content", "depth", "hint", "parent", "path", "tag")
-
-    def __init__(self, tag: str, parent: Element | None, hint: str):
-        self.tag, self.parent, self.hint = tag, parent, hint
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.depth = parent.depth + 1 if parent else 0
-        self.content = tag in CONTENT or bool(parent and parent.content)
-        away = tag in DROPPED or hint == "away" or (tag == "header" and not self.content)
-        self.boilerplate = away or bool(parent and parent.boilerplate)
-
-
-def hinted(tag: str, attributes: str) -> str:
-    """What role, visibility, class and id say of an element: "away" if it isn't part of the article;
-    by class or id only, "comments", "likely" or (for a word of state) "state"; else nothing."""
-    if tag in ("html", "body", "main"):
-        return ""
-    hints = ARTICLE_HINTS if tag == "article" else HINTS
-    said = set()
+class Paths:
+    """The tree of labels of a page: one number for each path from the root."""
+
+    def __init__(self) -> None:
+        self.parent, self.tag, self.said, self.content, self.hidden = [0], [""], [""], [False], [False]
+        self.known: dict[tuple[int, str, str], int] = {}
+
+    def below(self, parent: int, tag: str, attributes: str) -> int:
+        """The path of an element of this tag under ``parent``."""
+        label, said, hidden = described(tag, attributes) if attributes else ("", "", False)
+        key = (parent, tag, label)
+        path = self.known.get(key)
+        if path is None:
+            path = self.known[key] = len(self.parent)
+            content = tag in CONTENT or self.content[parent]
+            if tag in AWAY_TAGS or (tag == "header" and not content):
+                said = "away"
+            self.parent.append(parent)
+            self.tag.append(tag)
+            self.said.append(said)
+            self.content.append(content)
+            self.hidden.append(hidden or self.hidden[parent])
+        return path
+
+
+def described(tag: str, attributes: str) -> tuple[str, str, bool]:
+    """An element's label (the letters of id and class, its role), what these say of it, and whether it is hidden."""
+    label: list[str] = []
+    said: set[str] = set()
+    hidden = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
             for c in value.split():
-                words = {w.lower() for w in WORD.findall(CAMEL.sub(" ", c))}
-                found = hints & words
-                if c.lower() in HEADERS:
-                    said.add("likely")
-                elif found and words & STATES:
-                    said.add("state")
-                elif found:
-                    said.add("comments" if found & COMMENT_HINTS else "likely")
+                words = [w.lower() for w in LETTERS.findall(CAMEL.sub(" ", c))]
+                label += words
+                if COMMENTS & set(words):
+                    said.add("stated" if STATES & set(words) else "comments")
+                elif HINTS & set(words) or c.lower() in HEADERS:
+                    said.add("stated" if STATES & set(words) else "hinted")
         elif name == "role":
-            if value.lower() in ROLES:
-                return "away"
+            label.append(value.lower())
+            if value.lower() in AWAY_ROLES:
+                said.add("away")
         elif name == "hidden":
-            if not m[0].strip().lower().startswith("hidden=false"):
-                return "away"
+            hidden |= not m[0].strip().lower().startswith("hidden=false")
         elif name == "aria-hidden":
-            if value.lower() == "true":
-                return "away"
-        elif re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return "away"
-    return next((kind for kind in ("comments", "likely", "state") if kind in said), "")
-
+            hidden |= value.lower() == "true"
+        else:
+            hidden |= bool(INVISIBLE.search(value))
+    if hidden:
+        label.append("*")
+    if tag in ("html", "body", "main"):
+        return "", "", False
+    return " ".join(label), next((kind for kind in ("away", "comments", "hinted", "stated") if kind in said), ""), hidden
 
-class Block:
-    __slots__ = ("element", "linked", "text")
 
-    def __init__(self, element: Element, text: str, linked: int):
-        self.element, self.text, self.linked = element, text, linked
+Block = tuple[int, str, int]  # path, text, characters in links
 
 
-def blocks_of(page: str) -> list[Block]:
+def blocks_of(page: str) -> tuple[Paths, list[Block]]:
     """The page's blocks of text, white space collapsed and character references decoded."""
-    out: list[Block] = []
-    here = Element("", None, "")
+    paths, out = Paths(), []
+    stack: list[tuple[int, str, Counter]] = [(0, "", Counter())]  # path, tag, open tags since the last of STOPS
+    opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, at = 0, False, 0
+    linked, in_link, at, quotes = 0, False, 0, True
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
-            if text:
-                out.append(Block(here, text, min(linked, len(text))))
+            path = stack[-1][0]
+            if text and not paths.hidden[path]:
+                out.append((path, text, min(linked, len(text))))
             parts.clear()
         linked = 0
 
-    while True:
-        m = MARK.search(page, at)
-        piece = page[at : m.start() if m else len(page)]
+    def add(piece: str) -> None:
+        nonlocal linked
         if piece:
             piece = unescape(piece) if "&" in piece else piece
             parts.append(piece)
             if in_link:
                 linked += len(piece.strip())
-        if not m:
+
+    def pop() -> str:
+        _, tag, scope = stack.pop()
+        opened[tag] -= 1
+        if tag not in STOPS:
+            scope[tag] -= 1
+        return tag
+
+    def close(tags: tuple[str, ...]) -> bool:
+        """Close the innermost open element of these tags; elements of STOPS are only closed by their own tags."""
+        own = tags[0] in STOPS
+        count = opened if own else stack[-1][2]
+        if not any(count[t] > 0 for t in tags):
+            return False
+        while pop() not in tags:
+            pass
+        return True
+
+    while at < len(page):
+        begin = page.find("<", at)
+        if begin < 0:
+            add(page[at:])
             break
-        at = m.end()
-        if m[2] is None:
+        following = page[begin + 1 : begin + 2]
+        closing = following == "/"
+        name = TAG_NAME.match(page, begin + 1 + closing)
+        if not name:
+            if page.startswith("<!--", begin):
+                add(page[at:begin])
+                end = page.find("-->", begin + 2)
+                at = len(page) if end < 0 else end + 3
+            elif closing or following in ("!", "?"):
+                add(page[at:begin])
+                end = page.find(">", begin)
+                at = len(page) if end < 0 else end + 1
+            else:
+                add(page[at : begin + 1])
+                at = begin + 1
             continue
-        tag, closing = m[2].lower(), m[1] == "/"
-        if tag in RAW and not closing:
-            if not m[3].endswith("/"):
+        add(page[at:begin])
+        end = TAG_REST.match(page, name.end()) if quotes else None
+        if end:
+            at = end.end()
+        else:
+            quotes = False
+            stop = page.find(">", name.end())
+            at = len(page) if stop < 0 else stop + 1
+        attributes = page[name.end() : at - 1]
+        tag = name[0].lower()
+        if tag in RAW:
+            if not closing and not attributes.endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             parts.append(" ")
-            continue
-        if tag in INLINE:
+        elif tag in INLINE:
             if tag == "a":
                 in_link = not closing
-            continue
-        if tag == "br":
+        elif tag == "br":
             parts.append(" ")
-            continue
-        flush()
-        if tag == "hr":
-            continue
-        if closing:
-            node = here
-            while node.parent and node.tag != tag:
-                if tag not in STOPS and node.tag in STOPS:
-                    break
-                node = node.parent
-            if node.tag == tag and node.parent:
-                here = node.parent
+        elif closing:
+            flush()
+            if close((tag,)):
                 in_link = False
-            continue
-        if here.tag == "p":
-            here = here.parent or here
-        if tag in ENDS_ITSELF:
-            ended, node = ENDS_ITSELF[tag].split(), here
-            while node.parent and node.tag not in ended and node.tag not in STOPS:
-                node = node.parent
-            if node.tag in ended and node.parent:
-                here = node.parent
-        if not m[3].endswith("/"):
-            here = Element(tag, here, hinted(tag, m[3]) if m[3] else "")
+        else:
+            flush()
+            if tag == "hr":
+                continue
+            if stack[-1][1] == "p":
+                pop()
+            if tag in ENDS_ITSELF:
+                close(ENDS_ITSELF[tag])
+            if not attributes.endswith("/"):
+                scope = Counter() if tag in STOPS else stack[-1][2]
+                stack.append((paths.below(stack[-1][0], tag, attributes), tag, scope))
+                opened[tag] += 1
+                if tag not in STOPS:
+                    scope[tag] += 1
     flush()
+    return paths, out
+
+
+class Sums:
+    """Text, punctuation, linked text and number of blocks, by path."""
+
+    def __init__(self, n: int):
+        self.length, self.marks, self.linked, self.times = [0] * n, [0] * n, [0] * n, [0] * n
+
+    def add(self, path: int, length: int, marks: int, linked: int, times: int) -> None:
+        self.length[path] += length
+        self.marks[path] += marks
+        self.linked[path] += linked
+        self.times[path] += times
+
+    def free(self, path: int) -> float:
+        """The share of text outside links."""
+        return 1 - self.linked[path] / max(1, self.length[path])
+
+    def ratio(self, path: int) -> float:
+        """Text per block, punctuation per block, volume and freedom from links, fused."""
+        n = self.times[path]
+        if not n:
+            return 0.0
+        return sqrt(self.length[path] / n * (1 + self.marks[path] / n)) * log(1 + self.length[path]) * self.free(path) ** 2
+
+
+def path_priors(paths: Paths, length: list[int]) -> list[float]:
+    """How much tag, role, class and id of a path and the paths above it let its ratio count."""
+    out = [1.0] * len(paths.parent)
+    fixed = {"away": AWAY, "comments": COMMENTED}
+    fading = {"hinted": HINTED, "stated": STATED}
+    for path in range(1, len(out)):
+        tag, said = paths.tag[path], paths.said[path]
+        own = ARTICLE if tag in CONTENT and not paths.content[paths.parent[path]] else HEADING if tag in HEADINGS else 1.0
+        if said in fixed:
+            own *= fixed[said]
+        elif said:
+            own *= fading[said] ** (1 - length[path] / max(1, length[0]))
+        out[path] = out[paths.parent[path]] * own
+    return out
+
+
+def scores(paths: Paths, blocks: list[Block]) -> list[float]:
+    """The smoothed tag-path ratio of each block, weighed by the prior of its path."""
+    n = len(paths.parent)
+    own, around = Sums(n), Sums(n)
+    for path, text, in_links in blocks:
+        own.add(path, len(text), len(PUNCTUATION.findall(text)), in_links, 1)
+    length = list(own.length)
+    for path in range(n - 1, 0, -1):  # a path's number is greater than that of the path above it
+        length[paths.parent[path]] += length[path]
+    for path in range(n):
+        for held in {path, paths.parent[path]}:  # the root is its own parent
+            around.add(held, own.length[path], own.marks[path], own.linked[path], own.times[path])
+    tree, given = [0.0] * n, [0.0] * n
+    for path in range(1, n):
+        given[path] = BELOW * max(given[paths.parent[path]], around.ratio(paths.parent[path]))
+        tree[path] = max(own.ratio(path), given[path])
+    raw = [tree[path] for path, _, _ in blocks]
+    inside = [paths.parent[path] for path, _, _ in blocks]
+    prior = path_priors(paths, length)
+    out = []
+    for i, (path, _, _) in enumerate(blocks):
+        total = weight = 0.0
+        for j in range(max(0, i - len(KERNEL) + 1), min(len(raw), i + len(KERNEL))):
+            w = KERNEL[abs(i - j)] * (1 if inside[i] == inside[j] else ACROSS)
+            total += w * raw[j]
+            weight += w
+        out.append(total / weight * own.free(path) * prior[path])
     return out
 
 
-def scores(blocks: list[Block]) -> list[float]:
-    """The fused and smoothed tag-path ratio of each block."""
-    length, marks, linked, times = Counter(), Counter(), Counter(), Counter()
-    for b in blocks:
-        path = b.element.path
-        length[path] += len(b.text)
-        marks[path] += len(PUNCTUATION.findall(b.text))
-        linked[path] += b.linked
-        times[path] += 1
-    fused = {}
-    for path, n in times.items():
-        free = 1 - linked[path] / max(1, length[path])
-        fused[path] = sqrt(length[path] / n * (1 + marks[path] / n)) * log(1 + length[path]) * free * free
-    raw = [fused[b.element.path] * (2 if b.element.content else 1) for b in blocks]
-    kernel = [exp(-i * i / 2) for i in range(-2, 3)]
-    smooth = []
-    for i in range(len(raw)):
-        near = [(raw[i + d], kernel[d + 2]) for d in range(-2, 3) if 0 <= i + d < len(raw)]
-        smooth.append(sum(r * k for r, k in near) / sum(k for _, k in near))
-    return [sqrt(r * s) for r, s in zip(raw, smooth, strict=True)]
-
-
-def around(element: Element) -> Iterator[Element]:
-    """The element and all elements around it."""
-    node: Element | None = element
-    while node:
-        yield node
-        node = node.parent
-
-
-def without_hinted(blocks: list[Block]) -> list[Block]:
-    """The blocks that no class or id drops."""
-    text, linked = Counter(), Counter()
-    for b in blocks:
-        for node in around(b.element):
-            if node.hint:
-                text[node] += len(b.text)
-                linked[node] += b.linked
-    total = sum(len(b.text) for b in blocks)
-    least = {"likely": 0.5, "state": 0.1}
-    stays = {n for n, size in text.items() if n.hint in least and size >= least[n.hint] * total and 2 * linked[n] < size}
-    return [b for b in blocks if all(not n.hint or n in stays for n in around(b.element))]
-
-
-def main_text(page: str, spread: float = 0.5, share: float = 0.9) -> str:
+def main_text(page: str, share: float = SHARE) -> str:
     """The main text of a page, one line for each block."""
-    blocks = without_hinted([b for b in blocks_of(page) if not b.element.boilerplate])
-    if not blocks:
-        return ""
-    value = scores(blocks)
-    mean = sum(value) / len(value)
-    threshold = spread * sqrt(sum((v - mean) ** 2 for v in value) / len(value))
-    chosen = [b for b, v in zip(blocks, value, strict=True) if v >= threshold and v > 0]
-    if not chosen:
-        return ""
-    held, size, count = Counter(), Counter(), Counter()
-    for b in chosen:
-        for node in around(b.element):
-            held[node] += 1
-            size[node] += len(b.text)
-    total = sum(len(b.text) for b in chosen)
-    # A container, not a paragraph: unless the paragraph is alone in it, its parent holds as much.
-    core = max((n for n in held if size[n] >= share * total), key=lambda n: n.depth)
-    article = next((n for n in around(core) if n.tag in CONTENT), None)
-    if article:
-        core = article
-    elif core.tag in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre") and core.parent:
-        core = core.parent
-    container = core
-    if not article:
-        container = next(n for n in around(core) if held[n] == len(chosen))
-        texts = Counter()
-        for b in blocks:
-            for node in around(b.element):
-                count[node] += 1
-                texts[node] += 2 * b.linked < len(b.text)
-        links = count[container] - texts[container]
-        while container.parent and container.parent.tag not in ("", "html", "body") and count[container.parent] - texts[container.parent] == links:
-            container = container.parent
-    kept = []
-    for b in blocks:
-        nodes = list(around(b.element))
-        if core in nodes or (container in nodes and 2 * b.linked < len(b.text)):
-            kept.append(b.text)
-    return "\n".join(kept)
+    paths, blocks = blocks_of(page)
+    value = scores(paths, blocks)
+    size = sum(len(text) for _, text, _ in blocks)
+    least = share * sum(v * len(text) for v, (_, text, _) in zip(value, blocks, strict=True)) / max(1, size)
+    return "\n".join(text for v, (_, text, _) in zip(value, blocks, strict=True) if v > 0 and v >= least)
 
 
 FOUND = [StructField("text", StringType()), StructField("n_chars", LongType())]
