@@ -147,8 +147,14 @@ def chunk_brute(rows):
                 spans.append((begin, end))
             first.setdefault(piece, i)
             begin = end
-        merged = [s for n, s in enumerate(spans) if n == 0 or spans[n - 1][1] != s[0]]
-        out[i] = (len(data), sum(b - a for a, b in spans), len(merged))
+        merged = []
+        for a, b in spans:
+            if merged and merged[-1][1] == a:
+                merged[-1] = (merged[-1][0], b)
+            else:
+                merged.append((a, b))
+        merged = [(a, b) for a, b in merged if b - a >= chunking.LEAST_RUN]
+        out[i] = (len(data), sum(b - a for a, b in merged), len(merged))
     return out
 
 
@@ -173,6 +179,20 @@ def test_chunk_borders_do_not_depend_on_blocks(monkeypatch):
     assert chunking.chunk_ends(text).tolist() == want
 
 
+def test_chunks_keep_the_first_of_repeated_ids_and_rows(spark):
+    text = brute.prose(random.Random(7), 100)
+    rows = [(2, text), (1, text), (1, text), (1, "other words"), (None, text), (None, text), (3, None)]
+    got = sorted((r["doc_id"] or 9, r["n_removed"] > 0) for r in chunking.chunk_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    assert got == [(1, False), (1, False), (1, True), (2, True), (3, False), (9, True), (9, True)]
+
+
+def test_chance_phrases_stay(spark):
+    rng = random.Random(8)
+    phrase = "as every reader of these pages knows well"
+    rows = [(i, " ".join(f"w{rng.getrandbits(40)}" for _ in range(30)) + f" {phrase} " + " ".join(f"w{rng.getrandbits(40)}" for _ in range(30))) for i in range(50)]
+    assert chunking.chunk_report(spark.createDataFrame(rows, "doc_id long, text string")).where("n_removed > 0").count() == 0
+
+
 def test_chunks_odd_tables(odd, nothing, docs):
     assert chunking.chunk_report(nothing).count() == 0
     assert chunking.chunk_report(odd).count() == 5

@@ -24,12 +24,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, mix64
+from .common import byte_rows, id_or_last, mix64, written
 
-MEAN_BYTES = 40
+MEAN_BYTES = 32
+LEAST_RUN = 96
 REACH = 16  # bytes that the gear hash sees
 BLOCK = 1 << 22
 
@@ -63,17 +64,21 @@ def chunk_ends(text: bytes, mean: int = MEAN_BYTES) -> np.ndarray:
     return ends
 
 
-def own_ids(docs: DataFrame) -> Column:
-    """An id for each document: doc_id where that is unique, else a hash of id and text."""
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        return F.xxhash64("doc_id", "text")
-    own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    return F.coalesce(F.col("doc_id").cast("long"), own)
+KEY = ("id", "sub", "copy")  # tells rows apart and orders them
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with id, sub and copy; sub and copy are 0 while ids are unique (they would decide nothing)."""
+    own = docs.drop(*KEY).withColumn("id", id_or_last())
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    if not repeated:
+        return own.withColumns({"sub": F.lit(0).cast("long"), "copy": F.lit(0).cast("long")})
+    # Written, so that the numbers of the rows stay the same each time the table is read.
+    return written(own.withColumns({"sub": F.shiftright(F.xxhash64("text"), 1), "copy": F.monotonically_increasing_id()}), "keyed")
 
 
 def chunk_rows(named: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
-    """From (id, text): id, digest (hi, lo), start and size of each chunk, and whether its document had it before."""
+    """From (KEY, text): KEY, digest (hi, lo), start and size of each chunk, and whether its document had it before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,29 +95,29 @@ def chunk_rows(named: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
                 sizes.append(len(ends))
             halves = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
             start = np.array(starts, dtype=np.int32)
-            columns = [pa.array(np.repeat(batch.column("id").to_numpy(), sizes)), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
+            columns = [pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in KEY] + [pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy())]
             columns += [pa.array(start), pa.array(np.array(lengths, dtype=np.int32) - start), pa.array(again, pa.bool_())]
             for at in range(0, len(start), 1 << 16):
-                yield pa.RecordBatch.from_arrays([c[at : at + (1 << 16)] for c in columns], ["id", "hi", "lo", "start", "size", "again"])
+                yield pa.RecordBatch.from_arrays([c[at : at + (1 << 16)] for c in columns], [*KEY, "hi", "lo", "start", "size", "again"])
 
-    return named.mapInArrow(run, "id long, hi long, lo long, start int, size int, again boolean")
+    return named.mapInArrow(run, "id long, sub long, copy long, hi long, lo long, start int, size int, again boolean")
 
 
 def repeated_chunks(named: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
-    """From (id, text): id, start and end of every chunk that occurs earlier."""
+    """From (KEY, text): KEY, start and end of every chunk that occurs earlier."""
     chunks = chunk_rows(named, mean)
-    first = chunks.where("not again").groupBy("hi", "lo").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    first = chunks.where("not again").groupBy("hi", "lo").agg(F.min(F.struct(*KEY)).alias("first"), F.count("*").alias("n"))
     shared = first.where("n > 1").drop("n")
-    found = chunks.join(shared, ["hi", "lo"], "left").where("again or id != first")
-    return found.select("id", "start", (F.col("start") + F.col("size")).alias("end"))
+    found = chunks.join(shared, ["hi", "lo"], "left").where(F.col("again") | (F.struct(*KEY) != F.col("first")))
+    return found.select(*KEY, "start", (F.col("start") + F.col("size")).alias("end"))
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def removed_spans(named: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
-    """From (id, text): id and the spans of bytes to remove, in order and merged; only documents that have some."""
-    grouped = repeated_chunks(named, mean).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("chunks"))
+def removed_spans(named: DataFrame, mean: int = MEAN_BYTES, least: int = LEAST_RUN) -> DataFrame:
+    """From (KEY, text): KEY and the spans of bytes to remove, in order and merged; only documents that have some."""
+    grouped = repeated_chunks(named, mean).groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("chunks"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,20 +129,24 @@ def removed_spans(named: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
             row, begin, end = row[order], begin[order], end[order]
             new = np.r_[True, (row[1:] != row[:-1]) | (begin[1:] != end[:-1])] if len(row) else np.zeros(0, bool)
             at = np.flatnonzero(new)
-            spans = pa.StructArray.from_arrays([pa.array(begin[at]), pa.array(end[np.r_[at[1:] - 1, len(row) - 1]] if len(at) else end)], ["start", "end"])
+            stop = end[np.r_[at[1:] - 1, len(row) - 1]] if len(at) else end
+            long = stop - begin[at] >= least
+            at, stop = at[long], stop[long]
+            spans = pa.StructArray.from_arrays([pa.array(begin[at]), pa.array(stop)], ["start", "end"])
             offsets = np.searchsorted(row[at], np.arange(len(lists) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), spans)], ["id", "spans"])
+            merged = pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.ListArray.from_arrays(pa.array(offsets), spans)], [*KEY, "spans"])
+            yield merged.filter(pa.array(np.diff(offsets) > 0))
 
-    return grouped.mapInArrow(merge, "id long, spans array<struct<start: int, end: int>>")
+    return grouped.mapInArrow(merge, "id long, sub long, copy long, spans array<struct<start: int, end: int>>")
 
 
-def chunk_report(docs: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed (bytes in chunks that occur earlier), n_spans (runs of them)."""
-    named = docs.select("doc_id", own_ids(docs).alias("id"), "text")
-    spans = removed_spans(named.select("id", "text"), mean)
+def chunk_report(docs: DataFrame, mean: int = MEAN_BYTES, least: int = LEAST_RUN) -> DataFrame:
+    """doc_id, n_bytes, n_removed (bytes in runs of chunks that occur earlier), n_spans (those runs)."""
+    named = keyed(docs.select("doc_id", "text"))
+    spans = removed_spans(named.select(*KEY, "text"), mean, least)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
-    sizes = named.select("doc_id", "id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    return sizes.join(spans, "id", "left").select(
+    sizes = named.select("doc_id", *KEY, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    return sizes.join(spans, list(KEY), "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce(removed, F.lit(0)).cast("long").alias("n_removed"),
@@ -145,11 +154,13 @@ def chunk_report(docs: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
     )
 
 
-def without_repeats(docs: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
-    """``docs`` with the repeated chunks cut out of text (a cut inside a character drops its rest)."""
+def without_repeats(docs: DataFrame, mean: int = MEAN_BYTES, least: int = LEAST_RUN) -> DataFrame:
+    """``docs`` with the repeated runs cut out of text (a cut inside a character drops its rest)."""
     columns = docs.columns
-    named = docs.withColumn("_id", own_ids(docs))
-    spans = removed_spans(named.select(F.col("_id").alias("id"), "text"), mean).select(F.col("id").alias("_id"), F.col("spans").alias("_spans"))
+    own = [F.col(c).alias(f"_{c}") for c in columns if c in KEY]
+    kept = docs.select(*[c for c in columns if c not in KEY], *own)
+    named = keyed(kept)
+    spans = removed_spans(named.select(*KEY, "text"), mean, least).withColumnRenamed("spans", "_spans")
 
     @F.pandas_udf("string")
     def cut(text, spans):  # noqa: ANN001, ANN202
@@ -166,4 +177,5 @@ def without_repeats(docs: DataFrame, mean: int = MEAN_BYTES) -> DataFrame:
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    return named.join(spans, "_id", "left").withColumn("text", cut("text", "_spans")).select(*columns)
+    out = named.join(spans, list(KEY), "left").withColumn("text", cut("text", "_spans"))
+    return out.select(*(F.col(f"_{c}").alias(c) if c in KEY else c for c in columns))
