@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -280,24 +281,59 @@ def test_scores_equal_a_plain_version(docs, rows, vocabulary, monkeypatch, head)
             train.update(words)
             n_docs += 1
     n, v = sum(train.values()) + n_docs, len(train) + 1
-    unseen = sum(c == 1 for c in train.values()) / n
     pieces = lattice.Pieces.load("")
-    words = list(train)
-    counts = np.array([train[w] for w in words])
     for _ in range(lattice.ROUNDS):
-        uses = 0.01 + pieces.expected([w.encode() for w in words], counts, (counts - 1) / n, unseen)
+        uses = np.full(len(pieces.score), 0.01)
+        for word, c in train.items():
+            for k, x in plain_uses(word, pieces).items():
+                uses[k] += c * x
         uses[pieces.end] += n_docs
         pieces.score = np.log(uses / uses.sum())
-    mixed = lambda sub, c: np.logaddexp(math.log((1 - unseen) * c / n) if c else -math.inf, math.log(unseen) + sub) / math.log(10)
     for i, words in tokens.items():
         base = sum(math.log10((train[w] + 1) / (n + v + 1)) for w in words) + math.log10((n_docs + 1) / (n + v + 1))
-        score = sum(mixed(plain_word(w, pieces, pieces.score), train[w]) for w in words) + mixed(pieces.score[pieces.end], n_docs)
+        score = (sum(plain_word(w, pieces, pieces.score) for w in words) + pieces.score[pieces.end]) / math.log(10)
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["train_tokens"]) == (held[i], len(words) + 1, n)
         assert r["n_known"] == sum(w in train for w in words) + 1
         assert r["base_score"] == pytest.approx(base) and r["score"] == pytest.approx(score)
 
 
+def plain_uses(word, pieces):
+    """Expected uses of each piece: prefix and suffix sums over all segmentations (long words in parts)."""
+    names = {p: k for k, p in enumerate(pieces.pieces)}
+    out = Counter()
+    marked = "▁" + word
+    for begin in range(0, len(marked), lattice.LONG_CHARS):
+        text = marked[begin : begin + lattice.LONG_CHARS]
+        arcs = [(i, j, names[text[i:j]], 0.0) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in names]
+        arcs += [(i, i + 1, pieces.unknown, -math.log(lattice.CODE_POINTS)) for i, c in enumerate(text) if c not in names]
+        arcs = sorted((i, j, k, pieces.score[k] + more) for i, j, k, more in arcs)
+        left, right = [0.0] + [-math.inf] * len(text), [-math.inf] * len(text) + [0.0]
+        for i, j, _, logp in arcs:
+            left[j] = np.logaddexp(left[j], left[i] + logp)
+        for i, j, _, logp in reversed(arcs):
+            right[i] = np.logaddexp(right[i], right[j] + logp)
+        for i, j, k, logp in arcs:
+            out[k] += math.exp(left[i] + logp + right[j] - right[0])
+    return out
+
+
+@pytest.mark.parametrize("word", ["ab" * 200, "abxab" * 300, "é" * 5000, "b" * 20_000, "ab" * 131 + "x" + "ba" * 9000])
+def test_long_words_equal_the_plain_recursion(word):
+    pieces = lattice.Pieces(["▁", "a", "b", "ab", "▁a", "aba", "▁ab", "abab"])
+    assert pieces.log_probability([word.encode(), b"ab"])[0] == pytest.approx(plain_word(word, pieces, pieces.score))
+    assert pieces.long_word(word.encode(), 7) == pytest.approx(plain_word(word, pieces, pieces.score))
+    assert pieces.expected([word.encode()], np.array([1])).sum() > len(word) / 4 - 1
+
+
+def test_a_word_of_a_million_characters_takes_seconds(vocabulary):
+    pieces = lattice.Pieces.load("")
+    began = time.process_time()
+    value = pieces.log_probability([b"ab1z" * 250_000])
+    assert -1e8 < value[0] < -1e5 and time.process_time() - began < 20
+    assert pieces.expected([b"ab1z" * 250_000], np.array([2])).sum() > 1e6
+
+
 def test_lattice_odd_tables(odd, nothing, vocabulary):
     assert lattice.lattice_report(nothing).count() == 0
     got = lattice.lattice_report(odd).collect()

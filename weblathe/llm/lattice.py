@@ -6,12 +6,16 @@ log space computes without listing them. Pieces don't cross white space, so a do
 log-probability is the sum over its words, and every distinct word is computed once.
 
 The vocabulary is read from a SentencePiece model file (path given); it is not trained here. The
-files at hand rank their pieces but hold no log-probabilities: scores start as Zipf's law of the
-rank and are fitted by ``ROUNDS`` rounds of expectation-maximisation to the counts of all training
-words. The lattice of a word has one more arc, over the whole word, that carries the share of the
-word among the training tokens; subword arcs share the mass of words never seen (Good and Turing:
-the share of words seen once). ``subword_score`` leaves that arc out. Characters outside the vocabulary share one unknown piece, spread evenly over Unicode; one
-end piece closes each document, so probabilities of documents add up to at most one.
+files at hand rank their pieces but hold no log-probabilities, so the scores of the pieces are learnt
+from the training words: they start as Zipf's law of the rank and are fitted by ``ROUNDS`` rounds of
+expectation-maximisation (each the expected uses of the pieces over all segmentations). ``score`` is
+the marginal of that lattice and nothing else. Characters outside the vocabulary share one unknown
+piece, spread evenly over Unicode; one end piece closes each document, so probabilities of documents
+add up to at most one.
+
+A word of more than ``LONG_CHARS`` characters (an encoded blob) is scored exactly by the same recursion
+in a sliding window of as many nodes as the longest piece has characters, in linear time and constant
+memory; the fit reads such words in parts of that length.
 
 Word counts are a distributed table, pre-aggregated in each task. Words are scored in two ways with
 equal results: the most frequent (at most ``HEAD_WORDS`` of at most ``HEAD_BYTES`` bytes, a proven
@@ -43,6 +47,7 @@ FLUSH_WORDS = 1 << 19
 BATCH_CHARS = 1 << 18
 CODE_POINTS = 1_112_064
 TABLE_BITS = 18
+LONG_CHARS = 256
 SPACE_MARK = "▁"
 
 
@@ -120,16 +125,23 @@ class Pieces:
         scores[0, strange] = self.score[self.unknown] - np.log(CODE_POINTS)
         return ids, scores
 
-    def batches(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Words by falling length: their numbers, lengths (with the space mark), first characters, and all characters."""
+    def batches(self, words: list[bytes], whole: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Words by falling length: their numbers, lengths (with the space mark), first characters, and all characters.
+
+        If not ``whole``, long words come in parts of ``LONG_CHARS``.
+        """
         texts = [SPACE_MARK + w.decode("utf-8", "replace") for w in words]
+        number = np.arange(len(texts))
+        if not whole and any(len(t) > LONG_CHARS for t in texts):
+            parts = [(i, t[at : at + LONG_CHARS]) for i, t in enumerate(texts) for at in range(0, len(t), LONG_CHARS)]
+            number, texts = np.array([i for i, _ in parts]), [t for _, t in parts]
         size = np.array([len(t) for t in texts], dtype=np.int64)
         order = np.argsort(-size, kind="stable")
         cut = np.cumsum(size[order]) // BATCH_CHARS
         for part in np.split(order, np.flatnonzero(np.diff(cut)) + 1) if len(order) else []:
             n = size[part]
             chars = np.frombuffer("".join(texts[i] for i in part).encode("utf-32-le", "replace"), dtype="<u4")
-            yield part, n, np.cumsum(n) - n, chars
+            yield number[part], n, np.cumsum(n) - n, chars
 
     def forward(self, n: np.ndarray, first: np.ndarray, scores: np.ndarray) -> np.ndarray:
         """alpha of all nodes; the node before character i of word k is i + k."""
@@ -162,27 +174,50 @@ class Pieces:
     def log_probability(self, words: list[bytes]) -> np.ndarray:
         """The marginal natural log-probability of each word."""
         out = np.zeros(len(words))
-        for part, n, first, chars in self.batches(words):
+        short = [i for i, w in enumerate(words) if len(w) < LONG_CHARS]
+        for i, w in enumerate(words):
+            if len(w) >= LONG_CHARS:
+                out[i] = self.long_word(w)
+        for part, n, first, chars in self.batches([words[i] for i in short]):
             _, scores = self.lattice(chars, remaining(n, first))
-            out[part] = self.forward(n, first, scores)[first + np.arange(len(n)) + n]
+            out[np.array(short)[part]] = self.forward(n, first, scores)[first + np.arange(len(n)) + n]
         return out
 
-    def expected(self, words: list[bytes], counts: np.ndarray, whole: np.ndarray | None = None, unseen: float = 1.0) -> np.ndarray:
-        """Expected uses of each piece (and the unknown piece) in ``counts`` copies of the words.
-
-        ``whole`` holds the probability of each word's whole-word arc, None for no such arc.
-        """
+    def long_word(self, word: bytes, block: int = 1 << 14) -> float:
+        """The same for one word of any length: probabilities of the next nodes in a ring, scaled as they fall."""
+        chars = np.frombuffer((SPACE_MARK + word.decode("utf-8", "replace")).encode("utf-32-le", "replace"), dtype="<u4")
+        size = self.longest + 1
+        ring, scale = [0.0] * size, 0.0
+        ring[0] = 1.0
+        for begin in range(0, len(chars), block):
+            part = chars[begin : begin + block + self.longest - 1]
+            mine = min(block, len(chars) - begin)
+            _, scores = self.lattice(part, len(part) - np.arange(len(part)))
+            at, length = np.nonzero(np.isfinite(scores[:, :mine].T))
+            factor = np.exp(scores[length, at]).tolist()
+            stops = np.searchsorted(at, np.arange(mine), "right").tolist()
+            length, arc = (length + 1).tolist(), 0
+            for i, stop in enumerate(stops):
+                slot = (begin + i) % size
+                here = ring[slot]
+                ring[slot] = 0.0
+                if here < 1e-60:
+                    ring, here, scale = [x * 1e60 for x in ring], here * 1e60, scale - 60
+                while arc < stop:
+                    ring[(slot + length[arc]) % size] += here * factor[arc]
+                    arc += 1
+        return float(np.log(ring[len(chars) % size]) + scale * np.log(10))
+
+    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece (and the unknown piece) in ``counts`` copies of the words."""
         out = np.zeros(len(self.pieces) + 2)
-        for part, n, first, chars in self.batches(words):
+        for part, n, first, chars in self.batches(words, whole=False):
             ids, scores = self.lattice(chars, remaining(n, first))
             alpha, beta = self.forward(n, first, scores), self.backward(n, first, scores)
             word = np.repeat(np.arange(len(n)), n)
             node = np.arange(len(chars)) + word
             total = alpha[first + np.arange(len(n)) + n]
             weight = counts[part].astype(np.float64)
-            if whole is not None:
-                with np.errstate(divide="ignore"):
-                    weight *= np.exp(total + np.log(unseen) - np.logaddexp(total + np.log(unseen), np.log1p(-unseen) + np.log(whole[part])))
             for size in range(self.longest):
                 at = np.flatnonzero(ids[size] >= 0)
                 if at.size:
@@ -230,12 +265,8 @@ def word_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def fit(pieces: Pieces, words: DataFrame, documents: int, trained: int, unseen: float, rounds: int = ROUNDS) -> Pieces:
-    """Expectation-maximisation of the piece scores over all training words.
-
-    A word's whole-word arc is taken from its other occurrences (leaving one out), so pieces are
-    fitted to what the subword arcs are for: words that the training rows hold once.
-    """
+def fit(pieces: Pieces, words: DataFrame, documents: int, rounds: int = ROUNDS) -> Pieces:
+    """Expectation-maximisation of the piece scores over all training words."""
     spark = words.sparkSession
     used = words.where("c > 0").select("word", "c")
     for _ in range(rounds):
@@ -244,8 +275,7 @@ def fit(pieces: Pieces, words: DataFrame, documents: int, trained: int, unseen:
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             total = 0.0
             for batch in batches:
-                c = batch.column("c").to_numpy()
-                total = total + shared.value.expected(byte_rows(batch.column("word")), c, (c - 1) / trained, unseen)
+                total = total + shared.value.expected(byte_rows(batch.column("word")), batch.column("c").to_numpy())
             if not isinstance(total, float):
                 at = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "uses"])
@@ -260,28 +290,20 @@ def fit(pieces: Pieces, words: DataFrame, documents: int, trained: int, unseen:
     return pieces
 
 
-def joint(subword: np.ndarray, count: np.ndarray, trained: int, unseen: float) -> np.ndarray:
-    """log10 of the two ways to make a word: its whole-word arc and its subword arcs."""
-    with np.errstate(divide="ignore"):
-        whole = np.log10(1 - unseen) + np.log10(count / max(1, trained))
-    return np.logaddexp(whole * np.log(10), (np.log10(unseen) + subword) * np.log(10)) / np.log(10)
-
-
-def with_log_probability(words: DataFrame, pieces: Pieces, trained: int, unseen: float) -> DataFrame:
-    """``words`` with sub, the marginal log10 probability of the subword lattice, and lm, that with the whole-word arc."""
+def with_log_probability(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """``words`` with lm, the marginal log10 probability of the lattice."""
     shared = words.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = shared.value.log_probability(byte_rows(batch.column("word"))) / np.log(10)
-            lm = joint(value, batch.column("c").to_numpy(), trained, unseen)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value), pa.array(lm)], [*batch.schema.names, "sub", "lm"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], [*batch.schema.names, "lm"])
 
-    return words.mapInArrow(run, "word binary, c long, n long, sub double, lm double")
+    return words.mapInArrow(run, "word binary, c long, n long, lm double")
 
 
-def frequent(words: DataFrame) -> dict[bytes, tuple[int, float, float]]:
-    """The most frequent words, at most ``HEAD_WORDS``, with (c, sub, lm): those above the least count that keeps the bound."""
+def frequent(words: DataFrame) -> dict[bytes, tuple[int, float]]:
+    """The most frequent words, at most ``HEAD_WORDS``, with (c, lm): those above the least count that keeps the bound."""
     band = F.floor(F.log2(F.col("n").cast("double")) * 16).cast("int").alias("band")  # at most 1,008 bands
     short = words.where(F.length("word") <= HEAD_BYTES)
     bands = sorted(((r["band"], r["count"]) for r in short.groupBy(band).count().collect()), reverse=True)
@@ -293,52 +315,49 @@ def frequent(words: DataFrame) -> dict[bytes, tuple[int, float, float]]:
         least = number
     if least is None:
         return {}
-    return {bytes(r["word"]): (r["c"], r["sub"], r["lm"]) for r in short.where(band >= least).select("word", "c", "sub", "lm").toLocalIterator()}
+    return {bytes(r["word"]): (r["c"], r["lm"]) for r in short.where(band >= least).select("word", "c", "lm").toLocalIterator()}
 
 
 def lattice_report(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word model), score and subword_score (lattices), all log10."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (add-one word model) and score (lattice), both log10."""
     rows = docs.select("doc_id", is_held_out().alias("held_out"), "text")
     counted = written(word_counts(rows), "words")
     documents = rows.where("not held_out").count()
-    sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
+    sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     trained, distinct = sums["n"] + documents, sums["v"] + (documents > 0)
-    unseen = min(0.5, max(1e-4, sums["once"] / max(1, trained)))
-    pieces = fit(Pieces.load(vocabulary), counted, documents, trained, unseen, rounds)
-    words = written(with_log_probability(counted, pieces, trained, unseen), "words")
+    pieces = fit(Pieces.load(vocabulary), counted, documents, rounds)
+    words = written(with_log_probability(counted, pieces), "words")
     head = docs.sparkSession.sparkContext.broadcast(frequent(words))
-    end_sub = float(pieces.score[pieces.end] / np.log(10))
-    end_lm = float(joint(np.array([end_sub]), np.array([documents]), trained, unseen)[0])
+    end = float(pieces.score[pieces.end] / np.log(10))
     row_type = "doc_id " + docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {w: i for i, w in enumerate(head.value)}
-        table = np.array([*head.value.values(), (0, 0.0, 0.0)], dtype=np.float64)
-        known, base, sub, lm = table[:, 0] > 0, np.log10(table[:, 0] + 1.0), table[:, 1], table[:, 2]
+        table = np.array([*head.value.values(), (0, 0.0)], dtype=np.float64)
+        known, base, lm = table[:, 0] > 0, np.log10(table[:, 0] + 1.0), table[:, 1]
         uid = TaskContext.get().partitionId() << 40
         kind = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
         for batch in batches:
-            found: list[list] = [[], [], [], [], [], [], []]
+            found: list[list] = [[], [], [], [], [], []]
             for text in byte_rows(batch.column("text")):
                 words = tokens(text)
                 at = np.array([number.get(w, -1) for w in words], dtype=np.int64)
                 rare = Counter(w for w, i in zip(words, at.tolist(), strict=True) if i < 0) if (at < 0).any() else {}
-                values = (uid, len(words) + 1, int(known[at].sum()), float(base[at].sum()), float(sub[at].sum()), float(lm[at].sum()), [{"word": w, "times": t} for w, t in rare.items()])
+                values = (uid, len(words) + 1, int(known[at].sum()), float(base[at].sum()), float(lm[at].sum()), [{"word": w, "times": t} for w, t in rare.items()])
                 for column, value in zip(found, values, strict=True):
                     column.append(value)
                 uid += 1
             yield pa.RecordBatch.from_arrays(
-                [pa.array(found[0], pa.int64()), batch.column("doc_id"), batch.column("held_out"), *(pa.array(f, t) for f, t in zip(found[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), kind), strict=True))],
-                ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "sub", "lm", "rare"],
+                [pa.array(found[0], pa.int64()), batch.column("doc_id"), batch.column("held_out"), *(pa.array(f, t) for f, t in zip(found[1:], (pa.int64(), pa.int64(), pa.float64(), pa.float64(), kind), strict=True))],
+                ["uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "rare"],
             )
 
     # Written before it is read twice, so that the row numbers given in the tasks are one and the same.
-    found = written(rows.mapInArrow(run, f"uid long, {row_type}, held_out boolean, n_tokens long, n_known long, base double, sub double, lm double, rare array<struct<word: binary, times: int>>"), "rows")
-    rare = found.select("uid", F.inline("rare")).join(words.select("word", "c", F.col("sub").alias("s"), F.col("lm").alias("p")), "word")
+    found = written(rows.mapInArrow(run, f"uid long, {row_type}, held_out boolean, n_tokens long, n_known long, base double, lm double, rare array<struct<word: binary, times: int>>"), "rows")
+    rare = found.select("uid", F.inline("rare")).join(words.select("word", "c", F.col("lm").alias("p")), "word")
     sums = rare.groupBy("uid").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("r_known"),
         F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("r_base"),
-        F.sum(F.col("times") * F.col("s")).alias("r_sub"),
         F.sum(F.col("times") * F.col("p")).alias("r_lm"),
     )
     zero, none = F.lit(0).cast("long"), F.lit(0.0)
@@ -350,6 +369,5 @@ def lattice_report(docs: DataFrame, vocabulary: str = VOCABULARY, rounds: int =
         (F.col("n_known") + F.coalesce("r_known", zero) + end_known).cast("long").alias("n_known"),
         F.lit(trained).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("r_base", none) + float(np.log10(documents + 1)) - F.col("n_tokens") * float(np.log10(trained + distinct + 1))).alias("base_score"),
-        (F.col("lm") + F.coalesce("r_lm", none) + end_lm).alias("score"),
-        (F.col("sub") + F.coalesce("r_sub", none) + end_sub).alias("subword_score"),
+        (F.col("lm") + F.coalesce("r_lm", none) + end).alias("score"),
     )
