@@ -125,8 +125,34 @@ def test_winnowing_equals_brute_force(spark, docs, rows):
     got = {r[0]: tuple(r)[1:] for r in decontaminate.contamination_report(docs, benchmark).collect()}
     assert got == want
     assert sum(w[4] for w in want.values()) >= 2
-    blocks = decontaminate.find_contamination(docs, benchmark, block_bytes=200)
-    assert {r["doc_id"]: (sum(s["end"] - s["start"] for s in r["hit_spans"]), len(r["items"])) for r in blocks.collect()} == {i: w[1:3] for i, w in want.items()}
+    found = decontaminate.find_contamination(docs, benchmark)
+    assert {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["hit_spans"]), len(r["items"])) for r in found.collect()} == {i: w[:3] for i, w in want.items()}
+    kept = decontaminate.without_contaminated(docs, benchmark)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, w in want.items() if not w[4]}
+
+
+def test_winnowing_by_shuffled_joins_and_in_small_pieces(spark, docs, rows, monkeypatch):
+    rng = random.Random(9)
+    long = brute.prose(rng, 5000)
+    items = [(n, " ".join(long.split()[n * 7 : n * 7 + rng.randrange(1, 30)])) for n in range(40)] + [(99, "!")]
+    texts = [(i, t) for i, t in [(r[0], r[1]) for r in rows] if t] + [(5000, long), (5001, long[5000:9000] + " " + items[3][1])]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    whole = decontaminate.word_hashes(long.encode())
+    prints = [decontaminate.winnowed(whole, n) for n in (1, 4, 10)]
+    monkeypatch.setattr(decontaminate, "CHUNK_WORDS", 64)
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", 100)
+    assert (decontaminate.word_hashes(long.encode()) == whole).all()
+    for n, (at, value) in zip((1, 4, 10), prints, strict=True):
+        parts = decontaminate.winnowed(whole, n)
+        assert (parts[0] == at).all() and (parts[1] == value).all()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r[0]: tuple(r)[1:] for r in decontaminate.contamination_report(df, benchmark).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute.contamination(texts, items)
 
 
 def test_winnowing_odd_tables(spark, odd, nothing):
