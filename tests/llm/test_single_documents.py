@@ -373,6 +373,23 @@ def test_statements_match_their_licence_and_directories_inherit(spark):
     }
 
 
+def test_headers_and_licence_texts_match(spark):
+    code = "\n\n" + "int value = compute(first, second); // and so on, for the rest of the file\n" * 40
+    notice = "/*\n * Copyright (C) 2001 Jane Doe\n *\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; either version {} of the License, or\n * (at your option) any later version.\n */"
+    wrap = lambda text: "\n".join(text[i : i + 70] for i in range(0, len(text), 70))
+    mit = f"Copyright (c) 2020 Somebody\n\n{licences.MIT_GRANT}\n\n{licences.MIT_NOTICE}\n\n{licences.MIT_DISCLAIMER}\n"
+    bsd = lambda names: f"Copyright (c) 2020, Somebody\n\n{licences.BSD_GRANT}\n\n1. {licences.BSD_SOURCE}\n\n2. {licences.BSD_BINARY}\n\n{names}{licences.BSD_DISCLAIMER}\n"
+    files = [
+        ("/g/two.c", notice.format(2) + code), ("/g/three.c", notice.format(3) + code), ("/m/terms.txt", mit), ("/m/x/y.c", code), ("/a/h.py", wrap("# " + licences.APACHE_NOTICE) + code),
+        ("/b/LICENSE", bsd("")), ("/b/c/LICENSE", bsd("3. " + licences.BSD_NAMES + "\n\n")), ("/b/c/d.c", code), ("/b/d.c", code), ("/g/other.c", code),
+    ]
+    got = {r["path"]: (r["own_licence"], r["licence"]) for r in licences.scan_licences(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert got == {
+        "/g/two.c": ("gpl-2.0", "gpl-2.0"), "/g/three.c": ("gpl-3.0", "gpl-3.0"), "/m/terms.txt": ("mit", "mit"), "/m/x/y.c": (None, "mit"), "/a/h.py": ("apache-2.0", "apache-2.0"),
+        "/b/LICENSE": ("bsd-2-clause", "bsd-2-clause"), "/b/c/LICENSE": ("bsd-3-clause", "bsd-3-clause"), "/b/c/d.c": (None, "bsd-3-clause"), "/b/d.c": (None, "bsd-2-clause"), "/g/other.c": (None, None),
+    }
+
+
 def test_licences_run_no_python(spark, docs, nothing, odd):
     plan = licences.licence_report(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan

@@ -6,7 +6,7 @@ tested against brute-force versions in tests/llm.
 
 from __future__ import annotations
 
-from .licences import CUE, FILE_NAME, FILE_SHARE, TEMPLATES, THRESHOLD
+from .licences import BLANK, CUE, FILE_NAME, FILE_SHARE, OPENING, TEMPLATES, THRESHOLD
 from .mixing import Recipe
 
 LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -81,8 +81,9 @@ def licences() -> str:
     part = lambda c: f"coalesce(cast({c} as varchar), '_')"
     return f"""with f as (select doc_id, '/' || {part("source")} || '/' || {part("lang")} || '/' || {part("doc_id // 1000")} || '/' || {part("doc_id")} || '.txt' as path, text from documents),
 g as (select *, regexp_replace(path, '/[^/]*$', '') as dir from f),
-s as (select path, dir, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{CUE}')) as ls, len(regexp_extract_all(text, '{SPACED}')) as n_words from g where regexp_matches(text, '{CUE}')),
-said as (select path, dir, regexp_matches(split_part(path, '/', -1), '{FILE_NAME}') or list_sum(list_transform(ls, lambda l: len(regexp_extract_all(l, '{SPACED}')))) >= n_words * {FILE_SHARE} as is_file, unnest(ls) as line from s),
+s0 as (select path, dir, text, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '{CUE}')) as ls, list_filter(string_split_regex(text, '{BLANK}'), lambda l: regexp_matches(l, '{CUE}')) as ps, len(regexp_extract_all(text, '{SPACED}')) as n_words, regexp_matches(split_part(path, '/', -1), '{FILE_NAME}') as named from g where regexp_matches(text, '{CUE}')),
+s as (select path, dir, n_words, named, list_concat(case when named or regexp_matches(text, '{OPENING}') or coalesce(list_sum(list_transform(ls, lambda l: len(regexp_extract_all(l, '{SPACED}')))), 0) >= n_words * {FILE_SHARE} then [{{'kind': 0, 'line': text}}] else [] end, list_transform(ps, lambda l: {{'kind': 1, 'line': l}}), list_transform(ls, lambda l: {{'kind': 2, 'line': l}})) as units from s0),
+said as (select path, dir, named, n_words, u.kind as kind, u.line as line from (select *, unnest(units) as u from s)),
 t(template, licence, text) as (values {known}),
 l as (select line, count(*) as n from said group by line),
 lt as (select line, n, term, count(*) as tf from (select line, n, {term.format("line")} from l) group by all),
@@ -91,7 +92,7 @@ mine as (select line, term, tf * (ln((1.0 + (select count(*) from said)) / (1 +
 theirs as (select template, licence, term, tf * (ln((1.0 + (select count(*) from said)) / (1 + coalesce(df, 0))) + 1) as v from (select template, licence, term, count(*) as tf from (select template, licence, {term.format("text")} from t) group by all) left join df using (term)),
 sc as (select m.line, licence, round(sum(w * v) / (any_value(wn) * any_value(vn)), 6) as score from mine m join theirs using (term) join (select line, sqrt(sum(w * w)) as wn from mine group by line) a on a.line = m.line join (select template, sqrt(sum(v * v)) as vn from theirs group by template) b using (template) group by m.line, template, licence),
 bl as (select line, licence, score from sc where score >= {THRESHOLD} qualify row_number() over (partition by line order by score desc, licence) = 1),
-own as (select path, dir, is_file, licence, score from said join bl using (line) qualify row_number() over (partition by path order by score desc, licence) = 1),
+own as (select path, dir, named or len(regexp_extract_all(line, '{SPACED}')) >= n_words * {FILE_SHARE} as is_file, licence, score from said join bl using (line) qualify row_number() over (partition by path order by kind, score desc, licence) = 1),
 dl as (select dir, licence from (select dir, licence, count(*) as n from own where is_file group by all) qualify row_number() over (partition by dir order by n desc, licence) = 1),
 near as (select g.dir, dl.licence, dl.dir as source_dir from (select distinct dir from g) g join dl on g.dir = dl.dir or starts_with(g.dir, dl.dir || '/') qualify row_number() over (partition by g.dir order by length(dl.dir) desc) = 1)
 select doc_id, g.path, own.licence as own_licence, own.score as own_score, coalesce(own.licence, near.licence) as licence, case when own.licence is null then near.source_dir end as inherited_from from g left join own using (path) left join near on near.dir = g.dir"""
