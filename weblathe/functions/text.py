@@ -107,10 +107,10 @@ def suffix_match(name: Column, suffix: Column) -> Column:
     return F.when(suffix.endswith("-"), clean.contains(suffix)).otherwise((clean == suffix) | clean.endswith(F.concat(F.lit("."), suffix)))
 
 
-def providers(names: Column, table: dict[str, str]) -> Column:
+def providers(names: Column, table: dict[str, tuple[str, ...]]) -> Column:
     """Sorted providers with a suffix that matches any of the names."""
     every = F.coalesce(names, F.array().cast("array<string>"))
-    under = lambda suffixes: F.exists(every, lambda name: any_of(suffix_match(name, F.lit(s)) for s in suffixes.split()))
+    under = lambda suffixes: F.exists(every, lambda name: any_of(suffix_match(name, F.lit(s)) for s in suffixes))
     hits = [F.when(under(suffixes), F.lit(provider)) for provider, suffixes in sorted(table.items())]
     return F.array_compact(F.array(*hits))
 

@@ -68,18 +68,21 @@ def dns_signals(rows: DataFrame) -> DataFrame:
     strong = F.arrays_overlap("tollbit_record_types", lit_array(("CNAME", "NS")))
     gate = F.when(strong, F.struct(F.col("tollbit_canonical_name").alias("canonical_name"), F.col("tollbit_hostname").alias("hostname"), F.array_sort("tollbit_record_types").alias("record_types")))
     names = F.when(cname.isNotNull(), F.array(cname))
-    matches = lambda *s: providers(names, {"x": " ".join(s)})
+    matches = lambda *s: providers(names, {"x": s})
     service = F.when(F.size(matches("edgekey.net", "akamaiedge.net")) > 0, F.array(F.lit("akamai_enhanced_tls_edge_hostname"))).when(F.size(matches("edgesuite.net")) > 0, F.array(F.lit("akamai_standard_tls_edge_hostname")))
     hint = lambda s, v, m: list_value(s, F.coalesce(v, F.array().cast("array<string>")), m, "likely", 0.8, absent="null")
+    rows = rows.withColumns({"_names": names, "_ns": ns})
+    names, ns = F.col("_names"), F.col("_ns")
+    rows = rows.withColumns({"_edge": providers(names, V.EDGE_SUFFIXES), "_dns": providers(ns, V.DNS_SUFFIXES), "_host": providers(names, V.HOSTING_SUFFIXES), "_service": service})
     return emit(
         rows,
         inconclusive(text_value("network.dns_canonical_name", cname, "CNAME lookup"), failed("canonical_name"), "lookup failed"),
         inconclusive(list_value("network.dns_nameservers", F.coalesce(ns, F.array().cast("array<string>")), "NS lookup", absent="null"), failed("nameservers"), "lookup failed"),
         inconclusive(text_value("network.dns_soa_primary", soa, "SOA lookup"), failed("soa_primary"), "lookup failed"),
-        inconclusive(hint("infrastructure.edge_provider", providers(names, V.EDGE_SUFFIXES), "suffix of the CNAME"), failed("canonical_name"), "lookup failed"),
-        inconclusive(hint("infrastructure.edge_service_hints", service, "edge host suffix"), failed("canonical_name"), "lookup failed"),
-        inconclusive(hint("infrastructure.dns_provider", providers(ns, V.DNS_SUFFIXES), "suffix of nameservers"), failed("nameservers"), "lookup failed"),
-        inconclusive(hint("infrastructure.hosting_provider", providers(names, V.HOSTING_SUFFIXES), "suffix of the CNAME"), failed("canonical_name"), "lookup failed"),
+        inconclusive(hint("infrastructure.edge_provider", F.col("_edge"), "suffix of the CNAME"), failed("canonical_name"), "lookup failed"),
+        inconclusive(hint("infrastructure.edge_service_hints", F.col("_service"), "edge host suffix"), failed("canonical_name"), "lookup failed"),
+        inconclusive(hint("infrastructure.dns_provider", F.col("_dns"), "suffix of nameservers"), failed("nameservers"), "lookup failed"),
+        inconclusive(hint("infrastructure.hosting_provider", F.col("_host"), "suffix of the CNAME"), failed("canonical_name"), "lookup failed"),
         inconclusive(seen("agent.tollbit_gateway", gate.isNotNull(), nested_json(gate), "CNAME or NS of the gateway name"), failed("tollbit"), "lookup failed"),
     )
 
@@ -225,7 +228,8 @@ def response_signals(rows: DataFrame) -> DataFrame:
         (has("x-served-by") & F.lower(header("via")).contains("fastly"), "fastly"),
     ]
     edge_rules = [(challenge, "cloudflare"), (has("x-sucuri-id") | has("x-sucuri-block"), "sucuri"), (has("x-iinfo") | F.lower(header("x-cdn")).contains("imperva"), "imperva"), (has("x-wa-info"), "f5")]
-    cdn, prints = flags(*cdn_rules), cookie_prints()
+    r = r.withColumns({"_cdn": flags(*cdn_rules), "_prints": cookie_prints()})
+    cdn, prints = F.col("_cdn"), F.col("_prints")
     with_prefix = lambda p: F.exists(prints, lambda c: c.startswith(p))
     bots = flags((with_prefix("cloudflare:__cf_bm"), "cloudflare"), *((with_prefix(f"{p}:"), p) for p in ("akamai", "datadome", "imperva")), (with_prefix("f5:TS"), "f5"))
     balancers = flags((F.array_contains(prints, "cloudflare:__cflb"), "cloudflare"), (with_prefix("f5:BIGipServer"), "f5"))
@@ -241,6 +245,9 @@ def response_signals(rows: DataFrame) -> DataFrame:
     locked = (status == 401) | has("www-authenticate")
     tried = lambda s: F.exists(F.coalesce("attempts", F.array(F.struct(status.alias("status_code")))), lambda a: F.coalesce(a["status_code"] == s, F.lit(False)))
     security = F.array_sort(F.array_intersect(F.map_keys("headers"), lit_array(V.SECURITY_HEADERS)))
+    edge = flags(*cdn_rules, *edge_rules)
+    r = r.withColumns({"_bots": bots, "_balancers": balancers, "_cache": cache, "_cached": cached, "_security": security, "_edge": edge, "_place": place, "_blocked": blocked})
+    bots, balancers, cache, cached, security, edge, place, blocked = (F.col(c) for c in ("_bots", "_balancers", "_cache", "_cached", "_security", "_edge", "_place", "_blocked"))
     true_or_null = lambda c: F.when(F.coalesce(c, F.lit(False)), "true").otherwise("null")
     likely, possible = ("likely", 0.8), ("possible", 0.6)
     out = [
@@ -251,7 +258,7 @@ def response_signals(rows: DataFrame) -> DataFrame:
         seen("infrastructure.cache_headers", F.size(cache) > 0, nested_json(cache), "cache headers"),
         list_value("infrastructure.cdn_hints", cdn, "headers of providers; not proof", *likely),
         list_value("infrastructure.cdn", cdn, "headers of providers; attribution is probable", *likely),
-        list_value("infrastructure.edge_response_hints", flags(*cdn_rules, *edge_rules), "edge headers of providers", *likely),
+        list_value("infrastructure.edge_response_hints", edge, "edge headers of providers", *likely),
         list_value("infrastructure.waf", flags((challenge, "cloudflare"), (has("x-sucuri-block"), "sucuri")), "challenge or block headers", *likely),
         seen("infrastructure.challenge_response", blocked.isNotNull(), nested_json(blocked), "challenge or block header"),
         list_value("infrastructure.cache_status", cached, "cache result of providers"),
@@ -317,9 +324,9 @@ def first_of_each_url(links: Column) -> Column:
     return F.filter(links, lambda x, i: x["url"].isNotNull() & (F.array_position(urls, x["url"]) == i + 1))
 
 
-def marked(link: Column, path: str, markers: str) -> Column:
+def marked(link: Column, path: str, markers: tuple[str, ...]) -> Column:
     text = F.replace(F.lower(F.concat_ws(" ", link[path], link["text"])), F.lit("_"), F.lit("-"))
-    return any_of(has_marker(text, m) for m in markers.split())
+    return any_of(has_marker(text, m) for m in markers)
 
 
 def metadata_signals(pages: DataFrame) -> DataFrame:
@@ -329,7 +336,7 @@ def metadata_signals(pages: DataFrame) -> DataFrame:
     first = lambda a: F.try_element_at(F.filter(F.transform(a, lambda x: x["url"]), lambda u: u.isNotNull()), F.lit(1))
     feeds = sorted_set(F.array_compact(F.transform(rel("alternate", lambda x: x["type"].isin(*V.FEED_TYPES)), lambda x: x["url"])))
     interfaces = F.transform("_candidates", lambda x: F.struct(x["rels"].alias("rel"), x["tag"].alias("tag"), x["type"].alias("type"), x["url"].alias("url")))
-    kind = lambda words: sorted_set(F.transform(F.filter("_candidates", lambda x: any_of(F.lower(F.concat_ws(" ", x["url"], F.coalesce(x["type"], F.lit("")))).contains(w) for w in words.split())), lambda x: x["url"]))
+    kind = lambda words: sorted_set(F.transform(F.filter("_candidates", lambda x: any_of(F.lower(F.concat_ws(" ", x["url"], F.coalesce(x["type"], F.lit("")))).contains(w) for w in words)), lambda x: x["url"]))
     anchors = F.slice(F.filter("page.anchors", lambda x: any_of(marked(x, "path", m) for m in V.LINK_MARKERS.values())), 1, 50)
     named = lambda m: F.filter("_anchors", lambda x: x["url"].isNotNull() & marked(x, "url_path", m))
     label = lambda links: F.transform(first_of_each_url(links), lambda x: F.struct(x["text"].alias("text"), x["url"].alias("url")))
@@ -367,7 +374,7 @@ def page_signals(pages: DataFrame) -> DataFrame:
     def markers(kind: str) -> list[tuple[Column, str]]:
         dom = lambda w: F.exists("page.marks", lambda m: has_bounded_marker(m, w))
         resource = lambda w: F.exists("page.sources", lambda s: s.contains(w))
-        return [(dom(w), f"dom:{w}") for w in V.DOM_MARKERS[kind].split()] + [(resource(w), f"resource:{w}") for w in V.RESOURCE_MARKERS[kind].split()]
+        return [(dom(w), f"dom:{w}") for w in V.DOM_MARKERS[kind]] + [(resource(w), f"resource:{w}") for w in V.RESOURCE_MARKERS[kind]]
 
     def detection(signal: str, found: Column, sure: Column, method: str) -> Column:
         some = F.size(found) > 0
@@ -399,49 +406,60 @@ def page_signals(pages: DataFrame) -> DataFrame:
 
 # Policy texts
 
-# Names of rules and the wording they match, in one line of collapsed text.
-AI_NAMES = r"(?:artificial intelligence|machine learning|generative (?:artificial intelligence|ai)|large language models?|llms?|ai models?)"
-TRAINING = r"(?:train|training|develop|developing|improve|improving|fine[- ]?tune|fine[- ]?tuning)"
-BARRED = r"(?:is|are)\s+(?:strictly )?(?:prohibited|forbidden|not permitted)"
-MAY_NOT = r"\s+(?:may|must|shall|can)\s+not\b"
-PRICE = r"(?:US\$|USD|EUR|GBP|\$|€|£)\s?\d[\d,]*(?:\.\d{1,2})?(?:\s*(?:per|/)\s*(?:request|call|credit|month|year))?"
-THINGS = r"(?:articles?|requests?|api calls?|calls?|queries|credits?|tokens?)"
+# Names of rules and the wording they match, in one line of collapsed text. Each pattern stands whole.
 RULES = {
     "legal.scraping_restrictions": {
-        "automated_access_prohibited": rf"\b(?:you|users?|visitors?){MAY_NOT}.{{0,160}}\b(?:scrap(?:e|ing)|crawl(?:er|ing)?|spider(?:ing)?|automated (?:means|access|collection|extraction))\b",
-        "scraping_prohibited": rf"\b(?:scrap(?:e|ing)|web craw(?:l|ling|lers?)|automated (?:access|collection|extraction))\b.{{0,100}}\b{BARRED}\b",
+        "automated_access_prohibited": r"\b(?:you|users?|visitors?)\s+(?:may|must|shall|can)\s+not\b.{0,160}\b(?:scrap(?:e|ing)|crawl(?:er|ing)?|spider(?:ing)?|automated (?:means|access|collection|extraction))\b",
+        "scraping_prohibited": r"\b(?:scrap(?:e|ing)|web craw(?:l|ling|lers?)|automated (?:access|collection|extraction))\b.{0,100}\b(?:is|are)\s+(?:strictly )?(?:prohibited|forbidden|not permitted)\b",
         "automated_tools_prohibited": r"\b(?:do not|don't)\s+(?:use|deploy)\b.{0,100}\b(?:robots?|spiders?|scrapers?|crawlers?|automated (?:means|tools?))\b",
         "automated_access_requires_permission": r"\b(?:access|collect|extract|download)\b.{0,100}\b(?:robots?|spiders?|scrapers?|crawlers?|automated means)\b.{0,100}\bwithout\b.{0,60}\b(?:permission|consent)\b",
     },
     "legal.ai_restrictions": {
-        "ai_training_prohibited": rf"\b(?:you|users?|third parties){MAY_NOT}.{{0,80}}\b(?:use|copy|collect|extract)\b.{{0,100}}\b(?:to|for)\b.{{0,40}}\b{TRAINING}\b.{{0,100}}\b{AI_NAMES}\b",
-        "ai_use_prohibited": rf"\b(?:you|users?|third parties){MAY_NOT}.{{0,80}}\b(?:use|copy|collect|extract)\b.{{0,100}}\b(?:to|for)\b.{{0,40}}\b{AI_NAMES}\b.{{0,40}}\b{TRAINING}\b",
-        "content_ai_training_prohibited": rf"\b(?:content|materials?|data)\s+(?:may|must|shall|can)\s+not\s+be\s+used\b.{{0,140}}\b{AI_NAMES[:-len('|ai models?)')]}|ai training)\b",
-        "ai_training_explicitly_prohibited": rf"\b(?:ai|artificial intelligence|machine learning|model)\s+training\b.{{0,80}}\b{BARRED}\b",
+        "ai_training_prohibited": r"\b(?:you|users?|third parties)\s+(?:may|must|shall|can)\s+not\b.{0,80}\b(?:use|copy|collect|extract)\b.{0,100}\b(?:to|for)\b.{0,40}\b(?:train|training|develop|developing|improve|improving|fine[- ]?tune|fine[- ]?tuning)\b.{0,100}\b(?:artificial intelligence|machine learning|generative (?:artificial intelligence|ai)|large language models?|llms?|ai models?)\b",
+        "ai_use_prohibited": r"\b(?:you|users?|third parties)\s+(?:may|must|shall|can)\s+not\b.{0,80}\b(?:use|copy|collect|extract)\b.{0,100}\b(?:to|for)\b.{0,40}\b(?:artificial intelligence|machine learning|generative (?:artificial intelligence|ai)|large language models?|llms?|ai models?)\b.{0,40}\b(?:train|training|develop|developing|improve|improving|fine[- ]?tune|fine[- ]?tuning)\b",
+        "content_ai_training_prohibited": r"\b(?:content|materials?|data)\s+(?:may|must|shall|can)\s+not\s+be\s+used\b.{0,140}\b(?:artificial intelligence|machine learning|generative (?:artificial intelligence|ai)|large language models?|llms?|ai training)\b",
+        "ai_training_explicitly_prohibited": r"\b(?:ai|artificial intelligence|machine learning|model)\s+training\b.{0,80}\b(?:is|are)\s+(?:strictly )?(?:prohibited|forbidden|not permitted)\b",
     },
     "registration_required": {
-        "registration_required": r"\b(?:registration|an? (?:user )?account|signing up)\s+(?:is|are)\s+(?:required|mandatory)\b"
-        r"|\b(?:you|users?)\s+(?:must|are required to)\s+(?:register|create an account|sign up)\b"
-        r"|\b(?:access|use)\b.{0,60}\brequires?\s+(?:registration|an account|signing up)\b",
+        "registration_required": r"\b(?:registration|an? (?:user )?account|signing up)\s+(?:is|are)\s+(?:required|mandatory)\b|\b(?:you|users?)\s+(?:must|are required to)\s+(?:register|create an account|sign up)\b|\b(?:access|use)\b.{0,60}\brequires?\s+(?:registration|an account|signing up)\b",
     },
     "registration_not_required": {
         "registration_not_required": r"\bno (?:registration|account|sign[- ]?up)\s+(?:is )?required\b|\b(?:access|use|browse)\b.{0,80}\bwithout\s+(?:registration|an account|signing up)\b",
     },
     "economic.metering": {
-        "periodic_limit": rf"\b(?:up to|includes?|limited to|allows?)\s+\d[\d,]*(?:\.\d+)?\s+{THINGS}\s+(?:per|/)\s+(?:second|minute|hour|day|week|month|year)\b",
-        "explicit_quota": rf"\b(?:daily|monthly|annual|hourly)\s+(?:limit|quota)\s+(?:of|is)\s+\d[\d,]*(?:\.\d+)?\s+{THINGS}\b",
+        "periodic_limit": r"\b(?:up to|includes?|limited to|allows?)\s+\d[\d,]*(?:\.\d+)?\s+(?:articles?|requests?|api calls?|calls?|queries|credits?|tokens?)\s+(?:per|/)\s+(?:second|minute|hour|day|week|month|year)\b",
+        "explicit_quota": r"\b(?:daily|monthly|annual|hourly)\s+(?:limit|quota)\s+(?:of|is)\s+\d[\d,]*(?:\.\d+)?\s+(?:articles?|requests?|api calls?|calls?|queries|credits?|tokens?)\b",
         "metered_access": r"\bmetered\s+(?:access|plan|usage|billing)\b",
     },
 }
 API_PRICES = (
-    rf"\bapi(?: access| plan| usage)?\b.{{0,50}}\b(?:costs?|is priced at|starts? at|from)\s*({PRICE})",
-    rf"({PRICE}).{{0,60}}\b(?:for|includes?)\b.{{0,40}}\bapi(?: access| usage| plan| calls?)\b",
+    r"\bapi(?: access| plan| usage)?\b.{0,50}\b(?:costs?|is priced at|starts? at|from)\s*((?:US\$|USD|EUR|GBP|\$|€|£)\s?\d[\d,]*(?:\.\d{1,2})?(?:\s*(?:per|/)\s*(?:request|call|credit|month|year))?)",
+    r"((?:US\$|USD|EUR|GBP|\$|€|£)\s?\d[\d,]*(?:\.\d{1,2})?(?:\s*(?:per|/)\s*(?:request|call|credit|month|year))?).{0,60}\b(?:for|includes?)\b.{0,40}\bapi(?: access| usage| plan| calls?)\b",
 )
 API_FREE = r"(?:\bapi (?:access|usage|plan)\s+(?:is|are)\s+free\b|\bfree api (?:access|usage|plan)\b|\bfree (?:tier|plan) for (?:the )?api\b)"
 API_SALES = r"(?:\bapi (?:pricing|access|plan)\b.{0,50}\bcontact sales\b|\bcontact sales (?:for|about) (?:our |the )?api\b)"
 DECLARATION = "array<struct<detail: string, rule: string, source_url: string>>"
 
 
+# Of each rule, what its matches contain at least one of (in lower case): texts without them skip the pattern.
+SCRAPING, AI, ACCOUNT = ("scrap", "crawl", "spider", "automated", "robot"), ("artificial intelligence", "machine learning", "ai", "language model", "llm", "model training"), ("registration", "account", "sign", "register")
+CUES = {
+    "automated_access_prohibited": SCRAPING,
+    "scraping_prohibited": (*SCRAPING, "web craw"),
+    "automated_tools_prohibited": SCRAPING,
+    "automated_access_requires_permission": ("without",),
+    "ai_training_prohibited": AI,
+    "ai_use_prohibited": AI,
+    "content_ai_training_prohibited": AI,
+    "ai_training_explicitly_prohibited": AI,
+    "registration_required": ACCOUNT,
+    "registration_not_required": ACCOUNT,
+    "periodic_limit": ("up to", "include", "limited", "allow"),
+    "explicit_quota": ("limit", "quota"),
+    "metered_access": ("metered",),
+}
+
+
 def flagged(pattern: str) -> str:
     """Case-insensitive over Unicode, as the patterns are meant."""
     return f"(?iuU){pattern}"
@@ -449,17 +467,30 @@ def flagged(pattern: str) -> str:
 
 def declarations(texts: DataFrame) -> DataFrame:
     """From (run_id, position, source_url, text): every declaration of every text, (run_id, topic, position, n, rule, source_url, detail)."""
-    text = squeeze(F.col("text"), 200_000)
+    # Upper, then lower case: letters that patterns take for others of the same case are folded to those.
+    texts = texts.select("run_id", "position", "source_url", squeeze(F.col("text"), 200_000).alias("_text")).withColumn("_lower", F.lower(F.upper("_text")))
+    text, none = F.col("_text"), F.lit(None).cast("string")
+    some = lambda cues: any_of(F.col("_lower").contains(c) for c in cues)
+    item = lambda topic, rule, detail: F.struct(F.lit(topic).alias("topic"), F.lit(rule).alias("rule"), detail.alias("detail"))
+
+    def declared(topic: str, rule: str):  # noqa: ANN202
+        return lambda m: F.when(m.isNotNull(), item(topic, rule, F.left(m, F.lit(160)) if topic == "economic.metering" else none))
+
     found = []
     for topic, rules in RULES.items():
         for rule, pattern in rules.items():
-            detail = F.left(F.regexp_extract(text, flagged(f"({pattern})"), 1), F.lit(160)) if topic == "economic.metering" else F.lit(None).cast("string")
-            found.append(F.when(text.rlike(flagged(pattern)), F.array(F.struct(F.lit(topic).alias("topic"), F.lit(rule).alias("rule"), detail.alias("detail")))))
-    price = lambda p: F.transform(F.regexp_extract_all(text, F.lit(flagged(p)), F.lit(1)), lambda d: F.struct(F.lit("economic.api_pricing").alias("topic"), F.lit("api_price").alias("rule"), F.left(d, F.lit(80)).alias("detail")))
-    plain = lambda p, r: F.when(text.rlike(flagged(p)), F.array(F.struct(F.lit("economic.api_pricing").alias("topic"), F.lit(r).alias("rule"), F.lit(None).cast("string").alias("detail"))))
-    found += [*(price(p) for p in API_PRICES), plain(API_FREE, "free_tier"), plain(API_SALES, "contact_sales")]
+            # One search: the match itself, empty if there is none.
+            match = F.nullif(F.regexp_extract(text, flagged(f"({pattern})"), 1), F.lit(""))
+            one = F.filter(F.transform(F.array(match), declared(topic, rule)), lambda x: x.isNotNull())
+            found.append(F.when(some(CUES[rule]), one))
+    price = lambda p: F.transform(F.regexp_extract_all(text, F.lit(flagged(p)), F.lit(1)), lambda d: item("economic.api_pricing", "api_price", F.left(d, F.lit(80))))
+    plain = lambda p, r: F.when(text.rlike(flagged(p)), F.array(item("economic.api_pricing", r, none)))
+    api = some(("api",))
+    found += [*(F.when(api, price(p)) for p in API_PRICES), F.when(api, plain(API_FREE, "free_tier")), F.when(api, plain(API_SALES, "contact_sales"))]
     rows = texts.withColumn("d", F.flatten(F.array_compact(F.array(*found))))
-    return rows.select("run_id", "position", "source_url", F.posexplode("d").alias("n", "d")).select("run_id", "position", "n", "source_url", "d.topic", "d.rule", "d.detail")
+    # An outer explode: an inner one is given a filter on its size, which copies all of the expressions above.
+    every = rows.select("run_id", "position", "source_url", F.posexplode_outer("d").alias("n", "d")).where("d is not null")
+    return every.select("run_id", "position", "n", "source_url", "d.topic", "d.rule", "d.detail")
 
 
 def best_candidates(pages: DataFrame) -> DataFrame:

@@ -57,11 +57,14 @@ def certain(signal: str, value_json: Column, method) -> Column:
 def inconclusive(o: Column, when: Column, method: str, outcome="error", only_absent: bool = True) -> Column:
     """``o`` replaced by an unknown where ``when`` holds; by default only absences, positives stand."""
     replace = F.coalesce(when, F.lit(False))
-    if only_absent:
-        replace = replace & (o["outcome"] == "no_evidence")
     kind = outcome if isinstance(outcome, Column) else F.lit(outcome)
-    unknown = F.struct(o["signal"].alias("signal"), kind.alias("outcome"), F.lit("unknown").alias("confidence"), F.lit(0.0).alias("confidence_score"), F.lit("null").alias("value_json"), F.lit(method).alias("method"))
-    return F.when(replace, unknown).otherwise(o)
+
+    def judge(x: Column) -> Column:
+        unknown = F.struct(x["signal"].alias("signal"), kind.alias("outcome"), F.lit("unknown").alias("confidence"), F.lit(0.0).alias("confidence_score"), F.lit("null").alias("value_json"), F.lit(method).alias("method"))
+        return F.when(replace & (x["outcome"] == "no_evidence") if only_absent else replace, unknown).otherwise(x)
+
+    # A lambda on an array of one, so that the observation's expression isn't copied.
+    return F.element_at(F.transform(F.array(o), judge), 1)
 
 
 def emit(rows: DataFrame, *observations: Column, judge: Callable[[Column], Column] | None = None) -> DataFrame:
