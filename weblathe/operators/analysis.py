@@ -117,8 +117,8 @@ def status_counts(observations: DataFrame, *by: str) -> DataFrame:
 
 def common_statuses(observations: DataFrame) -> DataFrame:
     """Signals by status, most common first, as "signal (n/total)"."""
-    total = F.count("*").over(Window.partitionBy("signal"))
-    counted = observations.select("run_id", "signal", "outcome", total.alias("total")).groupBy("signal", "outcome", "total").agg(F.count("*").alias("n"))
+    counted = observations.groupBy("signal", "outcome").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy("signal")))  # at most four rows a signal
     rank = F.row_number().over(Window.partitionBy("outcome").orderBy(F.desc("n"), "signal"))
     label = F.concat("signal", F.lit(" ("), F.col("n").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(")"))
     return counted.select("outcome", rank.alias("rank"), label.alias("label"))

@@ -142,25 +142,31 @@ def detect_llms_txt(spark, d):
     return told(detectors.llms_signals(rows))
 
 
-def detect_dns(spark, d):
+def dns_rows(spark, d) -> DataFrame:
     n = F.col("page_id")
     hosts = page_hosts(spark, d)
     name = F.when(n % 3 == 0, F.concat("host", F.lit(".edgekey.net."))).when(n % 3 == 1, F.concat("host", F.lit(".Fastly.net"))).when(n % 4 == 0, F.concat("host", F.lit(".github.io")))
     gate = n % 4 == 1
-    rows = hosts.select(
+    return hosts.select(
         id_text("page_id").alias("run_id"), name.alias("canonical_name"), F.array(F.concat(F.lit("NS1."), F.when(n % 2 == 0, "awsdns-01.com").otherwise("cloudflare.com"), F.lit("."))).alias("nameservers"), F.when(n % 6 == 1, "NS0.Example.org.").alias("soa_primary"),
         F.when(gate, F.concat(F.lit("tollbit."), "host")).alias("tollbit_hostname"), F.when(gate, F.array(F.lit("NS"), F.lit("CNAME"))).when(n % 4 == 2, F.array(F.lit("A"))).otherwise(F.array().cast("array<string>")).alias("tollbit_record_types"), F.when(gate, "gate.example").alias("tollbit_canonical_name"),
         F.when(n % 10 == 0, F.create_map(F.lit("nameservers"), F.lit("timeout"))).alias("errors"),
     )
-    return told(detectors.dns_signals(rows))
 
 
-def detect_network(spark, d):
+def detect_dns(spark, d):
+    return told(detectors.dns_signals(dns_rows(spark, d)))
+
+
+def network_rows(spark, d) -> DataFrame:
     n = F.col("page_id")
     addresses = F.transform(F.sequence(F.lit(0), (n % 20).cast("int")), lambda i: F.struct(F.when(i % 2 == 0, "IPv4").otherwise("IPv6").alias("family"), F.concat(F.lit("a"), i.cast("string")).alias("address")))
     tls = F.struct(F.lit("TLSv1.3").alias("version"), F.lit("AES").alias("cipher_name"), F.lit("TLS").alias("cipher_protocol"), F.lit(256).alias("cipher_bits"), F.lit("x").alias("not_before"), F.lit("y").alias("not_after"), F.when(n % 4 == 0, "O=Ca").alias("issuer"), F.lit(True).alias("verified"))
-    rows = table(spark, d, "pages").select(id_text("page_id").alias("run_id"), F.regexp_extract("url", "^(https?)", 1).alias("scheme"), F.when(n % 13 != 0, addresses).alias("addresses"), (n % 13 != 0).alias("safe"), F.when(n % 6 != 0, tls).alias("tls"))
-    return told(detectors.network_signals(rows))
+    return table(spark, d, "pages").select(id_text("page_id").alias("run_id"), F.regexp_extract("url", "^(https?)", 1).alias("scheme"), F.when(n % 13 != 0, addresses).alias("addresses"), (n % 13 != 0).alias("safe"), F.when(n % 6 != 0, tls).alias("tls"))
+
+
+def detect_network(spark, d):
+    return told(detectors.network_signals(network_rows(spark, d)))
 
 
 def detect_archive(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weblathe.functions.text import any_of, has_marker, suffix_match, words_of
+from weblathe.functions.urls import registrable_domain
 from weblathe.operators import analysis, jobs, sampling
 
 SEED = "pilot-1"
@@ -205,7 +206,7 @@ def http_403_rate(spark, d):
 
 
 def registrable_hosts(spark, d):
-    return page_hosts(spark, d).select("page_id", "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("registrable"))
+    return page_hosts(spark, d).select("page_id", "host", registrable_domain(F.col("host")).alias("registrable"))
 
 
 def cease_filter(spark, d):
@@ -243,8 +244,10 @@ def policy_text_rules(spark, d):
 
 
 def license_lines(spark, d):
-    line = F.regexp_extract("text", r"(?i)([^\n]*licen[sc]ed? [^\n]*)", 1)
-    return table(spark, d, "documents").select("doc_id", line.alias("line")).where("line <> ''").groupBy("line").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
+    """Every line that says licensed, with the number of documents that hold it."""
+    said = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"(?i)licen[sc]ed? "))
+    lines = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(said)).alias("line"))
+    return lines.groupBy("line").agg(F.count("*").alias("documents"), F.min("doc_id").alias("first_doc"))
 
 
 def detector_scores(spark, d):

@@ -78,7 +78,7 @@ SQL = {
     "page_link_words": "with l as (select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages), w as (select *, regexp_extract_all(lower(href), '[a-z0-9]+') as w from l) select page_id, count(*) as links, count(*) filter (list_contains(w, 'the') or list_contains(w, 'of') or contains(array_to_string(w, '-'), 'in-of')) as marked, count(distinct href) as distinct_links from w group by page_id",
     "title_words": "select word, count(*) as n from (select unnest(regexp_extract_all(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[a-z0-9]+')) as word from pages) group by word",
     "policy_text_rules": "select doc_id, 'licensed' as rule from documents where regexp_matches(text, '(?i)\\b(?:is )?licensed under\\b') union all select doc_id, 'released' from documents where regexp_matches(text, '(?i)\\breleased under the [a-z]+ license\\b') union all select doc_id, 'reserved' from documents where regexp_matches(text, '(?i)\\ball rights reserved\\b')",
-    "license_lines": "with l as (select doc_id, regexp_extract(text, '(?i)([^\\n]*licen[sc]ed? [^\\n]*)', 1) as line from documents) select line, count(*) as documents, min(doc_id) as first_doc from l where line <> '' group by line",
+    "license_lines": "with l as (select distinct doc_id, line from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, '(?i)licen[sc]ed? ')) select line, count(*) as documents, min(doc_id) as first_doc from l group by line",
     "detector_scores": "with j as (select lang, case when len(string_split(text, ' ')) < 20 then null else regexp_matches(text, '[#*$%&]{3}') end as flag, quality = 0 as truth from documents join labels using (doc_id)), g as (select lang, count(*) filter (flag and truth) as tp, count(*) filter (flag and not truth) as fp, count(*) filter (not coalesce(flag, false) and truth) as fn, count(*) filter (flag is null) as a, count(*) as n from j group by lang) select lang, tp, fp, fn, tp / nullif(tp + fp, 0) as precision, tp / nullif(tp + fn, 0) as recall, a / n as abstention from g",
     "dedup_first_seen": "select min(doc_id) as doc_id, sha256(text) as digest from documents group by sha256(text)",
     "content_change": "with l as (select doc_id, source, sha256(text) as d, lag(sha256(text)) over (partition by source order by doc_id) as b from documents) select doc_id, source, case when b is null then 'not_comparable' when b = d then 'unchanged' else 'changed' end as result from l",
