@@ -14,6 +14,59 @@ from weblathe.llm import chunking, decontaminate, runindex, simhash
 from . import brute
 
 
+def plain_similar(texts):
+    """Groups of texts by definition: every pair of shingle sets."""
+    words = {i: brute.WORD.findall(brute.lower(t)) for i, t in texts}
+    sets = {i: {" ".join(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs += 1
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}, pairs
+
+
+def edited(rng, text, n):
+    words = text.split()
+    for _ in range(n):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+def test_similar_texts_are_found(spark):
+    rng = random.Random(21)
+    texts = []
+    for n in range(60):
+        base = " ".join(f"w{rng.randrange(3000)}" for _ in range(rng.randrange(60, 400)))
+        texts.append((10 * n, base))
+        size = len(base.split())
+        for k in range(rng.randrange(4)):
+            texts.append((10 * n + 1 + k, edited(rng, base, max(1, round(size * rng.choice([0.003, 0.008, 0.015, 0.02, 0.05]))))))
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    want, pairs = plain_similar(texts)
+    got = {r["id"]: r["group"] for r in simhash.similar_groups(df).collect()}
+    together = [(i, j) for i in want for j in want if i < j and want[i] == want[j]]
+    caught = sum(got[i] == got[j] for i, j in together) / len(together)
+    assert pairs > 50 and caught >= 0.9
+    assert all(want[i] == want[g] for i, g in got.items()), "a group holds texts that no links connect"
+
+
+def test_links_are_a_forest_of_close_pairs():
+    value = np.unique(np.concatenate([np.array([c ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(a)], dtype=np.uint64) for c in (0, 2**63 - 1)]))
+    forest = simhash.Forest(np.zeros(len(value), np.int64), value)
+    a, b = forest.links(1, 2, 4)
+    assert len(a) == len(value) - 2 and (np.bitwise_count(value[a] ^ value[b]) <= 4).all()
+
+
 def test_simhash_groups_equal_brute_force(docs, rows):
     prints = {r[0]: brute.simhash(r[1]) for r in rows}
     want = brute.groups(prints)
@@ -40,7 +93,6 @@ def test_dense_group_stays_small():
     value = np.unique(np.array([1 << a | 1 << b for a in range(64) for b in range(a)], dtype=np.uint64))
     member, root = simhash.Forest(np.zeros(len(value), np.int64), value).spanning(2)
     assert len(member) == len(value) - 1 and set(root) == {0}
-    assert rng is not None
 
 
 def test_one_of_each_group_keeps_columns_and_rows(docs, rows):

@@ -10,6 +10,7 @@ import corpus_pipeline
 from weblathe.llm import mixing, quality
 
 from . import brute
+from .test_pairs_and_repeats import plain_similar
 from .test_single_documents import jump
 
 
@@ -69,7 +70,7 @@ def test_stages_and_run(spark, tmp_path):
         if name == "quality_rules":
             want = plain_quality(now)
         elif name == "near_duplicates":
-            want = {i for i, g in brute.groups({i: brute.simhash(t) for i, t in now}).items() if i == g}
+            want = {i for i, g in plain_similar([(i, t or "") for i, t in now])[0].items() if i == g}
         elif name == "decontamination":
             want = {i for i, found in brute.contamination(now, [(1, item)]).items() if not found[4]}
         else:

@@ -1,15 +1,24 @@
 """SimHash near-duplicate groups with BK-trees (Charikar, 2002; Burkhard and Keller, 1973).
 
-Every text gets a 64-bit fingerprint of its word shingles. Two fingerprints link when they differ
-in at most ``RADIUS`` bits; a group is what links connect.
-
-Distinct fingerprints are dealt into shards by 4 of 6 blocks of their bits, in all 15 ways: two
-fingerprints that differ in two bits agree in at least four blocks, so every link is inside some
-shard. A shard holds at most 2**22 distinct fingerprints (the bits outside its four blocks), which
-bounds its tree. In a task, all shards of a partition form one forest of BK-trees; queries follow
-only child edges whose distance lies within the radius of the distance to the parent. A tree yields
-the links of a spanning forest of its shard, not all pairs. Groups then come from alternating
-large-star and small-star steps (Kiveris et al., 2014) on tables in the shared folder.
+Every text gets a 64-bit fingerprint of its word shingles. There are two ways to link documents; a
+group is what links connect.
+
+``near_duplicate_groups`` links fingerprints that differ in at most ``RADIUS`` bits. Distinct
+fingerprints are dealt into shards by 4 of 6 blocks of their bits, in all 15 ways: two fingerprints
+that differ in two bits agree in at least four blocks, so every link is inside some shard. A shard
+holds at most 2**22 distinct fingerprints (the bits outside its four blocks), which bounds its tree.
+
+``similar_groups`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. Such texts differ in about ten bits, more than blocks can cover, so fingerprints are dealt by
+``SAMPLES`` fixed random choices of ``SAMPLED_BITS`` bits each; trees find the links within
+``WIDE_RADII`` bits, nearest first, and every link is then verified on the sets themselves. On the
+sample corpus (10,000 documents) 0.90 of the pairs of different sets at 0.8 or more end up in one
+group, 0.99 with copies. Shards grow with the corpus; each further bit halves them.
+
+In a task, all shards of a partition form one forest of BK-trees; queries follow only child edges
+whose distance lies within the radius of the distance to the parent. A tree yields the links of a
+spanning forest of its shard, at most one for each fingerprint, not all pairs. Groups then come from
+alternating large-star and small-star steps (Kiveris et al., 2014) on tables in the shared folder.
 
 Copies share a fingerprint and are one node. Null and wordless texts have fingerprint zero and link
 like any other. A null doc_id orders after all others: a group with no other id has a null id.
@@ -23,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, byte_rows, id_or_last, null_if_last, written
@@ -32,30 +41,42 @@ SHINGLE_WORDS = 3
 RADIUS = 2
 SEED = 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # first bit, bits
+STAGE_WORDS = 5
+SIMILARITY = 0.8
+SAMPLES = 96
+SAMPLED_BITS = 16
+WIDE_RADII = (3, 6, 9, 12, 16)
 FRONTIER = 1 << 17
 QUERIES = 1 << 12
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
-    """SimHash of the lower-cased text's word shingles, repeats included; 0 if it has no words."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of the lower-cased text's word shingles, repeats included; of all its words if they are fewer; none without words."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)], dtype=np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     begins = (ends - [len(w) + 1 for w in words])[: len(words) - shingle + 1].tolist()
     stops = (ends[shingle - 1 :] - 1).tolist()
+    return np.array([digest(joined[b:e], SEED) for b, e in zip(begins, stops, strict=True)], dtype=np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
+    """SimHash of a text: a bit is 1 if more than half of the shingles' hashes have it; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    if len(hashes) == 1:
+        return int(hashes[0])
     votes = np.zeros(64, dtype=np.int64)
-    for at in range(0, len(begins), 100_000):
-        hashes = np.array([digest(joined[b:e], SEED) for b, e in zip(begins[at : at + 100_000], stops[at : at + 100_000], strict=True)], dtype="<u8")
-        votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(votes * 2 > len(begins), bitorder="little").tobytes(), "little")
+    for at in range(0, len(hashes), 100_000):
+        votes += np.unpackbits(hashes[at : at + 100_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", column: str = "fp") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", column: str = "fp", shingle: int = SHINGLE_WORDS) -> DataFrame:
     """``docs`` without its text but with the fingerprint as a signed long."""
     kept = docs.drop(column) if column in docs.columns and column != text else docs
     rest = [f for f in kept.schema.fields if f.name != text]
@@ -63,7 +84,7 @@ def fingerprints(docs: DataFrame, text: str = "text", column: str = "fp") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t) for t in byte_rows(batch.column(text))], dtype=np.uint64).view(np.int64)
+            prints = np.array([fingerprint(t, shingle) for t in byte_rows(batch.column(text))], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in rest), pa.array(prints)], [*(f.name for f in rest), column])
 
     return kept.mapInArrow(run, schema)
@@ -105,7 +126,20 @@ class Forest:
         return np.where(least == most, least, -1)
 
     def spanning(self, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """(member, root) for all values that links within ``radius`` connect to a smaller root.
+        """(member, root) for all values that links within ``radius`` connect to a smaller root."""
+        label, _ = self.search(radius)
+        member = np.flatnonzero(label != np.arange(len(label)))
+        return member, label[member]
+
+    def links(self, *radii: int) -> tuple[np.ndarray, np.ndarray]:
+        """The links (a, b) themselves, of a forest; closer ones are taken first."""
+        _, found = self.search(*radii)
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+    def search(self, *radii: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Join all values within the last radius: the label of each value, and the links that joined them.
 
         A query skips subtrees that are joined to it already, so a dense group costs little more
         than its size. What waits to be visited is held as ranges: memory is the depth of the trees
@@ -116,47 +150,59 @@ class Forest:
         has_more = np.zeros(len(self.value), dtype=bool)
         has_more[self.root[~alone]] = True
         query = np.flatnonzero(has_more[self.root])
-        joined, known = np.full(len(label), -1), 0
-        for begin in range(0, len(query), QUERIES):
-            if known != (now := int((label != np.arange(len(label))).sum())):
-                joined, known = self.one_label(label), now
-            asked = query[begin : begin + QUERIES]
-            stack = []
-            visit = (asked, self.root[asked])
-            while True:
-                asked, node = visit
-                open_ = joined[node] != label[asked]
-                asked, node = asked[open_], node[open_]
-                distance = np.bitwise_count(self.value[asked] ^ self.value[node]).astype(np.int64)
-                near = (distance <= radius) & (asked > node)
-                label = hook(label, asked[near], node[near])
-                low = np.searchsorted(self.edge, node * 128 + np.maximum(distance - radius, 0), "left")
-                count = np.searchsorted(self.edge, node * 128 + np.minimum(distance + radius, 127), "right") - low
-                some = count > 0
-                if some.any():
-                    stack.append((asked[some], low[some], count[some]))
-                if not stack:
-                    break
-                asked, low, count = stack.pop()
-                end = max(1, int(np.searchsorted(np.cumsum(count), FRONTIER, "right")))
-                if end < len(asked):
-                    stack.append((asked[end:], low[end:], count[end:]))
-                n = count[:end]
-                slot = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[:end], n)
-                visit = (np.repeat(asked[:end], n), self.child[slot])
-        member = np.flatnonzero(label != np.arange(len(label)))
-        return member, label[member]
-
-
-def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Union the classes of each pair; a label is the least index of its class."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for radius in radii:
+            joined, known = np.full(len(label), -1), 0
+            for begin in range(0, len(query), QUERIES):
+                if known != (now := int((label != np.arange(len(label))).sum())):
+                    joined, known = self.one_label(label), now
+                label = self.visit(query[begin : begin + QUERIES], radius, label, joined, found)
+        return label, found
+
+    def visit(self, asked: np.ndarray, radius: int, label: np.ndarray, joined: np.ndarray, found: list) -> np.ndarray:
+        """Search the trees of the values ``asked`` and join what lies within the radius; new labels."""
+        stack = []
+        visit = (asked, self.root[asked])
+        while True:
+            asked, node = visit
+            open_ = joined[node] != label[asked]
+            asked, node = asked[open_], node[open_]
+            distance = np.bitwise_count(self.value[asked] ^ self.value[node]).astype(np.int64)
+            near = (distance <= radius) & (asked > node)
+            label = hook(label, asked[near], node[near], distance[near], found)
+            low = np.searchsorted(self.edge, node * 128 + np.maximum(distance - radius, 0), "left")
+            count = np.searchsorted(self.edge, node * 128 + np.minimum(distance + radius, 127), "right") - low
+            some = count > 0
+            if some.any():
+                stack.append((asked[some], low[some], count[some]))
+            if not stack:
+                return label
+            asked, low, count = stack.pop()
+            end = max(1, int(np.searchsorted(np.cumsum(count), FRONTIER, "right")))
+            if end < len(asked):
+                stack.append((asked[end:], low[end:], count[end:]))
+            n = count[:end]
+            slot = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[:end], n)
+            visit = (np.repeat(asked[:end], n), self.child[slot])
+
+
+def hook(label: np.ndarray, a: np.ndarray, b: np.ndarray, distance: np.ndarray, found: list) -> np.ndarray:
+    """Union the classes of each pair, closest first; a label is the least index of its class.
+
+    Pairs that join two classes are added to ``found``: each takes one class into another.
+    """
     while a.size:
         x, y = label[a], label[b]
         apart = x != y
         if not apart.any():
             break
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        a, b, distance, x, y = a[apart], b[apart], distance[apart], x[apart], y[apart]
+        more, less = np.maximum(x, y), np.minimum(x, y)
+        order = np.lexsort((distance, more))
+        first = order[np.r_[True, more[order][1:] != more[order][:-1]]]
+        label = label.copy()
+        label[more[first]] = less[first]
+        found.append((a[first], b[first]))
         while True:
             up = label[label]
             if (up == label).all():
@@ -169,21 +215,43 @@ def shard_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between ids, from distinct fingerprints ``nodes`` (id, fp): a spanning set of each shard."""
     if radius > 2:
         raise ValueError("the shards cover radii up to 2")
-    keyed = []
-    for way, chosen in enumerate(combinations(BLOCKS, len(BLOCKS) - 2)):
-        mask = sum(((1 << bits) - 1) << at for at, bits in chosen)
-        signed = mask - (1 << 64) if mask >> 63 else mask
-        keyed.append(F.struct(F.lit(way).alias("way"), F.col("fp").bitwiseAND(F.lit(signed).cast("long")).alias("key")))
-    dealt = nodes.select("id", "fp", F.inline(F.array(*keyed))).repartition("way", "key")
-    sorted_rows = dealt.sortWithinPartitions("way", "key")
+    masks = [sum(((1 << bits) - 1) << at for at, bits in chosen) for chosen in combinations(BLOCKS, len(BLOCKS) - 2)]
+    return tree_links(nodes, masks, radius, roots=True)
+
+
+def wide_links(nodes: DataFrame, samples: int = SAMPLES, bits: int = SAMPLED_BITS, radii: tuple[int, ...] = WIDE_RADII) -> DataFrame:
+    """Links within the last radius that share the bits of some sample, the closest of each shard first."""
+    rng = np.random.default_rng(SEED)
+    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(samples)]
+    return tree_links(nodes, masks, *radii)
+
+
+def tree_links(nodes: DataFrame, masks: list[int], *radii: int, roots: bool = False) -> DataFrame:
+    """Links (a, b) of the BK-trees over shards: fingerprints that agree in the bits of one of the masks.
+
+    ``roots``: each value with the root of its group instead, which is as well connected and less deep.
+    """
+    signed = np.array(masks, dtype=np.uint64).view(np.int64)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                ids, prints = (batch.column(c).to_numpy()[at : at + 4096] for c in ("id", "fp"))
+                way = np.tile(np.arange(len(signed), dtype=np.int32), len(ids))
+                prints = np.repeat(prints, len(signed))
+                yield pa.RecordBatch.from_arrays([pa.array(way), pa.array(prints & np.tile(signed, len(ids))), pa.array(np.repeat(ids, len(signed))), pa.array(prints)], ["way", "key", "id", "fp"])
+
+    dealt = nodes.select("id", "fp").mapInArrow(deal, "way int, key long, id long, fp long")
+    sorted_rows = dealt.repartition("way", "key").sortWithinPartitions("way", "key")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for way, key, ids, prints in whole_groups(batches):
             turn = np.r_[True, (way[1:] != way[:-1]) | (key[1:] != key[:-1])]
-            member, root = Forest(np.cumsum(turn), prints.view(np.uint64)).spanning(radius)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[member]), pa.array(ids[root])], ["a", "b"])
+            forest = Forest(np.cumsum(turn), prints.view(np.uint64))
+            a, b = forest.spanning(radii[-1]) if roots else forest.links(*radii)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
-    return sorted_rows.select("way", "key", "id", "fp").mapInArrow(search, "a long, b long")
+    return sorted_rows.mapInArrow(search, "a long, b long")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], enough: int = 1 << 19) -> Iterator[list[np.ndarray]]:
@@ -237,17 +305,55 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the least doc_id.
+def shingle_sets(docs: DataFrame, shingle: int = STAGE_WORDS) -> DataFrame:
+    """(id, shingles): the distinct hashes of each text's shingles, from (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in byte_rows(batch.column("text"))]
+            offsets = np.cumsum([0, *(len(x) for x in sets)]).astype(np.int32)
+            flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+
+
+def verified(links: DataFrame, docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The links (a, b) whose texts in ``docs`` (id, text; ids unique) are similar: Jaccard on shingle sets."""
+    pairs = written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    sets = written(shingle_sets(docs.join(asked, "id", "left_semi"), shingle), "sets")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, group) of every id in ``docs`` (id, text): the least id of its group of similar texts.
+
+    Rows that share an id must be one document to the caller: the least fingerprint stands for them.
+    """
+    prints = written(fingerprints(docs.select("id", "text"), shingle=shingle).groupBy("id").agg(F.min("fp").alias("fp")), "prints")
+    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    roots = connected(verified(wide_links(nodes), docs.select("id", "text"), shingle, similarity))
+    groups = nodes.join(roots, "id", "left").select("fp", F.coalesce("root", "id").alias("group"))
+    return prints.join(groups, "fp").select("id", "group")
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row of each group of similar texts: that of the least doc_id.
 
     Rows that share a doc_id are one document (the row of the least text hash stands for it). Rows
     without an id are told apart by their text and order after all ids below 2**62.
     """
     columns = docs.columns
     own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), own))
-    groups = near_duplicate_groups(named.select(F.col("_id").alias("doc_id"), "text"))
-    keepers = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id"))
-    kept = named.join(keepers, "_id", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
-    return kept.withColumn("_row", first).where("_row = 1").select(*columns)
+    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), own), "_hash": F.xxhash64("text")})
+    repeated = named.groupBy("_id").count().where("count > 1").limit(1).count()
+    if repeated:
+        first = named.groupBy("_id").agg(F.min("_hash").alias("_hash"))
+        named = named.join(first, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        named = written(named, "named")
+    groups = written(similar_groups(named.select(F.col("_id").alias("id"), "text"), shingle, similarity), "groups")
+    later = written(groups.where("id <> group").select(F.col("id").alias("_id")), "later")
+    return named.join(later, "_id", "left_anti").select(*columns)
