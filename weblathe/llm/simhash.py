@@ -48,6 +48,7 @@ SAMPLES = 96
 SAMPLED_BITS = 16
 WIDE_RADII = (3, 6, 9, 12, 15)
 SECOND_RADIUS = 20
+BITMAP_WORDS = 1 << 17
 FRONTIER = 1 << 17
 QUERIES = 1 << 12
 
@@ -312,24 +313,46 @@ def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def shingle_sets(docs: DataFrame, shingle: int = STAGE_WORDS) -> DataFrame:
-    """(id, shingles): the distinct hashes of each text's shingles, from (id, text)."""
+def hash_slot() -> list:
+    """The word and the bit of an id in a bitmap of ``BITMAP_WORDS`` words."""
+    hashed = F.xxhash64("id")
+    return [F.pmod(F.shiftrightunsigned(hashed, 6), F.lit(BITMAP_WORDS)).cast("int").alias("word"), hashed.bitwiseAND(F.lit(63)).cast("int").alias("bit")]
+
+
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the hashes of ids: at most ``BITMAP_WORDS`` rows come to the driver."""
+    words = ids.select(*hash_slot()).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    out = np.zeros(BITMAP_WORDS, dtype=np.int64)
+    for row in words.toLocalIterator():
+        out[row["word"]] = row["bits"]
+    return out
+
+
+def shingle_sets(docs: DataFrame, asked: DataFrame, shingle: int = STAGE_WORDS) -> DataFrame:
+    """(id, shingles): the distinct hashes of each text's shingles, from (id, text); for all ids in ``asked``, and some more.
+
+    A bitmap of the ids asked for goes to the tasks, so texts stay where they are; as it fills, more
+    sets are made than are asked for, which joins on the id leave out.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(asked))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            word, bit = batch.column("word").to_numpy(), batch.column("bit").to_numpy()
+            batch = batch.filter(pa.array((shared.value[word] >> bit & 1).astype(bool)))
             sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in byte_rows(batch.column("text"))]
             offsets = np.cumsum([0, *(len(x) for x in sets)]).astype(np.int32)
             flat = pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), flat)], ["id", "shingles"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("id", "text", *hash_slot()).mapInArrow(run, "id long, shingles array<long>")
 
 
 def verified(links: DataFrame, docs: DataFrame, shingle: int = STAGE_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The links (a, b) whose texts in ``docs`` (id, text; ids unique) are similar: Jaccard on shingle sets."""
     pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     asked = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(shingle_sets(docs.join(asked, "id", "left_semi"), shingle), "sets")
+    sets = written(shingle_sets(docs, asked, shingle), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.where(shared >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b")
