@@ -96,10 +96,18 @@ def outcome_shares(observations: DataFrame, *by: str) -> DataFrame:
     return counted.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by)))
 
 
+def signals_of(catalog: DataFrame, most: int = 10_000) -> Column:
+    """The catalog's signals as a constant array; a catalog is a short list, a longer table is refused."""
+    names = [r["signal"] for r in catalog.select("signal").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"a catalog of more than {most} signals")
+    return F.array(*(F.lit(n) for n in names)).cast("array<string>")
+
+
 def complete_catalog(observations: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Every run with every signal of the catalog; what a run lacks is skipped. The catalog is small and broadcast by size."""
+    """Every run with every signal of the catalog; what a run lacks is skipped."""
     runs = observations.select("run_id", "domain").distinct()
-    wanted = runs.withColumn("signal", F.explode(F.array(*(F.lit(r["signal"]) for r in catalog.collect()))))
+    wanted = runs.withColumn("signal", F.explode(signals_of(catalog)))
     found = observations.select("run_id", "signal", "outcome", "value_json")
     joined = wanted.join(found, ["run_id", "signal"], "left")
     return joined.withColumn("outcome", F.coalesce("outcome", F.lit("skipped")))
@@ -151,8 +159,7 @@ def detector_validation(judged: DataFrame, *by: str) -> DataFrame:
 
 def failed_results(failures: DataFrame, catalog: DataFrame) -> DataFrame:
     """A failed target (target, message) as one error for each signal of the catalog, a constant table."""
-    signals = F.array(*(F.lit(r["signal"]) for r in catalog.collect()))
-    return failures.select("target", F.lit(None).cast("string").alias("domain"), F.explode(signals).alias("signal"), F.lit("error").alias("outcome"), F.col("message").alias("method"))
+    return failures.select("target", F.lit(None).cast("string").alias("domain"), F.explode(signals_of(catalog)).alias("signal"), F.lit("error").alias("outcome"), F.col("message").alias("method"))
 
 
 def run_totals(runs: DataFrame) -> DataFrame:

@@ -29,7 +29,10 @@ def write_manifest(selection: DataFrame, header: DataFrame, path: str) -> None:
 
 
 def markdown_table(df: DataFrame, limit: int = 1000) -> str:
-    """A report table; reports are for people, so a table holds at most ``limit`` rows."""
-    rows = df.limit(limit).collect()
+    """A report table; reports are for people, so a table shows ``limit`` rows and says how many more there are."""
+    rows = df.limit(limit + 1).collect()
     cell = lambda v: "—" if v is None else str(v).replace("|", "\\|")
-    return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)])
+    shown = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows[:limit])]
+    if len(rows) > limit:
+        shown += ["", f"{df.count() - limit} more rows are not shown."]
+    return "\n".join(shown)
