@@ -14,7 +14,7 @@ from weblathe.functions.parsing import linked_data, page_facts, robots_facts, si
 from weblathe.functions.text import any_of, dns_name, economic_score, has_bounded_marker, has_marker, lit_array, policy_score, providers, squeeze
 from weblathe.functions.urls import host_of, same_site
 
-from .observe import certain, emit, inconclusive, list_value, missing_page, nested_json, observe, scalar_json, seen, text_value
+from .observe import certain, emit, inconclusive, list_value, missing_page, nested_json, observe, scalar_json, seen, text_value, unless
 
 TOKEN = "weblathe"
 
@@ -278,7 +278,8 @@ def response_signals(rows: DataFrame) -> DataFrame:
     ]
     why = F.when(~F.coalesce("allowed", F.lit(False)) & F.col("error").isNull(), "skipped").otherwise("error")
     missing = F.col("error").isNotNull() | status.isNull()
-    return emit(r, *(inconclusive(o, missing, "the homepage gave no response", why, only_absent=False) for o in out))
+    r = r.withColumns({"_why": why, "_missing": missing})
+    return emit(r, *out, judge=unless(F.col("_missing"), "the homepage gave no response", F.col("_why")))
 
 
 # The homepage's markup

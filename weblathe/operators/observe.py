@@ -67,6 +67,18 @@ def inconclusive(o: Column, when: Column, method: str, outcome="error", only_abs
     return F.element_at(F.transform(F.array(o), judge), 1)
 
 
+def unless(missing: Column, method: str, outcome) -> Callable[[Column], Column]:
+    """A judge for ``emit``: every observation is unknown where ``missing`` holds."""
+    gone = F.coalesce(missing, F.lit(False))
+    kind = outcome if isinstance(outcome, Column) else F.lit(outcome)
+
+    def judge(x: Column) -> Column:
+        unknown = F.struct(x["signal"].alias("signal"), kind.alias("outcome"), F.lit("unknown").alias("confidence"), F.lit(0.0).alias("confidence_score"), F.lit("null").alias("value_json"), F.lit(method).alias("method"))
+        return F.when(gone, unknown).otherwise(x)
+
+    return judge
+
+
 def emit(rows: DataFrame, *observations: Column, judge: Callable[[Column], Column] | None = None) -> DataFrame:
     """One row for each observation of each input row, with the row's ``evidence`` if it has some: narrow, no shuffle.
 
