@@ -98,9 +98,41 @@ near as (select g.dir, dl.licence, dl.dir as source_dir from (select distinct di
 select doc_id, g.path, own.licence as own_licence, own.score as own_score, coalesce(own.licence, near.licence) as licence, case when own.licence is null then near.source_dir end as inherited_from from g left join own using (path) left join near on near.dir = g.dir"""
 
 
+def crc32(text: str) -> str:
+    """The unsigned checksum of a text that isn't empty, four bits at a time."""
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = 0xEDB88320 ^ i >> 1 if i & 1 else i >> 1
+        table.append(str(i))
+    step = f"xor(a // 16, ([{','.join(table)}]::bigint[])[cast(xor(a & 15, x) as integer) + 1])"
+    digits = f"list_transform(string_split(regexp_replace(hex(encode({text})), '(.)(.)', '\\2\\1', 'g'), ''), lambda x: cast(instr('0123456789ABCDEF', x) - 1 as bigint))"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {digits}), lambda a, x: {step}))"
+
+
+def manifest() -> str:
+    field = lambda v: f"coalesce(strlen(cast({v} as varchar)) || ':' || cast({v} as varchar), '-')"
+    leaf = lambda t: f"sha256(concat({field('doc_id')}, {field('source')}, {field('lang')}, {field('n_chars')}, {field(t)}))"
+    shown = f"case when {crc32('cast(doc_id as varchar)')} % 3 = 0 then translate(text, {LOWER}) else text end"
+    tree = lambda name, start: f"""{name}(t, l, i, c, h) as (select * from ({start}) union all
+ select t, l + 1, i // 8, (any_value(c) + 7) // 8, sha256(string_agg(h, '' order by i)) from {name} where c > 1 group by t, l, i // 8)"""
+    climb = lambda name, start, nodes: f"""{name}(r, t, l, i, c, h, proof) as (select * from ({start}) union all
+ select w.r, w.t, w.l + 1, w.i // 8, (any_value(w.c) + 7) // 8, sha256(string_agg(case when n.i = w.i then w.h else n.h end, '' order by n.i)), any_value(w.proof) || coalesce(string_agg(n.h, '' order by n.i) filter (n.i <> w.i), '')
+ from {name} w join {nodes} n on n.t = w.t and n.l = w.l and n.i // 8 = w.i // 8 where w.c > 1 group by w.r, w.t, w.l, w.i // 8)"""
+    return f"""with recursive a as materialized (select row_number() over () as r, doc_id, lang, {leaf('text')} as leaf, {leaf('shown')} as shown from (select *, {shown} as shown from documents)),
+d as materialized (select *, dense_rank() over (order by lang nulls first) - 1 as t, row_number() over (partition by lang order by doc_id nulls first, leaf, shown) - 1 as i, count(*) over (partition by lang) as c from a),
+{tree('n', 'select t, 0 as l, i, c, leaf as h from d')},
+s as materialized (select t, h, count(*) over () as g from n where c = 1),
+{tree('m', 'select 0 as t, 0 as l, t as i, g as c, h from s')},
+{climb('w', "select r, t, 0 as l, i, c, shown as h, '' as proof from d", 'n')},
+{climb('x', 'select w.r, 0 as t, 0 as l, w.t as i, s.g as c, w.h, w.proof from w join s using (t) where w.c = 1', 'm')}
+select d.doc_id, d.leaf, s.h as subroot, m.h as root, sha256(x.proof) as proof_sha256, x.h as folded_root, x.h = m.h as verified from d join s using (t) join x on x.r = d.r and x.c = 1 join m on m.c = 1"""
+
+
 ORACLE_SQL = {
     "op1_hierarchical_mix": mix(),
     "op4_jump_hash_shards": shards(),
     "op6_winnowing_decontamination": contamination(),
     "op10_licence_inheritance": licences(),
+    "op13_merkle_manifest": manifest(),
 }
