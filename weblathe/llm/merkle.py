@@ -24,10 +24,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import numbered, written
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 ARITY = 8
@@ -61,28 +61,6 @@ def row_digest(values: list[Column]) -> Column:
     return digest(*(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts))
 
 
-def numbered(rows: DataFrame, within: list[str], order: list[str], label: str) -> DataFrame:
-    """``rows`` with ``index`` 0, 1, 2, ... in each group of ``within``, by ``order``, nulls first.
-
-    Range partitions are written with each row's place; the rows of a group in the partitions before
-    are added. Equal rows are spread by a salt, so no partition must hold all copies of a row.
-    """
-    keys = [F.col(c).asc_nulls_first() for c in [*within, *order]]
-    spread = rows.withColumn("_salt", F.monotonically_increasing_id() % 1024)
-    ranged = spread.repartitionByRange(*keys, F.col("_salt")).sortWithinPartitions(*keys, "_salt").drop("_salt")
-    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-    placed = written(ranged.withColumns({"_part": F.spark_partition_id(), "_place": place}), label)
-    groups = placed.groupBy("_part", *within).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("_start", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-    a, b = placed.alias("a"), starts.alias("b")
-    same = F.col("a._part") == F.col("b._part")
-    for c in within:
-        same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    index = (F.col("_place") - F.col("_first") + F.col("_start")).alias("index")
-    return a.join(b, same).select(*(F.col(f"a.{c}") for c in rows.columns), index)
-
-
 def level_sizes(size: int) -> list[int]:
     """The number of nodes of each level, the single one at the top included."""
     sizes = [size]

@@ -129,10 +129,22 @@ s as materialized (select t, h, count(*) over () as g from n where c = 1),
 select d.doc_id, d.leaf, s.h as subroot, m.h as root, sha256(x.proof) as proof_sha256, x.h as folded_root, x.h = m.h as verified from d join s using (t) join x on x.r = d.r and x.c = 1 join m on m.c = 1"""
 
 
+def ranking() -> str:
+    terms = f"unnest(regexp_extract_all(translate(text, {LOWER}), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term"
+    return f"""with t as (select r, doc_id, term, count(*) as tf from (select r, doc_id, {terms} from (select row_number() over () as r, doc_id, text from documents)) group by all),
+d as (select r, any_value(doc_id) as doc_id, cast(sum(tf) as bigint) as n from t group by r),
+c as (select count(*) as big_n, cast(sum(n) as bigint) as big_l from d),
+df as (select term, cast(floor(1000 * ln((2 * any_value(big_n) + 2)::double / (2 * count(*) + 1))) as bigint) as w from t, c group by term),
+i as (select distinct item_id, term from (select item_id, {terms} from benchmark)),
+s as (select item_id, r, any_value(d.doc_id) as doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + ((90 * n * big_n) // big_l))))) as bigint) as score from i join df using (term) join t using (term) join d using (r), c group by item_id, r)
+select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id nulls last) as integer) as rank, doc_id, score from s where score > 0 qualify rank <= 10"""
+
+
 ORACLE_SQL = {
     "op1_hierarchical_mix": mix(),
     "op4_jump_hash_shards": shards(),
     "op6_winnowing_decontamination": contamination(),
     "op10_licence_inheritance": licences(),
+    "op11_ranked_search": ranking(),
     "op13_merkle_manifest": manifest(),
 }

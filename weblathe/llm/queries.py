@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunking, decontaminate, html_text, lattice, licences, merkle, mixing, quality, runindex, sharding, simhash
+from . import chunking, decontaminate, html_text, lattice, licences, merkle, mixing, quality, ranking, runindex, sharding, simhash
 from .oracle import ORACLE_SQL
 
 
@@ -54,6 +54,10 @@ def op10_licence_inheritance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.licence_report(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
@@ -71,5 +75,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lattice_likelihood": op8_lattice_likelihood,
     "op9_gear_chunks": op9_gear_chunks,
     "op10_licence_inheritance": op10_licence_inheritance,
+    "op11_ranked_search": op11_ranked_search,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
