@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunking, decontaminate, html_text, lattice, licences, merkle, mixing, quality, ranking, runindex, sharding, simhash
+from . import boosting, chunking, decontaminate, html_text, lattice, licences, merkle, mixing, quality, ranking, runindex, sharding, simhash
 from .oracle import ORACLE_SQL
 
 
@@ -58,6 +58,10 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boosting.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_report(table(spark, sf_dir, "documents"))
 
@@ -76,5 +80,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_gear_chunks": op9_gear_chunks,
     "op10_licence_inheritance": op10_licence_inheritance,
     "op11_ranked_search": op11_ranked_search,
+    "op12_boosted_quality": op12_boosted_quality,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
