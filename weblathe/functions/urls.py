@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,17 +15,46 @@ def host_of(url: Column) -> Column:
     return F.lower(F.try_parse_url(url, F.lit("HOST")))
 
 
-def registrable_domain(host: Column, suffixes=SUFFIXES) -> Column:
-    """The public suffix and one label before it; null for a suffix, a single label or an IPv4 address.
+def last_labels(host: Column, n: int) -> Column:
+    """The last n labels; empty if the host has fewer."""
+    return F.array_join(F.slice(F.split(host, r"\."), -n, n), ".")
+
+
+def suffix_labels(n: Column, depth: int, has: Callable[[int, str], Column], unlisted: bool) -> Column:
+    """The labels of the public suffix of a host of n labels: an exception's less one, else the longest rule's.
 
-    ``suffixes`` lists the suffixes of two labels; all others have one.
+    ``has(d, kind)`` tells whether the host's last d labels are a plain, wildcard or exception rule.
     """
+    labels = F.when(F.lit(False), 0)
+    for d in range(depth, 1, -1):
+        labels = labels.when(has(d, "exception"), d - 1)
+    for d in range(depth + 1, 0, -1):
+        labels = labels.when((has(d, "plain") | has(d - 1, "wildcard")) & (n >= d), d)
+    return labels.otherwise(int(unlisted))
+
+
+def registrable_of(host: Column, labels: Column) -> Column:
+    """The host's suffix of so many labels and one before it; null where that isn't there, or for an IPv4 address."""
     parts = F.split(host, r"\.")
-    two = F.array_join(F.slice(parts, -2, 2), ".")
-    long = two.isin(*suffixes)
-    n = F.size(parts)
-    out = F.when(long & (n >= 3), F.array_join(F.slice(parts, -3, 3), ".")).when(~long & (n >= 2), two)
-    return F.when(~F.element_at(parts, -1).rlike("^[0-9]+$"), out)
+    fits = (labels > 0) & (F.size(parts) > labels) & ~F.element_at(parts, -1).rlike("^[0-9]+$")
+    return F.when(fits, F.array_join(F.slice(parts, F.size(parts) - labels, labels + 1), "."))
+
+
+def registrable_domain(host: Column, rules: tuple[str, ...] = SUFFIXES, unlisted: bool = True) -> Column:
+    """The public suffix and one label before it; null for a suffix, an IPv4 address, and a single label.
+
+    ``rules`` is a short list of suffix rules (plain, ``*.``, ``!``) of any depth, kept in the expression; ``operators.suffixes``
+    takes a table of them. ``unlisted``: a last label that no rule names is a suffix.
+    """
+    kinds = {"*.": "wildcard", "!": "exception"}
+    names: dict[tuple[int, str], list[str]] = {}
+    for rule in rules:
+        mark = next((m for m in kinds if rule.startswith(m)), "")
+        name = rule[len(mark) :]
+        names.setdefault((name.count(".") + 1, kinds.get(mark, "plain")), []).append(name)
+    depth = max((d for d, _ in names), default=0)
+    has = lambda d, kind: last_labels(host, d).isin(*names[d, kind]) if (d, kind) in names else F.lit(False)
+    return registrable_of(host, suffix_labels(F.size(F.split(host, r"\.")), depth, has, unlisted))
 
 
 def politeness_key(host: Column) -> Column:

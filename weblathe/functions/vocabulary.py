@@ -210,9 +210,15 @@ ARCHIVE_BLOCKS = ("blocked site error", "excluded from the wayback machine", "th
 SECTORS = ("academia_research", "commerce", "forums_communities", "general_other", "government_civic", "news_media")
 GEOGRAPHIES = ("africa", "americas", "asia", "europe", "global_or_unassigned", "oceania")
 BANDS = ("head", "middle", "long_tail")
-# Well-known public suffixes with more than one label, and private ones; all other
-# suffixes are their last label. A full list is a parameter of the functions that use it.
+# Well-known public-suffix rules with more than one label, and private ones; all other
+# suffixes are their last label. A full list is a table that operators.suffixes joins.
 SUFFIXES = (
+    "*.ck",
+    "!www.ck",
+    "*.kawasaki.jp",
+    "!city.kawasaki.jp",
+    "k12.ca.us",
+    "pvt.k12.ma.us",
     "co.uk",
     "org.uk",
     "gov.uk",
