@@ -103,12 +103,12 @@ CASES: dict[str, tuple[Callable[[Column], Column], tuple[Case, ...]]] = {
         lambda c: snapshots.snapshot_problem(c),
         (
             (snapshot_text(), None),
-            ("[1]", "snapshot JSON must contain an object"),
+            ("[1]", "the document is no JSON object"),
             (snapshot_text(more=',"extra":1'), "snapshot has unknown fields ['extra']"),
             (snapshot_text(OBSERVED.replace('"observed"', '"error"')), "outcome and confidence disagree"),
             (snapshot_text(OBSERVED.replace("1.0", "1.5")), "confidence_score out of range"),
             (snapshot_text('{"value":null,"confidence":"unknown","confidence_score":0,"method":"m"}', "0.1.0"), None),
-            (snapshot_text('{"value":null,"confidence":"odd","confidence_score":0,"method":"m"}', "0.1.0"), "legacy observation has invalid confidence"),
+            (snapshot_text('{"value":null,"confidence":"odd","confidence_score":0,"method":"m"}', "0.1.0"), "a 0.1.0 observation has no confidence that tells its outcome"),
             (snapshot_text(version="9"), "unsupported schema version"),
             (snapshot_text(count="-1"), "request_count must not be negative"),
         ),

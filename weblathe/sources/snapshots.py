@@ -46,14 +46,14 @@ def normal_form(text: str) -> tuple[str | None, str | None]:
     except ValueError as e:
         return None, f"not JSON: {e}"
     if not isinstance(doc, dict):
-        return None, "snapshot JSON must contain an object"
+        return None, "the document is no JSON object"
     observations = doc.get("observations")
     if not isinstance(observations, dict):
         return None, "observations must be an object"
     if doc.get("schema_version") == "0.1.0":
         for o in observations.values():
             if not isinstance(o, dict) or o.get("confidence") not in OUTCOME_OF:
-                return None, "legacy observation has invalid confidence"
+                return None, "a 0.1.0 observation has no confidence that tells its outcome"
             o["outcome"] = OUTCOME_OF[o["confidence"]]
         doc["schema_version"] = VERSION
     problems = [key_problem("snapshot", doc)]
@@ -108,11 +108,14 @@ def snapshot_problem(text: Column) -> Column:
 
 
 def read_snapshots(spark: SparkSession, root: str, strict: bool = True) -> DataFrame:
-    """All *.json below ``root``. Strict: the first bad file fails the job, with its path; else bad files come with a problem.
+    """All *.json below ``root``. Strict: the first bad file fails the job, with its path, and so does a root without files;
+    else bad files come with a problem.
 
     ``input_file_name`` gives the path; files are read whole, each in one row, in parallel.
     """
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
+    if strict and files.isEmpty():
+        raise ValueError(f"no snapshots below {root}")
     parsed = parse_snapshots(files.select(F.input_file_name().alias("path"), F.col("value").alias("text")))
     if not strict:
         return parsed
