@@ -112,6 +112,7 @@ class Pacing:
     def apply(self, now: float, event: str, amount: float | None) -> tuple[str, float]:
         """(decision, wait): reserve asks for a slot; interval, success and transient change the state."""
         decision, wait = event, 0.0
+        amount = max(0.0, amount or 0.0)
         if event == "reserve":
             if self.circuit > now:
                 return "rejected", self.circuit - now
@@ -121,14 +122,14 @@ class Pacing:
             self.next = max(now, self.next) + max(self.base, self.interval)
             return "granted", wait
         if event == "interval":
-            self.interval = amount or 0.0
+            self.interval = amount
             self.next = now + self.interval
         elif event == "success":
             self.failures, self.circuit = 0, 0.0
         elif event == "transient":
             recent = now - self.updated <= self.cooldown
             self.failures = self.failures + 1 if recent else 1
-            blocked = max(self.next, now + (amount or 0.0))
+            blocked = max(self.next, now + amount)
             self.next = blocked
             if self.failures >= self.threshold:
                 self.circuit = max(self.circuit, blocked, now + self.cooldown)

@@ -205,10 +205,29 @@ def browser_gate(spark, d):
     """Events as a user's browser requests, in order: caps count only what was let through."""
     e = table(spark, d, "events")
     url = F.concat(F.lit("https://"), F.when(F.col("event_type") == "click", "cdn.other.example").otherwise("a.example"), F.lit("/"), F.col("event_id").cast("string"))
-    rows = e.select(id_text("user_id", "u").alias("run_id"), F.col("event_id").alias("n"), F.lit("https://a.example/").alias("origin"), url.alias("url"), F.lit(False).alias("top_level"), (F.col("event_type") != "error").alias("permitted"))
+    cents = F.round(F.col("value") * 100).cast("long")
+    rows = e.select(
+        id_text("user_id", "u").alias("run_id"), F.col("event_id").alias("n"), F.lit("https://a.example/").alias("origin"), url.alias("url"), (cents % 5 == 0).alias("top_level"), (F.col("event_type") != "error").alias("permitted"),
+        (cents % 7 != 0).alias("public"), F.when(F.col("value") > 90, 25.0).otherwise(1.0).alias("elapsed"),
+    )
     return gates.browser_gate(rows, request_cap=20, third_party_cap=5).select("run_id", "n", "decision")
 
 
+ATTEMPT_LIMITS = {"base": 2.0, "threshold": 2, "cooldown": 300.0, "max_wait": 5.0}
+
+
+def attempt_circuits(spark, d):
+    """Line items as attempts of runs (orders) at a supplier: budget, retries and redirects under the supplier's circuit."""
+    lines = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey", F.col("l_linenumber").alias("n")).agg(F.max("l_returnflag").alias("flag"), F.max("l_quantity").alias("quantity"))
+    status = F.when(F.col("flag") == "R", F.when(F.col("quantity") > 45, None).otherwise(503)).when(F.col("flag") == "A", 301).otherwise(200)
+    after = F.when(F.col("quantity") % 3 == 0, F.col("quantity") / 3)
+    rows = lines.select(
+        id_text("l_suppkey", "s").alias("domain"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0").alias("run_id"), F.floor(F.col("n") / 4).alias("request"), "n",
+        (F.col("l_orderkey") * 100 + F.col("n") * 3).cast("double").alias("at"), status.alias("status_code"), after.cast("double").alias("retry_after"),
+    )
+    return gates.attempt_log(rows, budget=3, redirects=1, **ATTEMPT_LIMITS)
+
+
 def attempt_follow_ups(spark, d):
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("n")).agg(F.max("l_returnflag").alias("flag"))
     status = F.when(F.col("flag") == "R", 503).when(F.col("flag") == "A", 301).otherwise(200)
@@ -237,7 +256,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         detect_response, detect_homepage, detect_attempts, detect_metadata, detect_page_signals, detect_policy, detect_robots, detect_sitemap, detect_llms_txt, detect_dns, detect_network,
-        detect_archive, detect_renderings, detect_cache, browser_gate, attempt_follow_ups, lease_log, job_transitions,
+        detect_archive, detect_renderings, detect_cache, browser_gate, attempt_follow_ups, attempt_circuits, lease_log, job_transitions,
     )
 }
 

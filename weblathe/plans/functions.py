@@ -241,8 +241,10 @@ def stop_control(spark, d):
 
 
 def response_byte_caps(spark, d):
-    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("n")).agg(F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
-    return gates.byte_caps(rows, 60).select("run_id", "n", "total_bytes", "within_cap")
+    """Line items as chunks of an order's responses; what is refused doesn't count."""
+    chunks = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("n")).agg(F.sum(F.col("l_quantity").cast("long")).alias("bytes"))
+    rows = chunks.withColumn("response", F.floor(F.col("n") / 3))
+    return gates.byte_caps(rows, 100, 70).select("run_id", "n", "decision", "total_bytes", "within_cap")
 
 
 def report_totals(spark, d):
@@ -323,7 +325,12 @@ SQL: dict[str, str] = {name: case_sql(name) for name in CASES} | {
     "new_jobs": "with t as (select user_id as run_id, event_id % 17 as o, min(event_id) as position from events group by all) select run_id, cast(row_number() over (partition by run_id order by position) - 1 as integer) as ordinal, 'https://o' || o || '.example' as origin, 'pending' as status from t",
     "progress_json": f"with {oracle.JOBS} select '{{\"completed\":' || completed || ',\"run_id\":' || run_id || ',\"total\":' || total || '}}' as value from progress",
     "stop_control": "select true as control_present, true as stopped",
-    "response_byte_caps": "with r as (select l_orderkey as run_id, cast(l_linenumber as bigint) as n, sum(cast(trunc(l_quantity) as bigint)) as b from lineitem group by all) select run_id, n, cast(sum(b) over w as bigint) as total_bytes, sum(b) over w <= 60 as within_cap from r window w as (partition by run_id order by n rows unbounded preceding)",
+    "response_byte_caps": """with recursive r as (select l_orderkey as run_id, cast(l_linenumber as bigint) as n, l_linenumber // 3 as response, sum(cast(trunc(l_quantity) as bigint)) as b from lineitem group by all),
+q as (select *, row_number() over (partition by run_id order by n) as rn from r),
+f as (select distinct run_id, 0::bigint as rn, 0::bigint as n, null::varchar as decision, 0::bigint as response, 0::bigint as own, 0::bigint as total from r
+ union all select run_id, rn, n, decision, response, case when decision = 'accepted' then own + b else own end, case when decision = 'accepted' then total + b else total end
+ from (select *, case when own + b > 70 then 'response_cap' when total + b > 100 then 'total_cap' else 'accepted' end as decision from (select q.run_id, q.rn, q.n, q.response, q.b, f.total, case when q.response = f.response then f.own else 0 end as own from f join q on q.run_id = f.run_id and q.rn = f.rn + 1)))
+select run_id, n, decision, total as total_bytes, decision = 'accepted' as within_cap from f where rn > 0""",
     "report_totals": "select count(*) as targets, cast(sum(o_custkey % 9) as bigint) as requests, count(*) filter (o_orderkey % 7 = 0) as failed, cast(sum(o_orderkey % 3) as bigint) as notes from orders",
     "failed_targets": f"select s_name as target, signal, 'error' as outcome, 'timeout' as method from supplier, (select unnest([{', '.join(map(captures.quoted, SIGNALS))}]) as signal) where s_suppkey % 10 = 0",
     "stratum_outcomes": f"with {oracle.OBS}, {STRATA}, g as (select stratum, split_part(signal, '.', 1) as family, outcome, count(*) as n from obs join s using (domain) group by all) select *, n / sum(n) over (partition by stratum, family) as share from g",
