@@ -28,4 +28,4 @@ def odd(spark):
     df = spark.createDataFrame(data, SCHEMA)
     from pyspark.sql import functions as F
 
-    return df.withColumns({c: F.lit("mine") for c in ("shard", "votes", "items", "fp", "score", "n_words", "licence", "id", "start")})
+    return df.withColumns({c: F.lit("mine") for c in ("shard", "votes", "items", "fp", "score", "n_words", "licence", "id", "start", "_id", "_hash", "_id_", "_q_votes", "_row", "count", "print", "windows")})

@@ -63,7 +63,7 @@ def test_the_stages_take_empty_repeated_and_odd_tables(spark, odd, nothing, tmp_
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, nothing, str(tmp_path)).count() == 0, name
         kept = stage(spark, odd, str(tmp_path))
-        assert kept.columns == odd.columns and kept.where("votes <> 'mine'").count() == 0, name
+        assert kept.columns == odd.columns and kept.where("votes <> 'mine' or _id <> 'mine' or _hash <> 'mine' or _q_votes <> 'mine'").count() == 0, name
     kept = simhash.one_of_each_group(odd)
     assert kept.where("doc_id = 1").count() == 1 and kept.where("doc_id is null and text is null").count() == 1
     assert corpus_pipeline.STAGES[-1][1](spark, odd, str(tmp_path)).count() == 5

@@ -38,6 +38,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` doesn't have, whatever its own columns are called."""
+    taken, tail = {c.lower() for c in df.columns}, ""
+    while taken & {(n + tail).lower() for n in names}:
+        tail += "_"
+    return [n + tail for n in names]
+
+
 def numbered(rows: DataFrame, within: list[str], order: list[str], label: str) -> DataFrame:
     """``rows`` with ``index`` 0, 1, 2, ... in each group of ``within``, by ``order``, nulls first.
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, id_or_last, mix64, sliding_argmin, written
+from .common import byte_rows, free_names, id_or_last, mix64, sliding_argmin, written
 
 WINDOW = 10
 CHUNK_WORDS = 1 << 20
@@ -221,17 +221,25 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", wi
     return scanned.drop("prints"), written(with_spans(found), "found")
 
 
+def with_key(docs: DataFrame, text: str, found: DataFrame) -> tuple[DataFrame, list[str], DataFrame]:
+    """``docs`` with the key's columns, their names (none that ``docs`` has), and ``found`` under those names."""
+    key = free_names(docs, *KEY)
+    named = docs.select("*", *(c.alias(k) for c, k in zip(key_columns(text), key)))
+    return named, key, found.withColumnsRenamed(dict(zip(KEY, key)))
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with n_words, hit_spans (word positions, end excluded) and items of the benchmark found.
 
     Columns of these names in ``docs`` are replaced. ``benchmark`` has item_id and text.
     """
     _, found = shared_windows(docs, benchmark, text, window)
-    rest = docs.drop("n_words", "hit_spans", "items", *KEY)
+    rest = docs.drop("n_words", "hit_spans", "items")
     words = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
-    named = rest.select("*", *key_columns(text), words.alias("n_words"))
+    named, key, found = with_key(rest, text, found)
+    named = named.withColumn("n_words", words)
     none = F.array().cast("array<struct<start: int, end: int>>")
-    return named.join(found, list(KEY), "left").select(
+    return named.join(found, key, "left").select(
         *rest.columns, "n_words", F.coalesce("hit_spans", none).alias("hit_spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items")
     )
 
@@ -239,8 +247,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` that share no window with the benchmark."""
     _, found = shared_windows(docs, benchmark, text, window)
-    named = docs.select("*", *key_columns(text))
-    return named.join(found.select(*KEY), list(KEY), "left_anti").select(*docs.columns)
+    named, key, found = with_key(docs, text, found)
+    return named.join(found.select(*key), key, "left_anti").select(*docs.columns)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -197,5 +197,8 @@ def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules keep, columns as they were; texts are read twice, never shuffled."""
     columns = docs.columns
     model = fit(with_votes(docs.select("text"), keep_text=False))
-    voted = with_votes(docs, prefix="_q_")
-    return voted.where(~F.col("_q_base_failed") & (probability(model, "_q_votes") >= threshold)).select(*columns)
+    mine = "_q_"
+    while any(c.lower().startswith(mine) for c in columns):
+        mine = "_" + mine
+    voted = with_votes(docs, prefix=mine)
+    return voted.where(~F.col(f"{mine}base_failed") & (probability(model, f"{mine}votes") >= threshold)).select(*columns)

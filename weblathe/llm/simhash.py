@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_rows, id_or_last, mix64, null_if_last, written
+from .common import byte_rows, free_names, id_or_last, mix64, null_if_last, written
 
 SHINGLE_WORDS = 3
 RADIUS = 2
@@ -381,13 +381,14 @@ def one_of_each_group(docs: DataFrame, shingle: int = STAGE_WORDS, similarity: f
     without an id are told apart by their text and order after all ids below 2**62.
     """
     columns = docs.columns
+    key, code = free_names(docs, "_id", "_hash")
     own = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    named = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), own), "_hash": F.xxhash64("text")})
-    repeated = named.groupBy("_id").count().where("count > 1").limit(1).count()
+    named = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), own), code: F.xxhash64("text")})
+    repeated = named.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if repeated:
-        first = named.groupBy("_id").agg(F.min("_hash").alias("_hash"))
-        named = named.join(first, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+        first = named.groupBy(key).agg(F.min(code).alias(code))
+        named = named.join(first, [key, code], "left_semi").dropDuplicates([key, code])
         named = written(named, "named")
-    groups = written(similar_groups(named.select(F.col("_id").alias("id"), "text"), shingle, similarity), "groups")
-    later = written(groups.where("id <> group").select(F.col("id").alias("_id")), "later")
-    return named.join(later, "_id", "left_anti").select(*columns)
+    groups = written(similar_groups(named.select(F.col(key).alias("id"), "text"), shingle, similarity), "groups")
+    later = written(groups.where("id <> group").select(F.col("id").alias(key)), "later")
+    return named.join(later, key, "left_anti").select(*columns)
