@@ -13,14 +13,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weblathe.operators import ranges
+
 STATUSES = ("pending", "running", "completed", "completed_with_notes", "deferred", "ceased", "failed")
 
 
 def create_jobs(targets: DataFrame) -> DataFrame:
-    """Jobs from targets (run_id, position, origin, registrable_domain): the first of each origin, numbered from 0."""
-    first = targets.withColumn("_n", F.row_number().over(Window.partitionBy("run_id", "origin").orderBy("position"))).where("_n = 1")
-    ordinal = F.row_number().over(Window.partitionBy("run_id").orderBy("position")) - 1
-    return first.select("run_id", ordinal.alias("ordinal"), "origin", "registrable_domain", F.lit("pending").alias("status"))
+    """Jobs from targets (run_id, position, origin, registrable_domain): the first of each origin, numbered from 0.
+
+    Firsts are combined before the shuffle and numbered over ranges, so a run may have any share of the targets.
+    """
+    first = targets.groupBy("run_id", "origin").agg(F.min_by(F.struct("position", "registrable_domain"), "position").alias("first")).select("run_id", "origin", "first.*")
+    numbered = ranges.running(first, ["run_id"], ["position"], rank="ordinal")
+    return numbered.select("run_id", (F.col("ordinal") - 1).cast("int").alias("ordinal"), "origin", "registrable_domain", F.lit("pending").alias("status"))
 
 
 def claimable(jobs: DataFrame, runs: DataFrame, owner: str, now: Column) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weblathe.operators import ranges
+
 STRATUM = ("sector", "geography", "popularity_band")
 ATTRIBUTES = (*STRATUM, "eligible", "exclusion_reason")
 
@@ -27,11 +29,10 @@ def merge_frame(rows: DataFrame) -> DataFrame:
 def select_sample(frame: DataFrame, seed: str, per_stratum: int) -> DataFrame:
     """The frame with random_order (null if ineligible), stratum_size, selected and inclusion_probability.
 
-    Sizes are sums combined before the shuffle and joined back; only the ranking sorts strata.
+    Sizes are sums combined before the shuffle and joined back; a stratum is ranked over ranges, so it may hold any share of the frame.
     """
     eligible = frame.where("eligible")
-    order = F.row_number().over(Window.partitionBy(*STRATUM).orderBy("_key", "domain"))
-    ranked = eligible.select("domain", *STRATUM, sample_key(seed).alias("_key")).withColumn("random_order", order)
+    ranked = ranges.running(eligible.select("domain", *STRATUM, sample_key(seed).alias("_key")), list(STRATUM), ["_key", "domain"], rank="random_order").withColumn("random_order", F.col("random_order").cast("int"))
     sizes = eligible.groupBy(*STRATUM).agg(F.count("*").alias("stratum_size"))
     drawn = ranked.join(sizes, list(STRATUM)).select("domain", "random_order", "stratum_size")
     out = frame.join(drawn, "domain", "left")

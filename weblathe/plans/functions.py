@@ -15,8 +15,8 @@ from weblathe.functions import parsing, text, urls
 from weblathe.functions.vocabulary import SIGNALS
 from weblathe.operators import analysis, contracts, detectors, gates, jobs, observe
 from weblathe.plans import captures, corpus, oracle, scan
-from weblathe.plans.streams import shared_folder
 from weblathe.sources import lists, sinks, snapshots
+from weblathe.sources.shared import shared_folder
 
 table = corpus.table
 NOW = "2026-01-02 00:00:00"

@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weblathe.sources.shared import shared_folder
 from weblathe.streaming import ordered, stateful
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; only a single-JVM session may go without that setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="weblathe-")
-    return f"{root.rstrip('/')}/weblathe/stream-{uuid.uuid4().hex}"
-
-
 def file_stream(spark: SparkSession, path: str) -> DataFrame:
     """A table, one file or a folder of them, as a stream; as a glob, because a stream's plain path must be a folder."""
     folder, name = path.rsplit("/", 1)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from weblathe.operators import analysis
 from weblathe.plans import corpus, functions, oracle
-from weblathe.plans.streams import shared_folder
 from weblathe.sources import tree
+from weblathe.sources.shared import shared_folder
 
 
 def written_tree(spark: SparkSession, d: str) -> str:
