@@ -123,7 +123,7 @@ def retry_after(value: Column, now: Column) -> Column:
     """Seconds to wait from a Retry-After header: a whole number or an HTTP date; null if neither."""
     text = F.trim(value)
     date = F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss zzz"))
-    seconds = F.when(text.rlike(r"^\+?[0-9]{1,9}$"), F.try_to_number(F.regexp_replace(text, r"\+", ""), F.lit("999999999")).cast("double"))
+    seconds = F.when(text.rlike(r"^\+?[0-9]+$"), F.regexp_replace(text, r"\+", "").cast("double"))
     return F.coalesce(seconds, F.when(date.isNotNull(), F.greatest(F.lit(0.0), date.cast("double") - now.cast("double"))))
 
 

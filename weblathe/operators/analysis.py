@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weblathe.functions.text import family
+from weblathe.functions.values import whole_number
 from weblathe.functions.vocabulary import OUTCOMES
 
 
@@ -21,14 +22,17 @@ def outcome_counts(outcome: str = "outcome") -> list[Column]:
 
 
 def runs_of_snapshots(snapshots: DataFrame) -> DataFrame:
-    """One row for each snapshot (observations as a map): narrow, no shuffle."""
+    """One row for each snapshot (observations as a map): narrow, no shuffle.
+
+    browser_requests is the whole number that the browser's summary holds, 0 if it holds none, null beyond 64 bits.
+    """
     values = F.map_values("observations")
     count = lambda o: F.size(F.filter(values, lambda x: x["outcome"] == o)).cast("long")
-    summary = F.get_json_object(F.try_element_at("observations", F.lit("browser.network_summary"))["value_json"], "$.requests")
+    requests = whole_number(F.try_element_at("observations", F.lit("browser.network_summary"))["value_json"], "$.requests")
     return snapshots.select(
         "run_id", "domain", "origin", "started_at", "completed_at", "collector_version",
         F.col("request_count").alias("http_requests"),
-        F.coalesce(F.try_to_number(F.when(summary.rlike("^[0-9]{1,9}$"), summary), F.lit("999999999")).cast("long"), F.lit(0).cast("long")).alias("browser_requests"),
+        F.when(requests.isNull(), F.lit(0).cast("long")).otherwise(requests.try_cast("long")).alias("browser_requests"),
         count("observed").alias("observed"), count("no_evidence").alias("no_evidence"), count("skipped").alias("skipped"), count("error").alias("errors"),
         F.size("errors").cast("long").alias("probe_errors"),
     )

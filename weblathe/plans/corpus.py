@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weblathe.functions import values
 from weblathe.functions.text import any_of, has_marker, suffix_match, words_of
 from weblathe.functions.urls import registrable_domain
 from weblathe.operators import analysis, jobs, sampling
@@ -316,6 +317,26 @@ def pacing_fold(spark, d):
     return jobs.pace(rows, cooldown=86400.0)
 
 
+def observation_values(spark, d):
+    """Events' properties as JSON values of every kind: what each is, its whole numbers, and its canonical text."""
+    e = table(spark, d, "events")
+    k, n = F.regexp_extract("props", r"(\d+)", 1), F.col("event_id") % 9
+    given = (
+        F.when(n == 0, F.col("props"))
+        .when(n == 1, F.concat(F.lit("-7"), k, F.lit("00000000000000000000"), k))  # beyond 64 bits
+        .when(n == 2, F.concat(k, F.lit(".50")))
+        .when(n == 3, F.concat(F.lit(' {"z": ['), k, F.lit(', true], "k": '), F.col("event_id").cast("string"), F.lit("0000000000}")))
+        .when(n == 4, F.when(k.cast("int") % 2 == 0, "true").otherwise(F.lit("null")))
+        .when(n == 5, F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
+        .when(n == 6, F.concat(F.lit("{broken"), k))
+        .when(n == 7, F.concat(F.lit('{"k": '), k, F.lit(".5}")))
+        .otherwise(F.concat(F.lit("[1, "), k, F.lit("]")))
+    )
+    rows = e.select("event_id", given.alias("given"))
+    number = lambda path: values.whole_number(F.col("given"), path).cast("string")
+    return rows.select("event_id", values.kind(F.col("given")).alias("kind"), values.kind(F.col("given"), "$.k").alias("kind_of_k"), number("$").alias("whole"), number("$.k").alias("k"), values.canonical(F.col("given")).alias("canonical"))
+
+
 def title_words(spark, d):
     w = F.explode(words_of(F.regexp_extract("html", r"<title>([^<]*)</title>", 1))).alias("word")
     return table(spark, d, "pages").select(w).groupBy("word").agg(F.count("*").alias("n"))
@@ -326,7 +347,7 @@ QUERIES = {
     for f in (
         analysis_changes, analysis_observations, analysis_runs, analysis_summary, analysis_totals, transition_matrix, coverage_heatmap, catalog_left_join, missing_signals_anti,
         report_status_counts, report_common_statuses, dimension_scores, signal_cooccurrence, frame_sample, frame_strata, frame_manifest, frame_panel, frame_merge,
-        design_weighted_mean, quality_gates, job_progress, run_statuses, claimable_jobs, resume_jobs, http_status_distribution, http_403_rate, registrable_hosts, cease_filter,
+        observation_values, design_weighted_mean, quality_gates, job_progress, run_statuses, claimable_jobs, resume_jobs, http_status_distribution, http_403_rate, registrable_hosts, cease_filter,
         provider_suffix_join, page_metadata, page_link_words, title_words, policy_text_rules, license_lines, detector_scores, dedup_first_seen, content_change, set_operations, outcome_windows,
         outcome_sliding_windows, user_sessions, running_caps, asof_prices, pacing_fold,
     )

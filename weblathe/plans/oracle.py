@@ -86,6 +86,10 @@ SQL = {
     "outcome_windows": "select strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type, count(*) as n from events group by all",
     "outcome_sliding_windows": "with w as (select epoch_us(ts) // 86400000000 as day from events), s as (select day - (day % 1) - unnest([0, 1]) as start from w) select strftime(make_timestamp(start * 86400000000), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n from s group by all",
     "user_sessions": "with l as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as b from events), s as (select *, sum(case when b is null or ts >= b + interval 6 hour then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as g from l) select user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as session_start, count(*) as n from s group by user_id, g",
+    "observation_values": """with e as (select event_id, event_type, event_id % 9 as n, regexp_extract(props, '(\\d+)', 1) as k from events)
+select event_id, case n when 0 then 'object' when 1 then 'integer' when 2 then 'number' when 3 then 'object' when 4 then case when cast(k as integer) % 2 = 0 then 'boolean' else 'null' end when 5 then 'string' when 7 then 'object' when 8 then 'array' end as kind,
+case when n in (0, 3) then 'integer' when n = 7 then 'number' end as kind_of_k, case when n = 1 then '-7' || k || '00000000000000000000' || k end as whole, case n when 0 then k when 3 then cast(event_id as varchar) || '0000000000' end as k,
+case n when 0 then '{"k":' || k || '}' when 1 then '-7' || k || '00000000000000000000' || k when 2 then k || '.5' when 3 then '{"k":' || event_id || '0000000000,"z":[' || k || ',true]}' when 4 then case when cast(k as integer) % 2 = 0 then 'true' else 'null' end when 5 then '"' || event_type || '"' when 7 then '{"k":' || k || '.5}' when 8 then '[1,' || k || ']' end as canonical from e""",
     "running_caps": "select event_id, user_id, count(*) over (partition by user_id order by ts, event_id rows unbounded preceding) as nth, count(*) over (partition by user_id order by ts, event_id rows unbounded preceding) <= 30 as within_cap from events",
     "asof_prices": "with e as (select * from events where event_type in ('view', 'purchase')), l as (select *, last_value(case when event_type = 'view' then event_id end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as last_view from e) select event_id, user_id, last_view from l where event_type = 'purchase'",
 }
