@@ -24,8 +24,10 @@ class Plain(HTMLParser):
         self.text, self.links = "", 0
 
     def handle_starttag(self, tag, attrs):
-        if tag in h.RAW:
+        if tag in h.RAW | h.SKIPPED:
             self.skip += 1
+        elif self.skip:
+            pass
         elif tag == "a":
             self.in_link = True
         elif tag == "br":
@@ -35,9 +37,11 @@ class Plain(HTMLParser):
             self.path.append((tag, dict(attrs).get("class", "")))
 
     def handle_endtag(self, tag):
-        if tag in h.RAW:
+        if tag in h.RAW | h.SKIPPED:
             self.skip -= 1
             self.text += " "
+        elif self.skip:
+            pass
         elif tag == "a":
             self.in_link = False
         elif tag not in h.INLINE and tag != "br":
@@ -57,7 +61,17 @@ def plain_text(page):
     parser = Plain()
     parser.feed(page)
     parser.flush()
-    blocks = parser.out
+
+    def speaks_against(i, path):
+        tag, label = path[i]
+        headed = tag == "header" and not any(t in h.CONTENT for t, _ in path[:i])
+        return tag in h.AWAY_TAGS or headed or (tag != "main" and set(label.split("-")) & (h.COMMENTS | h.HINTS))
+
+    def links_are_text(path):
+        inside = [i for i, (tag, _) in enumerate(path) if tag == "article" and not any(speaks_against(j, path) for j in range(i, len(path)))]
+        return bool(inside)
+
+    blocks = [(p, t, 0 if links_are_text(p) else n) for p, t, n in parser.out]
     total = sum(len(t) for _, t, _ in blocks)
 
     def free(held):
@@ -114,6 +128,7 @@ def random_page(rng):
         label = rng.choice(["", "", "", "ad", "comments", "has-sidebar", "widget", "entry"])
         if tag in ("p", "h2") or depth > 3:
             inner = f"<a>{sentence(rng, 3)}</a>" if rng.random() < 0.3 else ""
+            inner += rng.choice(["", "", "<button><b>Share <i>this</i></b></button>", "<svg><text>s</text><svg><g>t</g></svg></svg>", "<math><mi>r</mi><mo>=</mo></math>"])
             return f"<p>{sentence(rng, rng.randrange(1, 60))}<br>{inner} <b>{sentence(rng, 2)}</b></p>"
         if tag == "ul":
             return "<ul>" + "".join(f"<li><a>{sentence(rng, 2)}</a></li>" for _ in range(rng.randrange(1, 6))) + "</ul>"
@@ -156,10 +171,57 @@ def test_a_site_without_article():
 
 @pytest.mark.parametrize(
     "page",
-    ["<div>x" * 170_000, "<a '" * 250_000, "<div>" * 50_000 + "<p>x" + "</section></p>" * 50_000, "<" * 1_000_000, "<ul><li>x" * 100_000, "<!-- " * 200_000, '<div class="' + "a b " * 250_000 + '">x', "word, " * 200_000],
-    ids=["deep", "quotes", "ends", "signs", "lists", "comments", "classes", "text"],
+    ["<div>x" * 170_000, "<a '" * 250_000, "<div>" * 50_000 + "<p>x" + "</section></p>" * 50_000, "<" * 1_000_000, "<ul><li>x" * 100_000, "<!-- " * 200_000, '<div class="' + "a b " * 250_000 + '">x', "word, " * 200_000, "<button>x<div>" * 70_000, "<svg>" * 100_000 + "</svg>" * 100_000],
+    ids=["deep", "quotes", "ends", "signs", "lists", "comments", "classes", "text", "controls", "nested"],
 )
 def test_very_long_pages_take_seconds(page):
     began = time.process_time()
     h.main_text(page)
     assert time.process_time() - began < 10
+
+
+STORY = "It was a long walk, past the river, and the light went under. " * 4
+
+
+@pytest.mark.parametrize("control", ["<button>Share", "<select><option>One", "<object data=x>", "<svg><g>", "<video src=x>", "<audio>", "<canvas>", "<template>", "<noscript>"])
+def test_an_unclosed_control_ends_at_the_next_block(control):
+    page = f"<body><article><p>One, {STORY}</p>{control}<p>Two, {STORY}</p></article><article><button>Share</button><p>Three, {STORY}</p></article></body>"
+    assert [line.split(",")[0] for line in h.main_text(page).split("\n")] == ["One", "Two", "Three"]
+
+
+def test_nested_controls_go_whole():
+    page = f"<article><p>One, {STORY}</p><object><object><p>no</p></object><p>no</p></object><button><div>no<p>no</p></div></button><p>Two <svg><svg><text>no</text></svg>no</svg>three.</p></article>"
+    assert h.main_text(page) == f"One, {STORY.strip()}\nTwo three."
+
+
+def test_text_of_scripts_ends_no_control():
+    page = f"<article><button>no <script>'</button>'</script> no</button><p>{STORY}</p><!-- <button> --><p>End.</p></article>"
+    assert h.main_text(page) == f"{STORY.strip()}\nEnd."
+
+
+def test_formulas_stay_in_their_sentence():
+    page = f"<article><p>{STORY}</p><p>The area is <math><semantics><mrow><mi>a</mi><mo>=</mo><msup><mi>r</mi><mn>2</mn></msup></mrow><annotation>a=r^2</annotation></semantics></math>, here.</p></article>"
+    assert h.main_text(page).split("\n")[1] == "The area is a=r2 , here."
+
+
+@pytest.mark.parametrize("content", ["article", "main"])
+def test_link_lists_of_an_article_stay(content):
+    sources = "<h2>Sources</h2><ul><li><a href=1>The first book</a></li><li>Second, <a href=2>a paper</a></li></ul>"
+    around = "<ul class=menu><li><a href=3>Home</a></li></ul>"
+    inside = "<ul class=related-links><li><a href=4>Other story</a></li></ul><nav><a href=5>Next</a></nav>"
+    page = f"<body>{around}<{content}><h1>Title</h1>{f'<p>{STORY}</p>' * 3}{sources}{inside}</{content}><ul><li><a href=6>Elsewhere</a></li></ul></body>"
+    assert h.main_text(page).split("\n")[4:] == ["Sources", "The first book", "Second, a paper"]
+
+
+def test_links_of_a_main_around_articles_count_as_links():
+    page = f"<body><main><article><p>{STORY}</p></article><ul><li><a href=1>Other story</a></li><li><a href=2>One more</a></li></ul></main></body>"
+    assert h.main_text(page) == STORY.strip()
+
+
+def test_odd_tables(spark):
+    rows = [(1, None, "mine", "x"), (2, "", "mine", "x"), (3, f"<p>{STORY}</p>", "mine", "x"), (3, f"<p>{STORY}</p>", "mine", "x"), (None, "<button>", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string, score string")
+    got = h.extract_text(pages)
+    assert got.columns == ["page_id", "score", "text", "n_chars"]
+    assert sorted(r["text"] for r in got.collect()) == ["", "", "", STORY.strip(), STORY.strip()]
+    assert h.extract_text(pages.where("page_id = 9")).count() == 0

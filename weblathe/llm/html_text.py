@@ -17,10 +17,18 @@
    main text, in page order. Nothing else chooses blocks; only elements that aren't displayed or
    aren't text (scripts, forms' controls, hidden elements) are never read into blocks.
 
+Links inside an article are its text (sources, a table of contents) unless a tag, role, class or id
+speaks against them; elsewhere linked text counts against its path. ``main`` counts as the article of a
+page that has none. Formulas (``math``) are part of their sentence.
+
 Null or empty html gives an empty text, as does a page without content. Cut-off and misnested markup
 is read as browsers do in the cases that occur (an open p ends at the next block, and so on); an
-unclosed quote in a tag ends the tag at the next ``>``, from there on quotes aren't heeded. Work and
-memory are linear in the page: very long and very deep pages are ordinary ones.
+unclosed quote in a tag ends the tag at the next ``>``, from there on quotes aren't heeded. Controls
+and media are skipped up to their own end tag, nested ones with them; if the end tag is missing, a
+control ends at the next block and a medium at once. Rows are independent: repeated rows and ties
+give equal texts, an empty table an empty one; further columns are kept as they are, whatever
+their name, but for text and n_chars, which are replaced. Work and memory are linear in the page:
+very long and very deep pages are ordinary ones.
 """
 
 from __future__ import annotations
@@ -41,16 +49,19 @@ ACROSS = 0.5  # weight of a neighbour in another container
 BELOW = 0.75  # what a path has of the ratio of the container above it
 
 # Names of HTML elements.
-RAW = frozenset(
-    ("script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "audio", "video", "select", "option", "datalist", "button")
-)
+RAW = frozenset(("script", "style", "textarea", "title", "iframe"))
+CONTROLS = frozenset(("button", "select", "option", "datalist"))
+MEDIA = frozenset(("noscript", "template", "svg", "object", "canvas", "audio", "video", "annotation", "annotation-xml"))
 INLINE = frozenset(
     (
         "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt",
         "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "input", "meta", "link", "base", "area",
-        "col", "embed", "param", "source", "track",
+        "col", "embed", "param", "source", "track", "math", "maction", "menclose", "merror", "mfrac", "mi", "mmultiscripts", "mn", "mo", "mover", "mpadded",
+        "mphantom", "mprescripts", "mroot", "mrow", "ms", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup", "mtable", "mtd", "mtext", "mtr", "munder",
+        "munderover", "semantics",
     )
 )
+SKIPPED = CONTROLS | MEDIA
 CONTENT = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 ENDS_ITSELF = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
@@ -74,6 +85,7 @@ STATES = frozenset(("has", "have", "no", "not", "with", "without", "open", "open
 AWAY, COMMENTED, HINTED, STATED, ARTICLE, HEADING = 0.03, 0.02, 0.05, 0.3, 3.0, 3.0
 
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
+SOME_SKIPPED = re.compile(rf"<(?:{'|'.join(sorted(SKIPPED))})\b", re.I)
 TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 TAG_REST = re.compile(r"[^'\">]*+(?:(?:\"[^\"]*\"|'[^']*')[^'\">]*+)*+>")
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -87,6 +99,7 @@ class Paths:
 
     def __init__(self) -> None:
         self.parent, self.tag, self.said, self.content, self.hidden = [0], [""], [""], [False], [False]
+        self.plain: list[str] = [""]  # the article or main around a path, if nothing inside it speaks against the path
         self.known: dict[tuple[int, str, str], int] = {}
 
     def below(self, parent: int, tag: str, attributes: str) -> int:
@@ -100,6 +113,7 @@ class Paths:
             if tag in AWAY_TAGS or (tag == "header" and not content):
                 said = "away"
             self.parent.append(parent)
+            self.plain.append("" if said else "article" if tag == "article" else self.plain[parent] or ("main" if tag == "main" else ""))
             self.tag.append(tag)
             self.said.append(said)
             self.content.append(content)
@@ -140,6 +154,73 @@ def described(tag: str, attributes: str) -> tuple[str, str, bool]:
 
 
 Block = tuple[int, str, int]  # path, text, characters in links
+Token = tuple[str, str, bool, str]  # text before a tag, the tag ("" for a comment or the end), whether it is an end tag, attributes
+
+
+def tokens(page: str) -> Iterator[Token]:
+    """The tags of a page with the text before each; comments, declarations and raw text are left out."""
+    at, quotes = 0, True
+    while at < len(page):
+        begin = page.find("<", at)
+        if begin < 0:
+            yield page[at:], "", False, ""
+            return
+        following = page[begin + 1 : begin + 2]
+        closing = following == "/"
+        name = TAG_NAME.match(page, begin + 1 + closing)
+        if not name:
+            if page.startswith("<!--", begin):
+                yield page[at:begin], "", False, ""
+                end = page.find("-->", begin + 2)
+                at = len(page) if end < 0 else end + 3
+            elif closing or following in ("!", "?"):
+                yield page[at:begin], "", False, ""
+                end = page.find(">", begin)
+                at = len(page) if end < 0 else end + 1
+            else:
+                yield page[at : begin + 1], "", False, ""
+                at = begin + 1
+            continue
+        before = page[at:begin]
+        end = TAG_REST.match(page, name.end()) if quotes else None
+        if end:
+            at = end.end()
+        else:
+            quotes = False
+            stop = page.find(">", name.end())
+            at = len(page) if stop < 0 else stop + 1
+        attributes = page[name.end() : at - 1]
+        tag = name[0].lower()
+        if tag in RAW and not closing and not attributes.endswith("/"):
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+            at = end.end() if end else len(page)
+        yield before, tag, closing, attributes
+
+
+def ends_of_skipped(page: str) -> dict[int, int]:
+    """The number of the end tag, by the number of the start tag, of each control and medium that has both."""
+    if not SOME_SKIPPED.search(page):
+        return {}
+    ends: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    opened: Counter[str] = Counter()
+    for number, (_, tag, closing, attributes) in enumerate(tokens(page)):
+        if tag not in SKIPPED and tag not in STOPS:
+            continue
+        if not closing:
+            if not attributes.endswith("/"):
+                stack.append((tag, number))
+                opened[tag] += 1
+        elif opened[tag]:
+            # What is open inside the element ends with it, without an end tag of its own.
+            while True:
+                name, start = stack.pop()
+                opened[name] -= 1
+                if name == tag:
+                    break
+            if tag in SKIPPED:
+                ends[start] = number
+    return ends
 
 
 def blocks_of(page: str) -> tuple[Paths, list[Block]]:
@@ -148,7 +229,7 @@ def blocks_of(page: str) -> tuple[Paths, list[Block]]:
     stack: list[tuple[int, str, Counter]] = [(0, "", Counter())]  # path, tag, open tags since the last of STOPS
     opened: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, at, quotes = 0, False, 0, True
+    linked, in_link = 0, False
 
     def flush() -> None:
         nonlocal linked
@@ -185,52 +266,33 @@ def blocks_of(page: str) -> tuple[Paths, list[Block]]:
             pass
         return True
 
-    while at < len(page):
-        begin = page.find("<", at)
-        if begin < 0:
-            add(page[at:])
-            break
-        following = page[begin + 1 : begin + 2]
-        closing = following == "/"
-        name = TAG_NAME.match(page, begin + 1 + closing)
-        if not name:
-            if page.startswith("<!--", begin):
-                add(page[at:begin])
-                end = page.find("-->", begin + 2)
-                at = len(page) if end < 0 else end + 3
-            elif closing or following in ("!", "?"):
-                add(page[at:begin])
-                end = page.find(">", begin)
-                at = len(page) if end < 0 else end + 1
-            else:
-                add(page[at : begin + 1])
-                at = begin + 1
+    ends = ends_of_skipped(page)
+    skip, in_control = -1, False  # the number of the end tag to skip to; whether a control without one is open
+    for number, (before, tag, closing, attributes) in enumerate(tokens(page)):
+        if number <= skip:
             continue
-        add(page[at:begin])
-        end = TAG_REST.match(page, name.end()) if quotes else None
-        if end:
-            at = end.end()
-        else:
-            quotes = False
-            stop = page.find(">", name.end())
-            at = len(page) if stop < 0 else stop + 1
-        attributes = page[name.end() : at - 1]
-        tag = name[0].lower()
-        if tag in RAW:
-            if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+        if not in_control:
+            add(before)
+        if not tag:
+            continue
+        if tag in SKIPPED:
+            parts.append(" ")
+            if number in ends:
+                skip = ends[number]
+            elif tag in CONTROLS and not attributes.endswith("/"):
+                in_control = not closing
+        elif tag in RAW or tag == "br":
             parts.append(" ")
         elif tag in INLINE:
             if tag == "a":
                 in_link = not closing
-        elif tag == "br":
-            parts.append(" ")
         elif closing:
+            in_control = False
             flush()
             if close((tag,)):
                 in_link = False
         else:
+            in_control = False
             flush()
             if tag == "hr":
                 continue
@@ -245,7 +307,8 @@ def blocks_of(page: str) -> tuple[Paths, list[Block]]:
                 if tag not in STOPS:
                     scope[tag] += 1
     flush()
-    return paths, out
+    within = ("article",) if "article" in paths.plain else ("main",)
+    return paths, [(path, text, 0 if paths.plain[path] in within else links) for path, text, links in out]
 
 
 class Sums:
