@@ -215,11 +215,29 @@ def test_winnowing_odd_tables(spark, odd, nothing):
     assert decontaminate.contamination_report(odd, benchmark.limit(0)).where("contaminated").count() == 0
 
 
+def plain_cuts(data):
+    """Ends of chunks by definition: the sum over the last 16 bytes, each byte's word shifted by its age."""
+
+    def word(byte):
+        x = byte + 1
+        for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
+            x = (x ^ x >> 33) * factor % 2**64
+        return x % 2**32
+
+    words = [word(b) for b in range(256)]
+    ends = [at + 1 for at in range(len(data)) if sum(words[data[at - k]] << k for k in range(min(16, at + 1))) % 2**32 < 2**32 // 32]
+    return ends if not data or (ends and ends[-1] == len(data)) else [*ends, len(data)]
+
+
 def chunk_brute(rows):
-    first, out = {}, {}
+    first, out, texts = {}, {}, set()
     for i, text in sorted(rows):
         data, begin, spans = (text or "").encode(), 0, []
-        for end in chunking.chunk_ends(data).tolist():
+        if 0 < len(data) < 96 and data in texts:
+            out[i] = (len(data), len(data), 1)
+            continue
+        texts.add(data)
+        for end in plain_cuts(data):
             piece = data[begin:end]
             if piece in first:
                 spans.append((begin, end))
@@ -231,7 +249,7 @@ def chunk_brute(rows):
                 merged[-1] = (merged[-1][0], b)
             else:
                 merged.append((a, b))
-        merged = [(a, b) for a, b in merged if b - a >= chunking.LEAST_RUN]
+        merged = [(a, b) for a, b in merged if b - a >= 96]
         out[i] = (len(data), sum(b - a for a, b in merged), len(merged))
     return out
 
@@ -242,6 +260,16 @@ def test_chunks_equal_brute_force(docs, rows):
     assert want[3][1] > 0
 
 
+def test_exact_copies_go_whatever_their_length(spark):
+    rng = random.Random(11)
+    texts = ["a", "yes\n", *(brute.prose(rng, n)[:n * 5] for n in range(2, 30))]
+    rows = [(copy * 100 + i, t) for i, t in enumerate(texts) for copy in range(3)] + [(900, "yes"), (901, "yes\nand more"), (902, ""), (903, "")]
+    got = {r["doc_id"]: tuple(r)[1:] for r in chunking.chunk_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == chunk_brute(rows)
+    assert all(got[i][1] == 0 and got[100 + i][:2] == got[200 + i][:2] == (len(t.encode()),) * 2 for i, t in enumerate(texts))
+    assert all(got[i][1] == 0 for i in range(900, 904))
+
+
 def test_chunks_resist_insertions():
     rng = random.Random(2)
     text = brute.prose(rng, 2000).encode()
@@ -274,6 +302,9 @@ def test_chance_phrases_stay(spark):
 def test_chunks_odd_tables(odd, nothing, docs):
     assert chunking.chunk_report(nothing).count() == 0
     assert chunking.chunk_report(odd).count() == 5
+    clash = odd.selectExpr("*", "'mine' as sub", "'mine' as _sub", "'mine' as _spans", "'mine' as spans")
+    kept = chunking.without_repeats(clash)
+    assert kept.columns == clash.columns and {(r["sub"], r["_sub"], r["_spans"], r["spans"], r["_id"]) for r in kept.collect()} == {("mine",) * 5}
     cleaned = chunking.without_repeats(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == docs.count()
 
