@@ -6,7 +6,7 @@ import os
 import pytest
 
 import __spark_entry__
-from weblathe.plans import captures, corpus, folds, functions, hot, oracle, sites, streams, trees
+from weblathe.plans import captures, corpus, documents, folds, functions, hot, oracle, sites, streams, trees
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01" if os.environ.get("ORACLE_FULL") else "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -32,7 +32,7 @@ def rows(columns, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle.SQL | captures.SQL | folds.SQL | functions.SQL | hot.SQL | sites.SQL | streams.SQL | trees.SQL))
+@pytest.mark.parametrize("name", sorted(oracle.SQL | captures.SQL | documents.SQL | folds.SQL | functions.SQL | hot.SQL | sites.SQL | streams.SQL | trees.SQL))
 def test_query_equals_oracle(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF)
     cursor = duck.execute(__spark_entry__.oracle_sql()[name])
