@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weblathe.llm import chunking, decontaminate, runindex, simhash
+from weblathe.llm import chunking, common, decontaminate, runindex, simhash
 
 from . import brute
 
@@ -312,3 +312,12 @@ def test_chunks_odd_tables(odd, nothing, docs):
 @pytest.mark.parametrize("text", [b"", b"   ", b"one", b"one two"])
 def test_fingerprint_of_short_texts(text):
     assert simhash.fingerprint(text) == brute.simhash(text.decode())
+
+
+@pytest.mark.parametrize("n", [3, 7, 8, 9, 50, 997])
+def test_least_of_windows_over_blocks(n):
+    rng = random.Random(n)
+    values = np.array([rng.randrange(5) << 24 | rng.getrandbits(24) for _ in range(n)], dtype=np.uint64)
+    for width in (1, 2, 3, 5):
+        want = [min(range(i, i + width), key=lambda j: (int(values[j]) >> 24, j)) for i in range(n - width + 1)]
+        assert common.sliding_argmin(values, width).tolist() == common.sliding_argmin(values, width, 8).tolist() == want

@@ -94,13 +94,14 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
+def sliding_argmin(values: np.ndarray, width: int, block: int = 1 << 24) -> np.ndarray:
     """For each window of ``width`` values, the index of its leftmost least value (upper 40 bits compared).
 
-    Values and indices share one 64-bit key, so a block holds at most 2**24 values.
+    Values and indices share one 64-bit key, so longer arrays go in overlapping blocks.
     """
-    if len(values) > 1 << 24:
-        raise ValueError("block too long")
+    if len(values) > block:
+        starts = range(0, len(values) - width + 1, block - width + 1)
+        return np.concatenate([begin + sliding_argmin(values[begin : begin + block], width, block) for begin in starts])
     low = np.uint64((1 << 24) - 1)
     key = (values & ~low) | np.arange(len(values), dtype=np.uint64)
     step = 1

@@ -153,9 +153,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                     continue
                 hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
                 grams = gram_hashes(hashes, gram_size(length))
-                prints = grams[sliding_argmin(grams, length - gram_size(length) + 1)].view(np.int64) if len(grams) < 1 << 24 else None
-                if prints is None:
-                    raise ValueError("a test item of more than 2**24 words")
+                prints = grams[sliding_argmin(grams, length - gram_size(length) + 1)].view(np.int64)
                 n = len(words) - length + 1
                 for at in range(0, n, 1 << 15):
                     texts = [b" ".join(words[j : j + length]) for j in range(at, min(n, at + (1 << 15)))]
