@@ -132,6 +132,11 @@ def test_metadata_of_a_rich_page(spark):
     assert s["legal.license"][0] == ["L", "https://lic.example/by"] and s["economic.subscription_required"][0] is True
 
 
+@pytest.mark.parametrize(("written", "title"), [("a &amp; b", "a & b"), ("&quot;a", '"a'), ("a &amp", "a &"), ("a&amp;&amp", "a&&"), ("&amp;quot;", "&quot;")])
+def test_titles_decode_all_references(spark, written, title):
+    assert read_page(f"<title>{written}</title><p>x", None)["title"] == title
+
+
 def test_policy_texts(spark):
     pages = D.with_page_facts(table(spark, fetch("a", body=PAGE), fetch("b", body="<p>We wrote about scraping, prices and artificial intelligence.</p>"), fetch("c", body="<p>Registration is required. No account required.</p>"), fetch("d", body="")))
     texts = pages.select("run_id", F.lit(0).alias("position"), F.lit("u").alias("source_url"), F.col("page.text").alias("text"))
