@@ -2,11 +2,12 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from weblathe.functions import vocabulary as V
-from weblathe.functions.parsing import Robots, host_name, read_linked_data, read_page, read_sitemap
+from weblathe.functions.parsing import PIECE, TEXT, Robots, host_name, in_pieces, read_linked_data, read_page, read_sitemap
 from weblathe.operators import detectors as D
 from weblathe.operators.observe import snapshots_of
 
@@ -233,3 +234,22 @@ def test_linked_data_and_limits():
     assert read_linked_data(["[", "{"])["parsed"] is False
     page = read_page("".join(f"<a href='/x{i}'>t</a>" for i in range(60)) + "<a href='/terms'>Terms</a>", "https://h.example")
     assert len(page["anchors"]) == 61 and page["anchors"][-1]["url"] == "https://h.example/terms"
+
+
+def test_a_batch_is_read_in_pieces():
+    alive, most = 0, 0
+
+    class Fact(str):
+        def __new__(cls, value):
+            nonlocal alive, most
+            alive, most = alive + 1, max(most, alive + 1)
+            return super().__new__(cls, value)
+
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    given = pa.array([str(i) for i in range(10 * PIECE + 1)])
+    assert in_pieces(Fact, TEXT, given).equals(given)
+    assert most <= 2 * PIECE
+    assert len(in_pieces(Fact, TEXT, given[:0])) == 0
