@@ -85,6 +85,13 @@ def test_old_snapshots_migrate_and_files_that_are_not_json_fail(spark, tmp_path)
     assert got["p"]["problem"] is None and got["q"]["problem"] and got["r"]["problem"]
 
 
+def test_documents_are_parsed_once_under_a_filter(spark):
+    rows = spark.createDataFrame([("p", "{"), ("q", "[]")], "path string, text string")
+    fine = snapshots.parse_snapshots(rows).where("problem is null").drop("problem")
+    plan = fine._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and fine.count() == 0
+
+
 def test_snapshots_write_and_keep_earlier_files(spark, tree, tmp_path):
     found = snapshots.read_snapshots(spark, str(tree))
     snapshots.write_snapshots(found, str(tmp_path / "out"))

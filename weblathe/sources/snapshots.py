@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblathe.functions.parsing import TEXT, record
+from weblathe.functions.parsing import TEXT, in_pieces, record
 from weblathe.functions.vocabulary import CONFIDENCES, OUTCOMES
 
 EVIDENCE = "array<struct<source_url: string, observed_at: timestamp, http_status: int, content_sha256: string, note: string>>"
@@ -69,11 +70,16 @@ def normal_form(text: str) -> tuple[str | None, str | None]:
     return (None, problem) if problem else (json.dumps(doc), None)
 
 
-@F.pandas_udf(record(json=TEXT, problem=TEXT))
-def normalised(text):  # noqa: ANN001, ANN201
-    import pandas as pd
+NORMALISED = record(json=TEXT, problem=TEXT)
 
-    return pd.DataFrame([normal_form(t) for t in text], columns=["json", "problem"], dtype=object)
+
+@F.arrow_udf(NORMALISED)
+def normalised(text: pa.Array) -> pa.Array:
+    return in_pieces(lambda t: dict(zip(("json", "problem"), normal_form(t), strict=True)), NORMALISED, text)
+
+
+# So that a filter on the problem isn't pushed below the parser: that would parse every document twice, in two workers a task.
+normalised = normalised.asNondeterministic()
 
 
 def problems(snapshot: Column) -> Column:
