@@ -82,3 +82,72 @@ def test_a_batch_that_is_written_again_counts_once(spark, tmp_path):
         commit.unlink()
     run_to_end(stream(), "append", str(tmp_path))
     assert spark.read.option("recursiveFileLookup", True).parquet(str(tmp_path / "out")).count() == 5
+
+
+class Store:
+    """Stands for the state of one bucket; counts the calls and the bytes written."""
+
+    def __init__(self):
+        self.maps, self.value, self.timers, self.calls, self.written = {}, None, set(), 0, 0
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self if name == "waiting" else None
+
+    def getValueState(self, *_):  # noqa: N802
+        store = self
+
+        class Value:
+            def get(self):
+                store.calls += 1
+                return store.value
+
+            def update(self, value):
+                store.calls, store.value = store.calls + 1, value
+
+            def clear(self):
+                store.calls, store.value = store.calls + 1, None
+
+        return Value()
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.maps[key]
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls, self.written, self.maps[key] = self.calls + 1, self.written + len(value[0]), value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        del self.maps[key]
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(at)
+
+
+class Now:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+
+def given(key, at, tie):
+    return {"key": key, "at_ms": at, "tie": tie, "given": f'{{"run_id":"r{tie}","outcome":"o{tie % 2}","value_json":"null"}}'}
+
+
+def test_keys_of_a_bucket_share_the_calls_to_the_state():
+    store, changes = Store(), ordered.Changes(3 * 24 * HOUR)
+    changes.init(store)
+    rows = [given(f"k{i % 300}", 1 + i * HOUR // 10, i) for i in range(900)]
+    assert list(changes.handleInputRows((0,), iter(rows), Now(0))) == []
+    out = list(changes.handleExpiredTimer((0,), Now(91 * HOUR), Now(min(store.timers))))
+    assert [r["kind"] for r in out].count("taken") == 600 and store.calls <= 4
+
+
+def test_a_hot_key_rewrites_no_rows_that_wait():
+    store, changes = Store(), ordered.Changes()
+    changes.init(store)
+    rows = [given("k", 1 + (i * 7919) % 50_000 * HOUR // 1000, i) for i in range(50_000)]
+    for at in range(0, 50_000, 5_000):
+        assert list(changes.handleInputRows((0,), iter(rows[at : at + 5_000]), Now(0))) == []
+    assert store.written < 1.2 * sum(len(r["given"]) + 40 for r in rows)
+    out = list(changes.handleExpiredTimer((0,), Now(60 * HOUR), Now(min(store.timers))))
+    assert [r["at_ms"] for r in out] == sorted(r["at_ms"] for r in rows)[1:] and not store.maps

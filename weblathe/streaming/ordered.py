@@ -1,12 +1,12 @@
 """Keyed state over event time: rows are taken in order of time, late ones are told apart, idle keys expire.
 
-The rows of a key wait in typed state, by spans of time, until the watermark passes them; then a timer takes
+The rows of a key wait in typed state until the watermark passes them; then a timer takes
 them in order of (time, tie) and hands them to a step, however they were spread over batches and files.
 A row behind the watermark is not taken: it comes out at once as ``late``, so what was taken, what
 still waits and what was late are all rows. What time alone does comes in its place in that order: a key without rows
 for ``idle`` milliseconds loses its state and comes out once as ``expired``; a step can ask for other changes (a lease that runs
-out, a deferral that ends). A key has one timer, and calls to the state for each of its spans, not for each row; the rows of
-one span of a key are in memory at a time.
+out, a deferral that ends). Keys share buckets by hash: a bucket has one timer and one value with the states of its keys and few
+waiting rows; more wait in parts of spans of time, and those of one span of a bucket are in memory at a time.
 
 Spark keeps such state in RocksDB: ``spark.sql.streaming.stateStore.providerClass`` must name its provider
 (``use_rocksdb``); the checkpoint folder holds the state, so a lost executor costs no row.
@@ -35,18 +35,20 @@ def use_rocksdb(spark: SparkSession) -> None:
 class InOrder(StatefulProcessor):
     """Takes each key's rows in order. Subclasses say what a row, and time alone, does to the key's state.
 
-    Input: the key columns, ``at_ms``, ``tie`` and ``given`` (the rest, as JSON). Output: the key columns, kind
+    Keys are dealt to buckets, and a bucket has one value and one timer: calls to the state, not rows, are what costs, and
+    many keys share them. Input: the key (as JSON), ``at_ms``, ``tie`` and ``given`` (the rest, as JSON). Output: the key, kind
     (taken, late, woken, expired), at_ms, tie and result (JSON).
     """
 
     idle_ms: int | None = None
-    span_ms: int = 6 * 3_600_000  # how much of a key is taken at a time
+    span_ms: int = 6 * 3_600_000  # how much of a bucket is taken at a time
+    few: int = 1024  # so many rows of a bucket wait in its own value, more in parts of spans
 
     def begin(self) -> dict:
         """The state of a key that is seen for the first time."""
         raise NotImplementedError
 
-    def step(self, state: dict, at_ms: int, tie: int, given: dict) -> dict | None:
+    def step(self, key: str, state: dict, at_ms: int, tie: int, given: dict) -> dict | None:
         """Change ``state`` by one row; what comes out of it, None for nothing."""
         raise NotImplementedError
 
@@ -54,7 +56,7 @@ class InOrder(StatefulProcessor):
         """When the state changes by time alone next, in milliseconds."""
         return None
 
-    def passed(self, state: dict, at_ms: int) -> Iterator[tuple[int, dict]]:
+    def passed(self, key: str, state: dict, at_ms: int) -> Iterator[tuple[int, dict]]:
         """Change ``state`` by all that time alone does until ``at_ms``: (when, what comes out) in order."""
         return iter(())
 
@@ -64,108 +66,170 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "span long", "rows string")
-        # spans: the least time of each span that waits; alarm: the timer that counts
-        self.held = handle.getValueState("held", "state string, last_ms long, spans string, alarm_ms long")
+        # Rows of spans that are too many for the bucket's own value; each batch adds parts and rewrites none.
+        self.waiting = handle.getMapState("waiting", "span long, part long", "rows string")
+        # keys: state and last time of each key; rows: few rows that wait; spans: least time and parts of each span in ``waiting``; alarm: the timer that counts
+        self.held = handle.getValueState("held", "keys string, rows string, spans string, alarm_ms long")
 
     def close(self) -> None:
         pass
 
-    def read(self) -> tuple[dict | None, int | None, dict[int, int], int | None]:
+    def flush(self) -> None:
+        """Write what a subclass keeps of its own state while a span is taken."""
+
+    def read(self) -> tuple[dict[str, list], list, dict[int, list], int | None]:
         seen = self.held.get()
         if seen is None:
-            return None, None, {}, None
-        return json.loads(seen[0]) if seen[0] else None, seen[1], {int(k): v for k, v in json.loads(seen[2]).items()}, seen[3]
+            return {}, [], {}, None
+        return json.loads(seen[0]), json.loads(seen[1]), {int(k): v for k, v in json.loads(seen[2]).items()}, seen[3]
+
+    def keep(self, keys: dict, few: list, spans: dict, alarm: int | None) -> None:
+        self.held.update((json.dumps(keys), json.dumps(few), json.dumps(spans), alarm))
+
+    def spilled(self, few: list, spans: dict[int, list]) -> None:
+        """Give ``few`` to the parts of their spans."""
+        found: dict[int, list] = {}
+        for r in few:
+            found.setdefault(r[1] // self.span_ms, []).append(r)
+        for span, rows in found.items():
+            least, first, end = spans.get(span, (None, 0, 0))
+            spans[span] = [min(r[1] for r in rows) if least is None else min(least, *(r[1] for r in rows)), first, end + 1]
+            self.waiting.updateValue((span, end), (json.dumps(rows),))
 
-    def row(self, key: tuple, kind: str, at_ms: int, tie: int, result: str) -> Row:
-        names = [*(f"key_{i}" for i in range(len(key))), "kind", "at_ms", "tie", "result"]
-        return Row(**dict(zip(names, (*key, kind, at_ms, tie, result))))
+    def row(self, key: str, kind: str, at_ms: int, tie: int, result: str) -> Row:
+        return OUT(key, kind, at_ms, tie, result)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
-        state, last, spans, alarm = self.read()
+        keys, few, spans, alarm = self.read()
+        first = None
         while part := list(itertools.islice(rows, 4096)):
-            fresh: dict[int, list] = {}
             for r in part:
                 at = r["at_ms"]
                 if at <= mark:
-                    yield self.row(key, "late", at, r["tie"], r["given"])
+                    yield self.row(r["key"], "late", at, r["tie"], r["given"])
                 else:
-                    fresh.setdefault(at // self.span_ms, []).append([at, r["tie"], r["given"]])
-            for span, found in fresh.items():
-                least = min(found)[0]
-                if span in spans:
-                    found = json.loads(self.waiting.getValue((span,))[0]) + found
-                spans[span] = min(least, spans.get(span, least))
-                self.waiting.updateValue((span,), (json.dumps(found),))
-        if spans and (alarm is None or min(spans.values()) < alarm):
-            alarm = min(spans.values())
+                    few.append([r["key"], at, r["tie"], r["given"]])
+                    first = at if first is None else min(first, at)
+            if len(few) > self.few:
+                self.spilled(few, spans)
+                few = []
+        if first is None:
+            return
+        if alarm is None or first < alarm:
+            alarm = first
             self.handle.registerTimer(alarm)
-        if spans:
-            self.held.update((json.dumps(state) if state is not None else None, last, json.dumps(spans), alarm))
+        self.keep(keys, few, spans, alarm)
 
-    def until(self, state: dict | None, last: int | None, at_ms: int, out: list) -> dict | None:
+    def until(self, key: str, state: dict | None, last: int | None, at_ms: int, out: list) -> dict | None:
         """The state after all that time alone does to it until ``at_ms``; None once it has gone."""
         if state is None:
             return None
         end = last + self.idle_ms if self.idle_ms else None
         gone = end is not None and end <= at_ms
-        out += [("woken", when, -1, json.dumps(result)) for when, result in self.passed(state, end if gone else at_ms)]
+        out += [(key, "woken", when, -1, json.dumps(result)) for when, result in self.passed(key, state, end if gone else at_ms)]
         if gone:
-            out.append(("expired", end, -1, json.dumps(self.expired(state))))
+            out.append((key, "expired", end, -1, json.dumps(self.expired(state))))
         return None if gone else state
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
         mark = timerValues.getCurrentWatermarkInMs()
-        state, last, spans, alarm = self.read()
+        keys, few, spans, alarm = self.read()
         if alarm != expiredTimerInfo.getExpiryTimeInMs():
             return  # an earlier timer was set after this one
-        for span in sorted(s for s, least in spans.items() if least <= mark):
-            rows = sorted(json.loads(self.waiting.getValue((span,))[0]))
-            ripe = [r for r in rows if r[0] <= mark]
+        near: dict[int, list] = {}
+        wait = []
+        for r in few:
+            near.setdefault(r[1] // self.span_ms, []).append(r) if r[1] <= mark else wait.append(r)
+        for span in sorted(near.keys() | {s for s, (least, _, _) in spans.items() if least <= mark}):
+            rows = near.get(span, [])
+            _, begin, end = spans.pop(span, (None, 0, 0))
+            for part in range(begin, end):
+                rows += json.loads(self.waiting.getValue((span, part))[0])
+                self.waiting.removeKey((span, part))
             out: list = []
-            for at, tie, given in ripe:
-                state = self.until(state, last, at, out)
+            for name, at, tie, given in sorted(rows):
+                if at > mark:
+                    wait.append([name, at, tie, given])
+                    continue
+                state, last = keys.get(name, (None, None))
+                state = self.until(name, state, last, at, out)
                 state = self.begin() if state is None else state
-                result = self.step(state, at, tie, json.loads(given))
+                result = self.step(name, state, at, tie, json.loads(given))
                 if result is not None:
-                    out.append(("taken", at, tie, json.dumps(result)))
-                last = at
-            if len(ripe) < len(rows):
-                self.waiting.updateValue((span,), (json.dumps(rows[len(ripe) :]),))
-                spans[span] = rows[len(ripe)][0]
-            else:
-                self.waiting.removeKey((span,))
-                del spans[span]
-            yield from (self.row(key, *r) for r in out)
-        out = []
-        state = self.until(state, last, mark, out)
-        yield from (self.row(key, *r) for r in out)
-        if state is None and not spans:
+                    out.append((name, "taken", at, tie, json.dumps(result)))
+                keys[name] = [state, at]
+            self.flush()
+            yield from (self.row(*r) for r in out)
+        out, times = [], []
+        for name, (state, last) in [*keys.items()]:
+            state = self.until(name, state, last, mark, out)
+            if state is None:
+                del keys[name]
+                continue
+            keys[name] = [state, last]
+            times += [t for t in (self.next_change(state), last + self.idle_ms if self.idle_ms else None) if t is not None]
+        self.flush()
+        yield from (self.row(*r) for r in out)
+        if len(wait) > self.few:
+            self.spilled(wait, spans)
+            wait = []
+        if not keys and not wait and not spans:
             self.held.clear()
             return
-        times = [*spans.values()]
-        if state is not None:
-            times += [t for t in (self.next_change(state), last + self.idle_ms if self.idle_ms else None) if t is not None]
-        alarm = min(times, default=None)
+        alarm = min([*times, *(r[1] for r in wait), *(least for least, _, _ in spans.values())], default=None)
         if alarm is not None:
             self.handle.registerTimer(alarm)
-        self.held.update((json.dumps(state) if state is not None else None, last, json.dumps(spans), alarm))
+        self.keep(keys, wait, spans, alarm)
+
+
+OUT = Row("key", "kind", "at_ms", "tie", "result")
+
+
+class Kept:
+    """A map state whose values are read once and written once while a span is taken."""
 
+    def __init__(self, state):  # noqa: ANN001
+        self.state, self.known, self.changed = state, {}, set()
 
-def in_order(rows: DataFrame, keys: dict[str, str], at: str, tie: str, processor: InOrder, late: str) -> DataFrame:
+    def get(self, key: tuple) -> tuple | None:
+        if key not in self.known:
+            found = self.state.getValue(key)
+            self.known[key] = None if found is None else tuple(found)
+        return self.known[key]
+
+    def put(self, key: tuple, value: tuple | None) -> None:
+        """None removes the key."""
+        self.known[key] = value
+        self.changed.add(key)
+
+    def flush(self) -> None:
+        for key in self.changed:
+            if self.known[key] is not None:
+                self.state.updateValue(key, self.known[key])
+            elif self.state.containsKey(key):
+                self.state.removeKey(key)
+        self.known, self.changed = {}, set()
+
+
+BUCKETS = 4096
+
+
+def in_order(rows: DataFrame, keys: dict[str, str], at: str, tie: str, processor: InOrder, late: str, buckets: int = BUCKETS) -> DataFrame:
     """``rows`` through ``processor``: the columns of ``keys`` (name: type), kind, at_ms, tie, result (JSON).
 
     ``at`` is the event time, ``late`` how long the watermark waits. The stateful operator gets the time as a number,
-    not as the watermarked column: Spark would drop late rows before they could be told apart.
+    not as the watermarked column: Spark would drop late rows before they could be told apart. Keys share ``buckets``
+    by hash; the number belongs to the checkpoint and can't change with it.
     """
     rest = [c for c in rows.columns if c not in (*keys, at, tie)]
     marked = rows.withWatermark(at, late)
-    plain = marked.select(*keys, F.unix_millis(at).alias("at_ms"), F.col(tie).cast("long").alias("tie"), F.to_json(F.struct(*rest)).alias("given"))
-    names = [*(f"key_{i}" for i in range(len(keys))), "kind", "at_ms", "tie", "result"]
-    schema = ", ".join([*(f"key_{i} {t}" for i, t in enumerate(keys.values())), "kind string, at_ms long, tie long, result string"])
-    out = plain.groupBy(*keys).transformWithState(processor, StructType.fromDDL(schema), "append", "eventTime")
-    return out.toDF(*keys, *names[len(keys) :])
+    key = F.to_json(F.struct(*(F.col(k).cast(t).alias(k) for k, t in keys.items())))
+    plain = marked.select(key.alias("key"), F.unix_millis(at).alias("at_ms"), F.col(tie).cast("long").alias("tie"), F.to_json(F.struct(*rest)).alias("given"))
+    dealt = plain.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    out = dealt.groupBy("bucket").transformWithState(processor, StructType.fromDDL("key string, kind string, at_ms long, tie long, result string"), "append", "eventTime")
+    named = F.from_json("key", ", ".join(f"`{k}` {t}" for k, t in keys.items()))
+    return out.withColumn("key", named).select("key.*", "kind", "at_ms", "tie", "result")
 
 
 class Changes(InOrder):
@@ -177,7 +241,7 @@ class Changes(InOrder):
     def begin(self) -> dict:
         return {}
 
-    def step(self, state: dict, at_ms: int, tie: int, given: dict) -> dict | None:
+    def step(self, key: str, state: dict, at_ms: int, tie: int, given: dict) -> dict | None:
         now = {"run": given.get("run_id"), "outcome": given.get("outcome"), "value": given.get("value_json")}
         before = dict(state)
         state.update(now)
@@ -199,7 +263,7 @@ class PacedKey(InOrder):
     def begin(self) -> dict:
         return {"next": 0.0, "interval": 0.0, "failures": 0, "circuit": 0.0, "updated": 0.0}
 
-    def step(self, state: dict, at_ms: int, tie: int, given: dict) -> dict:
+    def step(self, key: str, state: dict, at_ms: int, tie: int, given: dict) -> dict:
         pacing = Pacing(**self.limits)
         for name, value in state.items():
             setattr(pacing, name, value)
@@ -220,9 +284,21 @@ class Leases(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.jobs = handle.getMapState("jobs", "job string", "status string, until_ms long")
-        self.running = handle.getMapState("running", "job string", "since_ms long")
-        self.due = handle.getMapState("due", "until_ms long", "jobs string")
+        self.jobs = Kept(handle.getMapState("jobs", "run string, job string", "status string, until_ms long"))
+        self.due = Kept(handle.getMapState("due", "run string, until_ms long", "jobs string"))
+        self.running = Kept(handle.getMapState("running", "run string", "jobs string"))
+
+    def flush(self) -> None:
+        for kept in (self.jobs, self.due, self.running):
+            kept.flush()
+
+    def run(self, key: str) -> list[str]:
+        """The jobs that run under a lease."""
+        found = self.running.get((key,))
+        return json.loads(found[0]) if found is not None else []
+
+    def set_run(self, key: str, jobs: set[str]) -> None:
+        self.running.put((key,), (json.dumps(sorted(jobs)),) if jobs else None)
 
     def begin(self) -> dict:
         return {"owner": None, "until": 0, "stopped": False, "due": []}
@@ -230,29 +306,29 @@ class Leases(InOrder):
     def next_change(self, state: dict) -> int | None:
         return min((t for t in (state["until"] if state["owner"] is not None else None, *state["due"][:1]) if t is not None), default=None)
 
-    def passed(self, state: dict, at_ms: int) -> Iterator[tuple[int, dict]]:
+    def passed(self, key: str, state: dict, at_ms: int) -> Iterator[tuple[int, dict]]:
         while (when := self.next_change(state)) is not None and when <= at_ms:
             if state["owner"] is not None and state["until"] == when:
-                freed = sorted(job for (job,) in self.running.keys())
+                freed = sorted(self.run(key))
+                self.set_run(key, set())
                 for job in freed:
-                    self.running.removeKey((job,))
-                    self.jobs.updateValue((job,), ("pending", None))
+                    self.jobs.put((key, job), ("pending", None))
                 yield when, {"event": "lease_expired", "owner": state["owner"], "granted": True, "jobs": freed}
                 state["owner"] = None
             if state["due"][:1] == [when]:
-                named = json.loads(self.due.getValue((when,))[0])
-                jobs = [job for job in named if tuple(self.jobs.getValue((job,))) == ("deferred", when)]
+                named = json.loads(self.due.get((key, when))[0])
+                jobs = [job for job in named if self.jobs.get((key, job)) == ("deferred", when)]
                 for job in jobs:
-                    self.jobs.updateValue((job,), ("pending", None))
-                self.due.removeKey((when,))
+                    self.jobs.put((key, job), ("pending", None))
+                self.due.put((key, when), None)
                 del state["due"][0]
                 if jobs:
                     yield when, {"event": "deferral_over", "owner": None, "granted": True, "jobs": sorted(jobs)}
 
-    def step(self, state: dict, at_ms: int, tie: int, given: dict) -> dict:
+    def step(self, key: str, state: dict, at_ms: int, tie: int, given: dict) -> dict:
         event, owner, job = given["event"], given.get("owner"), given.get("job")
         mine = state["owner"] is not None and state["owner"] == owner
-        known = self.jobs.getValue((job,)) if job is not None else None
+        known = self.jobs.get((key, job)) if job is not None else None
         status = known[0] if known is not None else "pending"
         if event == "acquire":
             granted = state["owner"] is None or mine
@@ -271,18 +347,18 @@ class Leases(InOrder):
         elif granted and event == "stop":
             state["stopped"] = True
         elif granted and event == "claim":
-            self.jobs.updateValue((job,), ("running", None))
-            self.running.updateValue((job,), (at_ms,))
+            self.jobs.put((key, job), ("running", None))
+            self.set_run(key, {*self.run(key), job})
         elif granted:
             until = given.get("until_ms") if event == "defer" else None
-            self.running.removeKey((job,))
-            self.jobs.updateValue((job,), ("completed" if event == "complete" else "deferred", until))
+            self.set_run(key, {*self.run(key)} - {job})
+            self.jobs.put((key, job), ("completed" if event == "complete" else "deferred", until))
             if until is not None and until <= at_ms:
-                self.jobs.updateValue((job,), ("pending", None))
+                self.jobs.put((key, job), ("pending", None))
             elif until is not None:
-                others = self.due.getValue((until,))
+                others = self.due.get((key, until))
                 state["due"] = sorted({*state["due"], until})
-                self.due.updateValue((until,), (json.dumps(sorted({*(json.loads(others[0]) if others is not None else ()), job})),))
+                self.due.put((key, until), (json.dumps(sorted({*(json.loads(others[0]) if others is not None else ()), job})),))
         return {"event": event, "owner": owner, "granted": granted, "jobs": [job] if job is not None else []}
 
 
