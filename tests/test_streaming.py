@@ -55,3 +55,15 @@ def test_paced_stream_equals_the_fold(spark, tmp_path):
     batch.coalesce(1).write.parquet(str(tmp_path / "in"))
     got = drain(stateful.paced(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), tmp_path, "paced")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, jobs.pace(batch).collect()))
+
+
+def test_state_is_called_for_buckets_not_for_keys(spark, tmp_path):
+    schema = "domain string, signal string, run_id string, at double, outcome string, value_json string"
+    keys = [(f"d{i}", "s") for i in range(3 * stateful.BUCKETS)]
+    for n in range(2):
+        spark.createDataFrame([(*k, f"r{n}", float(n), "observed", str(n)) for k in keys], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = stateful.change_feed(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.format("memory").queryName("bucketed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert spark.table("bucketed").where("previous_run_id = 'r0' and run_id = 'r1' and changed").count() == len(keys)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= stateful.BUCKETS

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -30,47 +31,62 @@ def first_of_each_run(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("completed_at", late).dropDuplicatesWithinWatermark(["run_id"])
 
 
+BUCKETS = 4096
+
+
+def bucketed(stream: DataFrame, *keys: str) -> DataFrame:
+    """``stream`` with the bucket of its keys: a group is a bucket, as a call for each key costs far more than its rows.
+
+    The number of buckets belongs to the checkpoint and can't change with it.
+    """
+    return stream.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+
+
 def change_feed(stream: DataFrame) -> DataFrame:
     """Each observation (domain, signal, run_id, at, outcome, value_json) against the signal's last one.
 
-    State is one observation for each (domain, signal). Within a batch rows are taken by (at, run_id);
+    State is one observation for each (domain, signal), those of a bucket as JSON. Within a batch rows are taken by (at, run_id);
     older ones than the state are passed over.
     """
     schema = "domain string, signal string, previous_run_id string, run_id string, previous_outcome string, outcome string, changed boolean"
     names = [c.split()[0] for c in schema.split(", ")]
+    columns = ["domain", "signal", "at", "run_id", "outcome", "value_json"]
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["at", "run_id"])
-        last = state.get if state.exists else None
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat([f[columns] for f in frames]).sort_values(["at", "run_id"])
+        held = {(d, s): tuple(last) for d, s, *last in json.loads(state.get[0])} if state.exists else {}
         out = []
-        for r in rows.itertuples():
-            now = (r.run_id, float(r.at), r.outcome, r.value_json)
+        for domain, signal, at, run, outcome, value in rows.itertuples(index=False):
+            now, last = (run, float(at), outcome, value), held.get((domain, signal))
             if last is not None:
                 if (now[1], now[0]) <= (last[1], last[0]):
                     continue
-                out.append((*key, last[0], r.run_id, last[2], r.outcome, (last[2], last[3]) != (r.outcome, r.value_json)))
-            last = now
-        if last is not None:
-            state.update(last)
+                out.append((domain, signal, last[0], run, last[2], outcome, (last[2], last[3]) != (outcome, value)))
+            held[domain, signal] = now
+        state.update((json.dumps([(*key, *last) for key, last in held.items()]),))
         yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy("domain", "signal").applyInPandasWithState(step, schema, "run_id string, at double, outcome string, value_json string", "append", GroupStateTimeout.NoTimeout)
+    return bucketed(stream, "domain", "signal").groupBy("_bucket").applyInPandasWithState(step, schema, "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 def paced(stream: DataFrame, **limits) -> DataFrame:
-    """Pacing decisions for a stream of events (domain, at, sequence, event, amount); state is five numbers a domain."""
+    """Pacing decisions for a stream of events (domain, at, sequence, event, amount); state is five numbers a domain, those of a bucket as JSON."""
     names = [c.split()[0] for c in PACED.split(", ")]
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pacing = Pacing(**limits)
-        if state.exists:
-            pacing.next, pacing.interval, pacing.failures, pacing.circuit, pacing.updated = state.get
+    kept = ("next", "interval", "failures", "circuit", "updated")
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held: dict[str, Pacing] = {}
+        for domain, *numbers in json.loads(state.get[0]) if state.exists else ():
+            held[domain] = Pacing(**limits)
+            for name, value in zip(kept, numbers, strict=True):
+                setattr(held[domain], name, value)
         out = []
-        for r in pd.concat(list(frames)).sort_values(["at", "sequence"]).itertuples():
-            amount = None if r.amount is None or r.amount != r.amount else r.amount
-            decision, wait = pacing.apply(r.at, r.event, amount)
-            out.append((key[0], r.at, r.sequence, r.event, decision, wait, pacing.next, pacing.failures, pacing.circuit))
-        state.update((float(pacing.next), float(pacing.interval), int(pacing.failures), float(pacing.circuit), float(pacing.updated)))
+        rows = pd.concat([f[["domain", "at", "sequence", "event", "amount"]] for f in frames]).sort_values(["at", "sequence"])
+        for domain, at, sequence, event, amount in rows.itertuples(index=False):
+            pacing = held.setdefault(domain, Pacing(**limits))
+            decision, wait = pacing.apply(at, event, None if amount is None or amount != amount else amount)
+            out.append((domain, at, sequence, event, decision, wait, pacing.next, pacing.failures, pacing.circuit))
+        state.update((json.dumps([(d, *(float(getattr(p, name)) if name != "failures" else int(p.failures) for name in kept)) for d, p in held.items()]),))
         yield pd.DataFrame(out, columns=names)
 
-    return stream.groupBy("domain").applyInPandasWithState(step, PACED, "next double, interval double, failures int, circuit double, updated double", "append", GroupStateTimeout.NoTimeout)
+    return bucketed(stream, "domain").groupBy("_bucket").applyInPandasWithState(step, PACED, "held string", "append", GroupStateTimeout.NoTimeout)
