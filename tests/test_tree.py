@@ -107,3 +107,17 @@ def test_a_commit_that_stopped_halfway_is_completed(spark, tmp_path, made):
     lost.unlink()  # as if the driver had died before it moved this one
     tree.write_once(found, str(out))
     assert sorted(r["run_id"] for r in tree.load(spark, str(out)).collect()) == ["a1", "a2", "a3", "b1", "b2", "b3"]
+
+
+def test_a_write_makes_each_snapshot_once(spark, tmp_path, made):
+    laid_out(tmp_path / "given", *made)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    found = tree.load(spark, str(tmp_path / "given")).withColumn("collector_version", counted("collector_version"))
+    tree.write_once(found, str(tmp_path / "out"))
+    assert seen.value == len(made) and tree.load(spark, str(tmp_path / "out")).count() == len(made)

@@ -75,7 +75,7 @@ NORMALISED = record(json=TEXT, problem=TEXT)
 
 @F.arrow_udf(NORMALISED)
 def normalised(text: pa.Array) -> pa.Array:
-    return in_pieces(lambda t: dict(zip(("json", "problem"), normal_form(t), strict=True)), NORMALISED, text)
+    return in_pieces(lambda t: dict(zip(("json", "problem"), normal_form(t) if t is not None else (None, None), strict=True)), NORMALISED, text)
 
 
 # So that a filter on the problem isn't pushed below the parser: that would parse every document twice, in two workers a task.

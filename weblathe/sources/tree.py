@@ -22,12 +22,15 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StringType, StructType
 
+from weblathe.functions.parsing import in_pieces
 from weblathe.sources import snapshots
+from weblathe.sources.shared import written
 
 FORMAT = "weblathe_snapshots"
 TREE = "path string, date date, host string, run_id string, document string, problem string"
@@ -239,12 +242,10 @@ def documents_of(found: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(StringType())
-def as_document(text):  # noqa: ANN001, ANN201
+@F.arrow_udf(StringType())
+def as_document(text: pa.Array) -> pa.Array:
     """The contract's form: observations hold ``value``, not its text; fields that may be missing go if they are null."""
-    import pandas as pd
-
-    return pd.Series([written_form(json.loads(t)) for t in text], dtype=object)
+    return in_pieces(lambda t: written_form(json.loads(t)), StringType(), text)
 
 
 def written_form(document: dict) -> str:
@@ -264,15 +265,22 @@ def write_once(found: DataFrame, root: str) -> None:
     spark = found.sparkSession
     register(spark)
     new = documents_of(found).groupBy("date", "host", "run_id").agg(F.min("document").alias("document"), (F.min("document") != F.max("document")).alias("torn"))
+    new = written(new, "snapshots-new")  # made once: its days are looked up, and it meets what is held
     days = [r["date"] for r in new.select("date").distinct().collect()]
-    held = spark.read.format(FORMAT).option("strict", "false").load(root).where(F.col("date").isin(days)) if days else None
-    if held is None:
+    if not days:
         return
-    normal = F.coalesce(snapshots.normalised("document")["json"], F.col("document"))
-    held = held.groupBy("date", "host", "run_id").agg(F.min("document").alias("held"), F.max("document").alias("held_too"))
-    both = new.withColumn("normal", normal).join(held, ["date", "host", "run_id"], "left")
-    clash = both.where("torn or normal <> held or held <> held_too").select("run_id").first()
+    held = spark.read.format(FORMAT).option("strict", "false").load(root).where(F.col("date").isin(days))
+    digest = lambda text: F.sha2(text, 256)
+    # Documents are compared by their digests, so those that are held aren't shuffled.
+    held = held.select("date", "host", "run_id", digest(F.col("document")).alias("digest")).groupBy("date", "host", "run_id").agg(F.min("digest").alias("held"), F.max("digest").alias("held_too"))
+    both = new.join(held, ["date", "host", "run_id"], "left")
+    # Only documents of held runs are normalised, to be compared.
+    normal = F.coalesce(snapshots.normalised(F.when(F.col("held").isNotNull(), F.col("document")))["json"], F.col("document"))
+    clashes = F.coalesce(F.col("torn") | (digest(F.col("normal")) != F.col("held")) | (F.col("held") != F.col("held_too")), F.lit(False))
+    judged = both.withColumn("normal", normal).select("date", "host", "run_id", F.when(F.col("held").isNull(), F.col("document")).alias("document"), clashes.alias("clashes"))
+    judged = written(judged, "snapshots-judged")
+    clash = judged.where("clashes").select("run_id").first()
     if clash is not None:
         raise ValueError(f"run {clash['run_id']} is there with another document")
-    rows = both.where("held is null").select("date", "host", "run_id", "document")
+    rows = judged.where("document is not null").select("date", "host", "run_id", "document")
     rows.repartition("date", "host").sortWithinPartitions("date", "host", "run_id").write.format(FORMAT).mode("append").option("path", root).save()
