@@ -138,6 +138,38 @@ def test_titles_decode_all_references(spark, written, title):
     assert read_page(f"<title>{written}</title><p>x", None)["title"] == title
 
 
+def test_metadata_takes_every_link_of_a_page(spark):
+    n = 120
+    links = [f'<a href="/mcp/{i}">Tool</a><a href="/plans/{i}">{"x " * 200} <b>Plans</b> {i}</a>' for i in (*range(n), *reversed(range(n)))]
+    a = by_signal(D.metadata_signals(D.with_page_facts(table(spark, fetch("a", body="".join(links))))), "a")
+    assert [x["url"] for x in a["agent.interface_links"][0]] == [f"https://site.example/mcp/{i}" for i in range(n)]
+    assert a["agent.mcp"][0] == sorted(f"https://site.example/mcp/{i}" for i in range(n))
+    assert [(x["url"], x["text"]) for x in a["economic.pricing_links"][0]] == [(f"https://site.example/plans/{i}", "x " * 200 + f"Plans {i}") for i in range(n)]
+    # No address: no link. What only the text says comes after 256 characters.
+    a = by_signal(D.metadata_signals(D.with_page_facts(table(spark, fetch("a", body=f"<a href='javascript:/mcp'>no</a><a href='/other'>{'x' * 300} pricing</a><a href='javascript:1'>pricing</a>")))), "a")
+    assert a["agent.interface_links"][1] == "no_evidence" and [x["url"] for x in a["economic.pricing_links"][0]] == ["https://site.example/other"]
+
+
+def test_metadata_takes_long_values_whole(spark):
+    long, kinds = "y" * 5_000, [f"T{i:05}" for i in range(20_000)]
+    body = f'<html lang="{long}"><head><title>{long} end</title><meta name="generator" content="{long}"><link rel="canonical" href="/{long}/c"><script type="application/ld+json">{json.dumps({"@type": kinds})}</script></head>'
+    a = by_signal(D.metadata_signals(D.with_page_facts(table(spark, fetch("a", body=body)))), "a")
+    assert a["metadata.html_title"][0] == f"{long} end" and a["metadata.html_language"][0] == a["metadata.generator"][0] == long
+    assert a["metadata.canonical_url"][0] == f"https://site.example/{long}/c" and a["metadata.json_ld_types"][0] == kinds
+
+
+def test_first_of_each_url_on_many_links(spark):
+    n = 30_000
+    links = F.transform(F.sequence(F.lit(0), F.lit(2 * n - 1)), lambda i: F.struct(i.alias("n"), F.when(i % 7 > 0, F.concat(F.lit("u"), ((i * 7_919) % n).cast("string"))).alias("url")))
+    rows = spark.range(1).select(links.alias("a"), F.lit(None).cast("array<struct<n: int, url: string>>").alias("b"))
+    got = D.first_of_each_url(rows, "a", "b").first()
+    want = {}
+    for i in range(2 * n):
+        if i % 7:
+            want.setdefault(f"u{i * 7_919 % n}", i)
+    assert {x["url"]: x["n"] for x in got["a"]} == want and [x["n"] for x in got["a"]] == list(want.values()) and got["b"] is None
+
+
 def test_policy_texts(spark):
     pages = D.with_page_facts(table(spark, fetch("a", body=PAGE), fetch("b", body="<p>We wrote about scraping, prices and artificial intelligence.</p>"), fetch("c", body="<p>Registration is required. No account required.</p>"), fetch("d", body="")))
     texts = pages.select("run_id", F.lit(0).alias("position"), F.lit("u").alias("source_url"), F.col("page.text").alias("text"))
